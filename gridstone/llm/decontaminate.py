@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.tables import small_batches
+from gridstone.llm.tables import prepare
 
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass; a larger benchmark takes more passes, each with its own bounded broadcast.
@@ -149,7 +149,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     the names of results are replaced.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     found = [_finder(spark.sparkContext.broadcast(windows(items, window)))(F.col("text")) for items in _passes(benchmark)]
     if len(found) > 1:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.tables import small_batches
+from gridstone.llm.tables import prepare
 
 #: In order of the base kinds; the kinds that the method adds follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -172,7 +172,7 @@ def find_personal(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null and empty texts get an empty array; a column named personal is replaced.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.withColumn("personal", F.arrow_udf(_find, FOUND)(F.col(text)))
 
 

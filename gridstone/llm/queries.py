@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, personal, quality, sharding, simhash, url_filter
+from gridstone.llm import decontaminate, personal, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -16,6 +16,10 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 SPAM_HOSTS = "(casino|pills|bets)"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_url_filter, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_url_filter, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import links_within
 from gridstone.llm.components import components
-from gridstone.llm.tables import small_batches, written
+from gridstone.llm.tables import prepare, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -49,7 +49,7 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 
 def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.withColumn(name, F.arrow_udf(_fingerprints, "bigint")("text"))
 
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 
 _OWN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one text may hold a hundred kilobytes or more."""
+def prepare(spark: SparkSession) -> None:
+    """Ready a session for Python operators: small Arrow batches, as texts may be long, and this package on the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="gridstone-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/{top.name}", "zip", top.parent, top.name))
+    _SHIPPED.add(context.applicationId)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

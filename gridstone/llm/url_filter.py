@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.tables import small_batches
+from gridstone.llm.tables import prepare
 
 #: Eight odd 31-bit multipliers; each picks one bit of its 32-bit lane.
 SALTS = tuple((0x2545F491 * k) & 0x7FFFFFFF | 1 for k in range(3, 19, 2))
@@ -108,7 +108,7 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     result is replaced.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    prepare(spark)
     names = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in names]
     lengths = sorted({len(path) for _, path, _ in rules})
