@@ -20,6 +20,13 @@ GATHER_ROWS = 1 << 18
 LOOK = 8
 
 
+def combined(blocks: int, agree: int) -> list[int]:
+    """Masks of every choice of ``agree`` from 64 bits cut into ``blocks``."""
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(blocks)]
+    return [sum(x) for x in combinations(parts, agree)]
+
+
 def masks(radius: int, rows: int) -> list[int]:
     """Bit masks such that fingerprints within radius agree on all bits of one at least.
 
@@ -28,12 +35,9 @@ def masks(radius: int, rows: int) -> list[int]:
     on average if bits are even; every m finds all pairs.
     """
     for m in (1, 2, 3):
-        n = radius + m
-        if rows / 2 ** (64 * m / n) <= BUCKET_ROWS:
+        if rows / 2 ** (64 * m / (radius + m)) <= BUCKET_ROWS:
             break
-    cuts = [64 * k // n for k in range(n + 1)]
-    blocks = [(1 << cuts[k + 1]) - (1 << cuts[k]) for k in range(n)]
-    return [sum(x) for x in combinations(blocks, m)]
+    return combined(radius + m, m)
 
 
 def _signed(x: int) -> int:
@@ -51,11 +55,11 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
 
 
 def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) index arrays of all pairs j < i of one bucket within radius bits (radius at most 7).
+    """(i, j) index arrays of all pairs j < i of one bucket within radius bits (radius at most 15).
 
     ``start`` is the index of the first row of each row's bucket. Each row is
     compared with 64 earlier rows at once, plane by plane: vertical counters
-    of three bits and an overflow bit are updated by carry-save steps, and a
+    of four bits and an overflow bit are updated by carry-save steps, and a
     row leaves as soon as all its 64 distances exceed the radius.
     """
     planes = planes_of(fp)
@@ -74,7 +78,7 @@ def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16)
             if not back:
                 valid &= below[i]
             own = fp[i]
-            c1, c2, c4, over = (np.zeros(len(i), dtype=np.uint64) for _ in range(4))
+            c1, c2, c4, c8, over = (np.zeros(len(i), dtype=np.uint64) for _ in range(5))
             gone = ~valid
             for bit in range(64):
                 diff = planes[b, bit] ^ (np.uint64(0) - ((own >> np.uint64(bit)) & one))
@@ -82,15 +86,17 @@ def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16)
                 c1 ^= diff
                 k2 = c2 & k1
                 c2 ^= k1
-                over |= c4 & k2
+                k4 = c4 & k2
                 c4 ^= k2
+                over |= c8 & k4
+                c8 ^= k4
                 if bit % LOOK == LOOK - 1:
-                    gone |= _above(c1, c2, c4, over, radius)
+                    gone |= _above((c8, c4, c2, c1), over, radius)
                     alive = gone != full
                     if not alive.any():
                         break
                     if alive.mean() < 0.7:
-                        i, b, own, c1, c2, c4, over, gone = (x[alive] for x in (i, b, own, c1, c2, c4, over, gone))
+                        i, b, own, c1, c2, c4, c8, over, gone = (x[alive] for x in (i, b, own, c1, c2, c4, c8, over, gone))
             left = ~gone
             hit = left != 0
             if hit.any():
@@ -102,10 +108,10 @@ def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16)
         who = who[block[who] - back >= first[who]]
 
 
-def _above(c1: np.ndarray, c2: np.ndarray, c4: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count (three bits and overflow) is above radius."""
+def _above(counts: tuple[np.ndarray, ...], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count (four bits and overflow) is above radius."""
     above, equal = over.copy(), ~over
-    for plane, weight in ((c4, 4), (c2, 2), (c1, 1)):
+    for plane, weight in zip(counts, (8, 4, 2, 1), strict=True):
         if radius & weight:
             equal = equal & plane
         else:
@@ -136,15 +142,16 @@ class Union:
                 label[:] = up
 
 
-def in_buckets(rows: DataFrame, radius: int, n: int, work: Callable, schema: str) -> DataFrame:
+def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str) -> DataFrame:
     """What ``work(batch, fp, start)`` yields for batches of whole buckets of ``rows`` (with a bigint column fp).
 
-    Each row goes to one bucket for each mask. Sizes of buckets are counted
+    Each row goes to one bucket for each mask of ``own``; a bucket's rows agree
+    on the bits of its mask. Sizes of buckets are counted
     first; a bucket of over CHUNK_ROWS rows is cut into chunks by hash, and
     each pair of its chunks becomes a bucket of its own, so that no task has
     to hold more than two chunks of it.
     """
-    keyed = rows.withColumn("__gs_t", F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for t, m in enumerate(masks(radius, n))])))
+    keyed = rows.withColumn("__gs_t", F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for t, m in enumerate(own)])))
     keyed = keyed.select(*rows.columns, F.col("__gs_t.t").alias("__gs_t"), F.col("__gs_t.k").alias("__gs_k"))
     large = keyed.groupBy("__gs_t", "__gs_k").count().filter(F.col("count") > CHUNK_ROWS)
     large = large.select("__gs_t", "__gs_k", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("__gs_n"))
@@ -217,4 +224,4 @@ def links_within(fps: DataFrame, radius: int, n: int) -> DataFrame:
         if len(hung):
             yield pa.RecordBatch.from_arrays([pa.array(fp[hung].view(np.int64)), pa.array(fp[union.label[hung]].view(np.int64))], names=["u", "v"])
 
-    return in_buckets(fps.select("fp"), radius, n, work, "u bigint, v bigint").distinct()
+    return in_buckets(fps.select("fp"), masks(radius, n), work, "u bigint, v bigint").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, personal, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, lines, personal, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -30,6 +30,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_digest(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_url_filter, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_url_filter, op5_lines, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,6 +69,19 @@ def test_links(spark, monkeypatch, radius, sizes):
     assert got == want
 
 
+@pytest.mark.parametrize("radius", [0, 5, 8, 11, 15])
+def test_bit_sliced_matches(radius):
+    import numpy as np
+
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    fp = [rng.choice(base) for _ in range(300)]
+    fp = np.array([x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(12))) for x in fp], dtype=np.uint64)
+    start = np.array([0] * 3 + [3] * 67 + [70] + [71] * 119 + [190] * 110)
+    got = {(i, j) for a, b in bitsliced.matches(fp, start, radius) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j) for i in range(300) for j in range(start[i], i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500 + k) for k in range(50)] + [(7, 7), (None, 3)]
