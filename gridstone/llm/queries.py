@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, lines, personal, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, lines, personal, pieces, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: The public piece vocabulary; never copied into the repository.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Hosts whose pages make up the list of blocked URLs (fixed values).
 SPAM_HOSTS = "(casino|pills|bets)"
 
@@ -20,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(documents(spark, sf_dir), PIECE_MODEL)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -51,7 +57,7 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_url_filter, op5_lines, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
