@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, lines, personal, pieces, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, lines, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -40,6 +40,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_digest(documents(spark, sf_dir))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op6_passages, op7_simhash, op8_quality, op9_decontaminate, op10_personal)}
 
 
 def oracle_sql() -> dict[str, str]:
