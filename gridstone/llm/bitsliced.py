@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BUCKET_ROWS = 2048
 #: Buckets above this are cut into chunks, and each pair of chunks is compared on its own.
 CHUNK_ROWS = 1 << 16
+#: One in so many fingerprints tells how large buckets are.
+SAMPLE = 64
 #: Rows that a task gathers before it compares them, besides the rest of the last bucket.
 GATHER_ROWS = 1 << 18
 #: Planes compared between two looks at which rows may still match.
@@ -120,6 +122,15 @@ def _above(counts: tuple[np.ndarray, ...], over: np.ndarray, radius: int) -> np.
     return above
 
 
+def first_met(i: np.ndarray, j: np.ndarray, fp: np.ndarray, t: np.ndarray, own: list[int]) -> np.ndarray:
+    """Which pairs meet under no mask before their own, so that each is handled once."""
+    apart, at = fp[i] ^ fp[j], t[i]
+    keep = np.ones(len(i), dtype=bool)
+    for k, m in enumerate(own):
+        keep &= (at <= k) | (apart & np.uint64(m) != 0)
+    return keep
+
+
 class Union:
     """Least-index labels under joined pairs, with arrays."""
 
@@ -142,28 +153,34 @@ class Union:
                 label[:] = up
 
 
-def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str) -> DataFrame:
-    """What ``work(batch, fp, start)`` yields for batches of whole buckets of ``rows`` (with a bigint column fp).
+def exploded(rows: DataFrame, own: list[int]) -> DataFrame:
+    """rows once for each mask, with its number t."""
+    return rows.withColumn("t", F.explode(F.array(*[F.lit(t).cast("smallint") for t in range(len(own))])))
+
 
-    Each row goes to one bucket for each mask of ``own``; a bucket's rows agree
-    on the bits of its mask. Sizes of buckets are counted
-    first; a bucket of over CHUNK_ROWS rows is cut into chunks by hash, and
-    each pair of its chunks becomes a bucket of its own, so that no task has
-    to hold more than two chunks of it.
+def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str, gather: int = GATHER_ROWS) -> DataFrame:
+    """What ``work(table, fp, start)`` yields for tables of whole buckets of ``rows`` (with t and a bigint fp).
+
+    A bucket holds the rows of one mask that agree on its bits. Sizes of
+    buckets are estimated from one in SAMPLE fingerprints; a bucket of over
+    CHUNK_ROWS rows is cut into chunks by hash, and each pair of its chunks
+    becomes a bucket of its own, so that no task has to hold more than two
+    chunks of it. The estimate only shapes tasks: every pair meets either way.
+    ``gather`` rows are handed to work at once, or more where a bucket is larger.
     """
-    keyed = rows.withColumn("__gs_t", F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for t, m in enumerate(own)])))
-    keyed = keyed.select(*rows.columns, F.col("__gs_t.t").alias("__gs_t"), F.col("__gs_t.k").alias("__gs_k"))
-    large = keyed.groupBy("__gs_t", "__gs_k").count().filter(F.col("count") > CHUNK_ROWS)
-    large = large.select("__gs_t", "__gs_k", F.ceil(F.col("count") / CHUNK_ROWS).cast("int").alias("__gs_n"))
+    bits = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(m)).cast("bigint") for m in own]), F.col("t") + 1))
+    some = rows.filter(F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(SAMPLE)) == 0).select("t", bits.alias("k"))
+    large = some.groupBy("t", "k").count().filter(F.col("count") * SAMPLE > CHUNK_ROWS)
+    large = large.select(F.col("t").alias("__gs_t"), F.col("k").alias("__gs_k"), F.ceil(F.col("count") * SAMPLE / CHUNK_ROWS).cast("int").alias("__gs_n"))
     if large.isEmpty():
-        tiled = keyed.withColumn("__gs_tile", F.lit(0).cast("bigint"))
+        tiled = rows.withColumn("__gs_tile", F.lit(0).cast("bigint"))
     else:
         chunk = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("__gs_n")).cast("bigint")
         others = F.transform(F.sequence(F.lit(0), F.col("__gs_n") - 1), lambda x: F.least(x.cast("bigint"), F.col("__gs_c")) * F.lit(1 << 31) + F.greatest(x.cast("bigint"), F.col("__gs_c")))
-        joined = keyed.join(large, ["__gs_t", "__gs_k"], "left").withColumn("__gs_c", F.coalesce(chunk, F.lit(0).cast("bigint")))
-        tiled = joined.withColumn("__gs_tile", F.explode(F.when(F.col("__gs_n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(others)))
-    key = ["__gs_t", "__gs_k", "__gs_tile"]
-    dealt = tiled.select(*rows.columns, *key).repartition(*key).sortWithinPartitions(*key)
+        joined = rows.join(large, (F.col("t") == F.col("__gs_t")) & (bits == F.col("__gs_k")), "left").withColumn("__gs_c", F.coalesce(chunk, F.lit(0).cast("bigint")))
+        tiled = joined.withColumn("__gs_tile", F.explode(F.when(F.col("__gs_n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(others))).select(*rows.columns, "__gs_tile")
+    key = ["t", "__gs_k", "__gs_tile"]
+    dealt = tiled.repartition("t", bits, "__gs_tile").withColumn("__gs_k", bits).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,7 +188,7 @@ def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str) ->
         for batch in batches:
             held.append(batch)
             count += batch.num_rows
-            if count >= GATHER_ROWS:
+            if count >= gather:
                 table = pa.Table.from_batches(held).combine_chunks()
                 new = _changes(table, key)
                 if len(new) > 1:
@@ -216,6 +233,8 @@ def links_within(fps: DataFrame, radius: int, n: int) -> DataFrame:
     the links grow with the rows and not with the pairs.
     """
 
+    own = masks(radius, n)
+
     def work(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
         union = Union(len(fp))
         for i, j in matches(fp, start, radius):
@@ -224,4 +243,4 @@ def links_within(fps: DataFrame, radius: int, n: int) -> DataFrame:
         if len(hung):
             yield pa.RecordBatch.from_arrays([pa.array(fp[hung].view(np.int64)), pa.array(fp[union.label[hung]].view(np.int64))], names=["u", "v"])
 
-    return in_buckets(fps.select("fp"), masks(radius, n), work, "u bigint, v bigint").distinct()
+    return in_buckets(exploded(fps.select("fp"), own), own, work, "u bigint, v bigint").distinct()

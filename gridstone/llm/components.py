@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.tables import written
+from gridstone.llm.tables import discard, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -43,8 +43,10 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links, "links")
     state = _state(links)
     while state[0]:
+        was, old = state, links
         links = written(_small_star(_large_star(links)), "links")
-        was, state = state, _state(links)
+        discard(old)
+        state = _state(links)
         if was == state:
             break
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
