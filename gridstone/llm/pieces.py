@@ -53,28 +53,31 @@ class Vocabulary:
 
 
     def _index(self, ids: list[int]) -> None:
-        """An open-addressed table from the 64-bit hashes of pieces to ids; two pieces with one hash are refused."""
+        """An open-addressed table from the 64-bit hashes of pieces and their prefixes to ids (-2 for a mere prefix); a clash is refused."""
         self.keys = np.zeros((1 << TABLE_BITS) + 256, dtype=np.uint64)
         self.values = np.full(len(self.keys), -1, dtype=np.int32)
-        self.probes = 0
-        for k in ids:
-            codes = np.frombuffer(self.pieces[k].encode("utf-32-le"), dtype=np.uint32)
-            h = np.zeros(1, dtype=np.uint64)
-            for c in codes:
-                h = h * STEP + np.uint64(c) + np.uint64(1)
-            key = int(_mixed(h, len(codes))[0])
+        own = {self.pieces[k]: k for k in ids}
+        for p in list(own):
+            for n in range(1, len(p)):
+                own.setdefault(p[:n], -2)
+        mask, step, taken = (1 << 64) - 1, int(STEP), {}
+        for p, k in own.items():
+            h = 0
+            for c in p:
+                h = (h * step + ord(c) + 1) & mask
+            key = int(_mixed(np.array([h], dtype=np.uint64), len(p))[0])
+            if taken.setdefault(key, p) != p:
+                raise ValueError("two pieces share a hash")
             slot = key >> (64 - TABLE_BITS)
-            n = 1
-            while self.values[slot] >= 0:
-                if self.keys[slot] == key:
-                    raise ValueError("two pieces share a hash")
+            while self.values[slot] != -1:
                 slot += 1
-                n += 1
             self.keys[slot], self.values[slot] = key, k
-            self.probes = max(self.probes, n)
 
     def spans(self, codes: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length from 1: where a piece of that length starts, and its id; left is the room at each place."""
+        """For each length from 1: where a piece of that length starts, and its id; left is the room at each place.
+
+        Places at which no piece goes on are left behind.
+        """
         at = np.arange(len(codes))
         h = np.zeros(len(codes), dtype=np.uint64)
         for length in range(1, self.longest + 1):
@@ -83,18 +86,16 @@ class Vocabulary:
             h = h * STEP + codes[at + length - 1] + np.uint64(1)
             key = _mixed(h, length)
             slot = (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-            found = np.full(len(at), -1, dtype=np.int32)
-            todo = np.flatnonzero(self.values[slot] >= 0)
-            for probe in range(self.probes):
-                here = slot[todo] + probe
-                value = self.values[here]
-                same = (value >= 0) & (self.keys[here] == key[todo])
-                found[todo[same]] = value[same]
-                todo = todo[(value >= 0) & ~same]
-                if not len(todo):
-                    break
-            hit = found >= 0
-            yield at[hit], found[hit]
+            value = self.values[slot]
+            wrong = np.flatnonzero((value != -1) & (self.keys[slot] != key))
+            while len(wrong):
+                slot[wrong] += 1
+                value[wrong] = self.values[slot[wrong]]
+                wrong = wrong[(value[wrong] != -1) & (self.keys[slot[wrong]] != key[wrong])]
+            on = value != -1
+            at, h, value = at[on], h[on], value[on]
+            hit = value >= 0
+            yield at[hit], value[hit]
 
 
 def _mixed(h: np.ndarray, length: int) -> np.ndarray:
@@ -134,7 +135,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.ends: dict[str, int] = {}  # chunk to the node at its end
-        self.above = np.zeros(1 << 16)  # per edge: node + cumulated chance, ascending
+        self.first = np.zeros(1 << 14, dtype=np.int64)  # per node: its first edge
+        self.share = np.zeros(1 << 16)  # per edge: cumulated chance among its node's edges
         self.ids = np.zeros(1 << 16, dtype=np.int32)  # per edge: piece, or -1 - b for the bytes of character b
         self.size = np.zeros(1 << 16, dtype=np.int32)  # per edge: characters
         self.edges = self.nodes = 0
@@ -171,10 +173,13 @@ class Lattices:
         first = np.append(0, np.cumsum(chars + 1)[:-1])
         depth = np.arange(n) - np.repeat(first, chars + 1)
         share = self._forward(node, node - size, depth[node], weight, n)
-        while self.edges + total > len(self.above):
-            self.above, self.ids, self.size = (np.append(x, np.zeros_like(x)) for x in (self.above, self.ids, self.size))
+        while self.edges + total > len(self.share):
+            self.share, self.ids, self.size = (np.append(x, np.zeros_like(x)) for x in (self.share, self.ids, self.size))
+        while self.nodes + n > len(self.first):
+            self.first = np.append(self.first, np.zeros_like(self.first))
+        self.first[self.nodes : self.nodes + n] = self.edges + np.cumsum(counts[:-1])
         new = slice(self.edges, self.edges + total)
-        self.above[new], self.ids[new], self.size[new] = self.nodes + node + share, piece, size
+        self.share[new], self.ids[new], self.size[new] = share, piece, size
         self.edges += total
         self.ends.update(zip(chunks, (self.nodes + first + chars).tolist(), strict=True))
         self.nodes += n
@@ -182,7 +187,7 @@ class Lattices:
     def _forward(self, node: np.ndarray, back: np.ndarray, end: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """Of each edge, the cumulated chance among its node's edges."""
         forward, share = np.ones(n), np.zeros(len(node))
-        order = np.argsort(end, kind="stable")
+        order = np.argsort(end.astype(np.uint16), kind="stable")  # at most CHUNK_CHARS + 1
         cuts = np.append(0, np.cumsum(np.bincount(end)[1:]))
         for at in range(len(cuts) - 1):
             e = order[cuts[at] : cuts[at + 1]]
@@ -234,15 +239,19 @@ class Lattices:
         row = np.repeat(np.arange(len(texts)), counts)
         key = np.array(keys, dtype=np.uint64)[row]
         shift = bases[row]
-        above, ids, size = (x[: self.edges] for x in (self.above, self.ids, self.size))
         taken = np.zeros(int(bases[-1]), dtype=bool)
         found = np.zeros(int(bases[-1]), dtype=np.int32)
         while len(node):
-            edge = np.searchsorted(above, node + uniform(key, place - shift), side="right")
-            back = size[edge]
+            u = uniform(key, place - shift)
+            edge = self.first[node]
+            on = np.flatnonzero(self.share[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[self.share[edge[on]] <= u[on]]
+            back = self.size[edge]
             place = place - back
             taken[place] = True
-            found[place] = ids[edge]
+            found[place] = self.ids[edge]
             left = place > low
             node, place, low, key, shift = (x[left] for x in (node - back, place, low, key, shift))
         starts = np.append(0, np.cumsum(taken))[bases]
