@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, lines, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, lines, oracles, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -65,4 +65,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; hashes, learned scores, sampling and fuzzy links are tested against plain versions instead."""
+    return {"op4_url_filter": oracles.op4(RULES, SPAM_HOSTS), "op8_quality": oracles.OP8, "op9_decontaminate": oracles.OP9}
