@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions import kernels
+from gridstone.functions.gyre import GyreGrid
 from gridstone.operators import halo, reductions, scans, sorting
 from gridstone.operators.linalg import Mat
 from gridstone.operators.ndarray import NdArray
@@ -711,6 +712,12 @@ def _(spark, d):
     return grid_.diagnostics(grid_.step(grid_.start(spark), dt), dt)
 
 
+@register("shallow_water_step")
+def _(spark, d):
+    grid_ = GyreGrid(16, 16)
+    return grid_.diagnostics(grid_.step(grid_.start(spark), 0.005))
+
+
 @register("fft3d_roundtrip")
 def _(spark, d):
     n = 8
