@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch handed to Python; texts may be long, so few rows.
-BATCH_ROWS = 256
+#: An Arrow batch handed to Python ends at so many rows or, as texts may be long, bytes.
+BATCH_ROWS, BATCH_BYTES = 1 << 14, 1 << 20
 
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
@@ -56,6 +56,7 @@ def discard(df: DataFrame) -> None:
 def prepare(spark: SparkSession) -> None:
     """Ready a session for Python operators: small Arrow batches, as texts may be long, and this package on the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
