@@ -18,6 +18,8 @@ CHUNK_ROWS = 1 << 16
 SAMPLE = 64
 #: Rows that a task gathers before it compares them, besides the rest of the last bucket.
 GATHER_ROWS = 1 << 18
+#: Order of the planes: spread, so that the equal bits of a bucket's mask don't come first together.
+ORDER = [k + 16 * n for k in range(16) for n in range(4)]
 #: Planes compared between two looks at which rows may still match.
 LOOK = 8
 
@@ -56,7 +58,7 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(lanes).view(np.uint64).reshape(n, 64)
 
 
-def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) index arrays of all pairs j < i of one bucket within radius bits (radius at most 15).
 
     ``start`` is the index of the first row of each row's bucket. Each row is
@@ -82,7 +84,7 @@ def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16)
             own = fp[i]
             c1, c2, c4, c8, over = (np.zeros(len(i), dtype=np.uint64) for _ in range(5))
             gone = ~valid
-            for bit in range(64):
+            for step, bit in enumerate(ORDER):
                 diff = planes[b, bit] ^ (np.uint64(0) - ((own >> np.uint64(bit)) & one))
                 k1 = c1 & diff
                 c1 ^= diff
@@ -92,7 +94,7 @@ def matches(fp: np.ndarray, start: np.ndarray, radius: int, rows: int = 1 << 16)
                 c4 ^= k2
                 over |= c8 & k4
                 c8 ^= k4
-                if bit % LOOK == LOOK - 1:
+                if step % LOOK == LOOK - 1:
                     gone |= _above((c8, c4, c2, c1), over, radius)
                     alive = gone != full
                     if not alive.any():

@@ -27,8 +27,10 @@ def _small_star(links: DataFrame) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("v")).first())
+def _is_star(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node without any."""
+    n, nodes = links.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and links.join(links.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,13 +43,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.filter("u is not null and v is not null and u != v").select("u", "v").distinct()
     links = written(links, "links")
-    state = _state(links)
-    while state[0]:
-        was, old = state, links
+    while not _is_star(links):
+        old = links
         links = written(_small_star(_large_star(links)), "links")
         discard(old)
-        state = _state(links)
-        if was == state:
-            break
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
