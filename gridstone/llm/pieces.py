@@ -21,9 +21,9 @@ ALPHA, OFFSET = 2.0, 50.0
 CHAR_WEIGHT = 1e-9
 SEED = 11
 #: Lattice nodes that a worker keeps between batches; beyond it starts anew.
-NODES = 1_500_000
+NODES = 1_000_000
 #: Characters of texts sampled at once, if they are more than one.
-DRAWN_CHARS = 1 << 20
+DRAWN_CHARS = 1 << 19
 #: Slots of the piece table, as a power of two, and the multiplier of its rolling hash.
 TABLE_BITS, STEP = 19, np.uint64(0x2545F4914F6CDD1D)
 #: A longer chunk is cut after so many characters; a text without any space thus takes bounded memory.

@@ -29,7 +29,7 @@ FUZZY, LONG = 5, 9
 FUZZY_SHARE, QUOTED_SHARE = 0.7, 0.35
 #: Words on either side that make a hit's context.
 CONTEXT = 5
-CACHE = 400_000
+CACHE = 150_000
 
 PUNCTUATION = " .,;:!?\"'`()[]{}<>|/\\#*$%&@~^+=-_«»“”„‘’…¡¿"
 QUOTES = "\"“”«»„‘’"
@@ -207,16 +207,19 @@ def forms(word: str) -> list[str]:
 
 def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
     """Words and stems far likelier in toxic than in clean texts, by documents and by neighbourhoods."""
-    rows = [([w.strip(PUNCTUATION) for w in t.lower().split()], y) for t, y in rows]
+    own: dict[str, str] = {}  # one object for each word
+    rows = [([own.setdefault(w, w) for w in (w.strip(PUNCTUATION) for w in t.lower().split())], y) for t, y in rows]
     n_toxic = sum(y for _, y in rows)
     n_clean = len(rows) - n_toxic
     if not n_toxic or not n_clean:
         return Lexicon()
-    toxic: Counter[str] = Counter()
-    for words, y in rows:
-        if y:
-            toxic.update({f for w in set(words) if w for f in forms(w)})
-    toxic = Counter({f: n for f, n in toxic.items() if n >= MIN_DOCS})
+    toxic: dict[str, int] = {}
+    for size in (0, *STEM_CHARS):  # one length of stem after the other, to count few forms at a time
+        some: Counter[str] = Counter()
+        for words, y in rows:
+            if y:
+                some.update({w[:size] + "+" if size else w for w in set(words) if len(w) > size})
+        toxic |= {f: n for f, n in some.items() if n >= MIN_DOCS}
     clean: Counter[str] = Counter()
     around: dict[str, set[int]] = {}
     for words, y in rows:
@@ -256,19 +259,28 @@ def learn_lexicon(rows: Iterable[tuple[str, int]]) -> Lexicon:
     return Lexicon(found.words, found.stems, frozenset(harmless))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
-    """Newton steps; the intercept is last and not shrunk. Weights stay at or above zero, as every feature is evidence."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 100) -> np.ndarray:
+    """Projected Newton steps; the intercept is last and not shrunk.
+
+    The other weights stay at or above zero: every feature is evidence, and
+    more of it must not lower a score.
+    """
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
     shrink = np.full(len(w), ridge)
     shrink[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(shrink)
-        step = np.linalg.solve(h, z.T @ (y - p) - shrink * w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        slope = z.T @ (y - p) - shrink * w
+        free = (w > 0) | (slope > 0)
+        free[-1] = True
+        h = (z[:, free] * (p * (1 - p))[:, None]).T @ z[:, free] + np.diag(shrink[free])
+        new = w.copy()
+        new[free] += np.clip(np.linalg.solve(h, slope[free]), -2, 2)
+        new[:-1] = np.maximum(new[:-1], 0)
+        if np.abs(new - w).max() < 1e-8:
             break
+        w = new
     return w
 
 
