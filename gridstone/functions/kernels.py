@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gridstone.operators.halo import sliding_map
 from gridstone.operators.ndarray import NdArray
 from gridstone.operators.vector import Vec, zipped
+from gridstone.sources.shared import written
 
 # STREAM
 
@@ -80,15 +82,22 @@ def stencil1d(vec: Vec, size: int, steps: int = 1, radius: int = 1, block: int =
     return vec
 
 
+def iterate(state: NdArray, step: Callable[[NdArray], NdArray], steps: int, every: int = 2) -> NdArray:
+    """The state after so many steps; every few of them it is written to the shared folder, so that plans stay small."""
+    for k in range(1, steps + 1):
+        state = step(state)
+        if k % every == 0 and k < steps:
+            state = NdArray(written(state.df, "state"), state.shape, state.cols)
+    return state
+
+
 CROSS = [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
 
 
 def stencil2d(arr: NdArray, steps: int = 1) -> NdArray:
     """Interior cells become a quarter of the sum of the five cells of the cross; repeated."""
     m, n = arr.shape
-    for _ in range(steps):
-        arr = arr.stencil(lambda *near: sum(near[1:], near[0]) / 4, CROSS, (1, 1), (m - 1, n - 1))
-    return arr
+    return iterate(arr, lambda a: a.stencil(lambda *near: sum(near[1:], near[0]) / 4, CROSS, (1, 1), (m - 1, n - 1)), steps, 4)
 
 
 # Linear waves on a staggered grid
@@ -150,6 +159,10 @@ class WaveGrid:
             kept = NdArray(near.df.select("i", "j", *[moved[f].alias(f) for f in fields], *[f"{f}0" for f in fields]), state.shape)
         return NdArray(kept.df.select("i", "j", *fields), state.shape, fields)
 
+    def advance(self, state: NdArray, dt: float, steps: int) -> NdArray:
+        """So many steps, each written before the next begins."""
+        return iterate(state, lambda s: self.step(s, dt), steps, 1)
+
     def diagnostics(self, state: NdArray, t: float) -> DataFrame:
         """One row: greatest elevation, volume, energy and L2 error against the exact wave at time t."""
         cell = F.when(self.is_cell(), F.col("e"))
@@ -198,4 +211,4 @@ def parseval(cube: NdArray, name: str = "power") -> DataFrame:
     return cube.df.agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias(name))
 
 
-__all__ = ["WaveGrid", "black_scholes", "fft3d", "normal_cdf", "normal_cdf_polynomial", "parseval", "stencil1d", "stencil2d", "stream_add", "stream_copy", "stream_scale", "stream_triad"]
+__all__ = ["WaveGrid", "black_scholes", "fft3d", "iterate", "normal_cdf", "normal_cdf_polynomial", "parseval", "stencil1d", "stencil2d", "stream_add", "stream_copy", "stream_scale", "stream_triad"]

@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.operators.vector import IDX, Vec
+from gridstone.sources.shared import written
 
-#: Ranges that a sort deals rows to, and sampled rows that tell their bounds.
-RANGES, SAMPLED = 64, 4096
+#: Rows of a range of the index-giving sort, about; ranges are as many as that takes.
+RANGE_ROWS = 1 << 20
+#: Offsets of ranges are broadcast up to so many ranges, else joined by shuffle.
+BROADCAST_RANGES = 1 << 20
+#: monotonically_increasing_id holds the partition above so many bits and the row in it below.
+ROW_BITS = 33
 
 
 def sort(vec: Vec, descending: bool = False, by: str | None = None) -> DataFrame:
@@ -17,32 +22,29 @@ def sort(vec: Vec, descending: bool = False, by: str | None = None) -> DataFrame
     return vec.df.orderBy(key.desc() if descending else key.asc(), IDX)
 
 
-def sorted_vector(vec: Vec, descending: bool = False, ranges: int = RANGES) -> Vec:
+def sorted_vector(vec: Vec, descending: bool = False, range_rows: int = RANGE_ROWS) -> Vec:
     """The sorted elements as a vector: place k holds the k-th.
 
-    Bounds come from a bounded hash sample of (element, index); rows go to the
-    range between bounds, whose exact counts give each range its first place.
-    The sample shapes tasks only. As the index breaks ties, one hot value is
-    split over ranges like any other.
+    One range exchange by (element, index), a sort in each range, and each
+    row's number in its range, written once so that ranges and numbers are
+    fixed. The counts of the ranges, one row each, then give their first
+    places. As the index breaks ties, one hot value is split over ranges like
+    any other.
     """
     col = vec.cols[0]
     rows = vec.df.select(IDX, F.col(col).alias("v"))
-    n = rows.count()
-    step = max(1, n // SAMPLED)
-    picked = rows.filter(F.pmod(F.xxhash64(IDX), F.lit(step)) == 0).orderBy(F.col("v").desc() if descending else F.col("v"), IDX).limit(4 * SAMPLED).collect()
-    bounds = [picked[len(picked) * k // ranges] for k in range(1, ranges)] if len(picked) >= ranges else []
-    kind = rows.schema["v"].dataType
-    before = [((F.col("v") > F.lit(b.v).cast(kind)) if not descending else (F.col("v") < F.lit(b.v).cast(kind))) | ((F.col("v") == F.lit(b.v).cast(kind)) & (F.col(IDX) >= b[IDX])) for b in bounds]
-    part = sum((c.cast("int") for c in before), F.lit(0))
-    dealt = rows.withColumn("__p", part)
-    counts = {r[0]: r[1] for r in dealt.groupBy("__p").count().collect()}
-    starts, run = [], 0
-    for p in range(len(bounds) + 1):
-        starts.append(F.lit(run).cast("bigint"))
-        run += counts.get(p, 0)
-    w = Window.partitionBy("__p").orderBy(F.col("v").desc() if descending else F.col("v"), IDX)
-    placed = dealt.withColumn("__r", F.row_number().over(w))
-    return Vec(placed.select((F.element_at(F.array(*starts), F.col("__p") + 1) + F.col("__r") - 1).alias(IDX), F.col("v").alias(col)))
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    keys = [F.col("v").desc() if descending else F.col("v").asc(), F.col(IDX).asc()]
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    fixed = written(ranged.select("v", F.monotonically_increasing_id().alias("at")), "sorted")
+    part, row = F.shiftright("at", ROW_BITS), F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    numbered = fixed.select("v", part.alias("part"), row.alias("row"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = numbered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")).alias("start"))
+    if parts <= BROADCAST_RANGES:
+        starts = F.broadcast(starts)
+    return Vec(numbered.join(starts, "part").select((F.col("start") + F.col("row")).alias(IDX), F.col("v").alias(col)))
 
 
 def sort_subrange(vec: Vec, first: int, last: int, descending: bool = False) -> Vec:
