@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridstone.operators.halo import sliding_map
 from gridstone.operators.ndarray import NdArray
-from gridstone.operators.vector import Vec, zipped
+from gridstone.operators.vector import Vec, div, zipped
 from gridstone.sources.shared import written
 
 # STREAM
@@ -130,7 +130,7 @@ class WaveGrid:
     def start(self, spark: SparkSession) -> NdArray:
         """Still water under the wave at time 0."""
         m, n = self.nx + 1, self.ny + 1
-        cells = spark.range(m * n).select(F.floor(F.col("id") / n).cast("bigint").alias("i"), (F.col("id") % n).alias("j"))
+        cells = spark.range(m * n).select(div(F.col("id"), n).alias("i"), (F.col("id") % n).alias("j"))
         e = F.when(self.is_cell(), self.elevation(*self.centre(), 0.0)).otherwise(0.0)
         zero = F.lit(0.0)
         return NdArray(cells.select("i", "j", e.alias("e"), zero.alias("u"), zero.alias("v")), (m, n), ["e", "u", "v"])

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridstone.operators.vector import IDX, Vec
+from gridstone.operators.vector import IDX, Vec, div
 
 #: Side of the square blocks of the blocked product.
 BLOCK_SIDE = 64
@@ -74,13 +74,13 @@ class Mat:
 
         def blocks(m: Mat, first: str, second: str, name: str) -> DataFrame:
             cell = F.struct((F.col("i") % side).alias("p"), (F.col("j") % side).alias("q"), F.col("v").cast("double").alias("v"))
-            keys = [F.floor(F.col("i") / side).alias(first), F.floor(F.col("j") / side).alias(second)]
+            keys = [div(F.col("i"), side).alias(first), div(F.col("j"), side).alias(second)]
             return m.df.groupBy(*keys).agg(F.collect_list(cell).alias("cells")).select(first, second, F.arrow_udf(dense, "array<double>")("cells").alias(name))
 
         met = blocks(self, "bi", "bk", "x").join(blocks(b, "bk", "bj", "y"), "bk")
         parts = met.select("bi", "bj", F.posexplode(F.arrow_udf(product, "array<double>")("x", "y")).alias("at", "v"))
         cells = parts.groupBy("bi", "bj", "at").agg(F.sum("v").alias("v"))
-        i, j = F.col("bi") * side + F.floor(F.col("at") / side), F.col("bj") * side + F.col("at") % side
+        i, j = F.col("bi") * side + div(F.col("at"), side), F.col("bj") * side + F.col("at") % side
         found = cells.select(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), "v")
         return Mat(found.filter((F.col("i") < self.shape[0]) & (F.col("j") < b.shape[1])), (self.shape[0], b.shape[1]))
 
@@ -111,7 +111,7 @@ class Mat:
 
     def tiled(self, side: tuple[int, int], grid: tuple[int, int] = (1, 1)) -> DataFrame:
         """With block numbers bi, bj and the rank that a block-cyclic grid gives each block."""
-        bi, bj = F.floor(F.col("i") / side[0]), F.floor(F.col("j") / side[1])
+        bi, bj = div(F.col("i"), side[0]), div(F.col("j"), side[1])
         return self.df.select("i", "j", "v", bi.alias("bi"), bj.alias("bj"), (bi % grid[0] * grid[1] + bj % grid[1]).cast("bigint").alias("rank"))
 
     def find(self, i: int, j: int) -> DataFrame:
@@ -147,7 +147,7 @@ class Mat:
         """(i, start) for every row: how many cells come before it; counts by row, then scanned by blocks of rows."""
         counts = self.df.groupBy("i").agg(F.count("*").alias("n"))
         rows = self.df.sparkSession.range(self.shape[0]).select(F.col("id").alias("i")).join(counts, "i", "left").select("i", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-        blocked = rows.withColumn("b", F.floor(F.col("i") / block))
+        blocked = rows.withColumn("b", div(F.col("i"), block))
         inner = Window.partitionBy("b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
         outer = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         zero = F.lit(0).cast("bigint")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.operators.vector import IDX, Vec
+from gridstone.operators.vector import IDX, Vec, div
 
 DIMS = ("i", "j", "k")
 
@@ -21,7 +21,7 @@ def strides(shape: tuple[int, ...]) -> tuple[int, ...]:
 
 
 def linear_to_index(idx: Column, shape: tuple[int, ...]) -> list[Column]:
-    return [(F.floor(idx / s).cast("bigint") % n) for s, n in zip(strides(shape), shape, strict=True)]
+    return [(div(idx, s) % n) for s, n in zip(strides(shape), shape, strict=True)]
 
 
 def index_to_linear(dims: list[Column], shape: tuple[int, ...]) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.operators.vector import BLOCK_ROWS, IDX, Vec, zipped
+from gridstone.operators.vector import BLOCK_ROWS, IDX, Vec, div, zipped
 
 #: Operators that Spark aggregates by itself, and how two values combine.
 KNOWN: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
@@ -41,7 +41,7 @@ def reduce_with(vec: Vec, op: Callable, init: object, kind: str = "double", bloc
     results in order of block. The function need not be commutative.
     """
     col = vec.cols[0]
-    rows = vec.df.select(F.floor(F.col(IDX) / block).cast("bigint").alias("blk"), F.col(IDX), F.col(col).cast(kind).alias("v"))
+    rows = vec.df.select(div(F.col(IDX), block).alias("blk"), F.col(IDX), F.col(col).cast(kind).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, value, out = None, None, []

@@ -9,7 +9,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from gridstone.operators.reductions import KNOWN
-from gridstone.operators.vector import BLOCK_ROWS, IDX, Vec
+from gridstone.operators.vector import BLOCK_ROWS, IDX, Vec, div
 
 #: Offsets of blocks are broadcast up to so many blocks, else joined by shuffle.
 BROADCAST_BLOCKS = 1 << 20
@@ -23,7 +23,7 @@ def _scan(vec: Vec, op: str, init: object, inclusive: bool, block: int) -> Vec:
     """
     aggregate, combine = KNOWN[op]
     col = vec.cols[0]
-    rows = vec.df.withColumn("__blk", F.floor(F.col(IDX) / block).cast("bigint"))
+    rows = vec.df.withColumn("__blk", div(F.col(IDX), block))
     inside = Window.partitionBy("__blk").orderBy(IDX)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = rows.withColumn("__s", aggregate(F.col(col)).over(frame))
@@ -63,7 +63,7 @@ def scan_with(vec: Vec, op: Callable, kind: str = "double", block: int = BLOCK_R
     both passes stream, and only totals meet on the driver, one a block.
     """
     col = vec.cols[0]
-    rows = vec.df.select(F.floor(F.col(IDX) / block).cast("bigint").alias("blk"), IDX, F.col(col).cast(kind).alias("v"))
+    rows = vec.df.select(div(F.col(IDX), block).alias("blk"), IDX, F.col(col).cast(kind).alias("v"))
     dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX)
 
     def walk(offsets: dict[int, object] | None) -> Callable:

@@ -19,6 +19,11 @@ BLOCK_ROWS = 1 << 20
 Fn = Callable[..., Column]
 
 
+def div(a: Column, n: int | Column) -> Column:
+    """Integer division; exact at any size, unlike a quotient of doubles."""
+    return F.call_function("div", a, n if isinstance(n, Column) else F.lit(n))
+
+
 class Vec:
     """``df`` has the index ``idx`` (0 to n - 1, each once) and the components named in ``cols``.
 
@@ -54,6 +59,10 @@ class Vec:
         """A vector of a few local values."""
         return Vec(spark.createDataFrame(list(enumerate(values)), f"{IDX} bigint, v {kind}"))
 
+    def pick(self, *cols: str) -> Vec:
+        """Some components; they keep the base, so that zipping them again is a projection."""
+        return Vec(self.base, list(cols), self.base, {c: self.exprs[c] for c in cols})
+
     def over(self, df: DataFrame) -> Vec:
         return Vec(df, self.cols)
 
@@ -102,7 +111,7 @@ class Vec:
 
     def chunk(self, n: int, name: str = "chunk") -> DataFrame:
         """Arrays of n consecutive elements, the last perhaps shorter."""
-        key = F.floor(F.col(IDX) / n).cast("bigint")
+        key = div(F.col(IDX), n)
         pair = F.sort_array(F.collect_list(F.struct(IDX, *self.cols)))
         return self.df.groupBy(key.alias(IDX)).agg(F.transform(pair, lambda x: x[self.cols[0]]).alias(name))
 
@@ -195,7 +204,7 @@ def with_halo(df: DataFrame, before: int, after: int, block: int = BLOCK_ROWS, n
     if block < max(before, after):
         raise ValueError("a halo wider than a block")
     i = F.col(IDX)
-    home = F.floor(i / block).cast("bigint")
+    home = div(i, block)
     place = lambda at, blk, own: F.struct(at.cast("bigint").alias("at"), blk.alias("blk"), F.lit(own).alias("own"))
     copies = [place(i, home, True)]
     if after:

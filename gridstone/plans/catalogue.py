@@ -16,7 +16,7 @@ from gridstone.functions.gyre import GyreGrid
 from gridstone.operators import halo, reductions, scans, sorting
 from gridstone.operators.linalg import Mat
 from gridstone.operators.ndarray import NdArray
-from gridstone.operators.vector import IDX, Vec, zipped
+from gridstone.operators.vector import IDX, Vec, div, zipped
 from gridstone.sources import generators
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def events(spark: SparkSession, d: str, *cols: str) -> Vec:
     return Vec.from_table(table(spark, d, "events"), "event_id", **{c: whole[c] for c in cols or ("v",)})
 
 
+def both(spark: SparkSession, d: str) -> tuple[Vec, Vec]:
+    """The two components of the events vector, over one scan."""
+    whole = events(spark, d, "v", "w")
+    return whole.pick("v"), whole.pick("w")
+
+
 def orders(spark: SparkSession, d: str) -> Vec:
     return Vec.from_table(table(spark, d, "orders"), "o_orderkey", v=F.col("o_totalprice").cast(MONEY))
 
@@ -98,7 +104,7 @@ def doubles(df: DataFrame, *cols: str) -> DataFrame:
 
 @register("vec_dot_product", EV + "SELECT CAST(sum(v * w) AS DOUBLE) AS dot FROM ev")
 def _(spark, d):
-    return doubles(reductions.dot_product(events(spark, d), events(spark, d, "w")))
+    return doubles(reductions.dot_product(*both(spark, d)))
 
 
 @register("vec_dot_product_joined", "SELECT CAST(sum(CAST(value AS DECIMAL(18,2)) * CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS dot FROM events JOIN orders ON event_id = o_orderkey")
@@ -108,12 +114,12 @@ def _(spark, d):
 
 @register("vec_add", EV + "SELECT idx, CAST(v + w AS DOUBLE) AS v FROM ev")
 def _(spark, d):
-    return doubles(kernels.stream_add(events(spark, d), events(spark, d, "w")).df)
+    return doubles(kernels.stream_add(*both(spark, d)).df)
 
 
 @register("vec_mul", EV + "SELECT idx, CAST(v * w AS DOUBLE) AS v FROM ev")
 def _(spark, d):
-    return doubles(zipped(events(spark, d), events(spark, d, "w")).transform(lambda a, b: a * b).df)
+    return doubles(zipped(*both(spark, d)).transform(lambda a, b: a * b).df)
 
 
 @register("stream_copy", EV + "SELECT idx, CAST(v AS DOUBLE) AS v FROM ev")
@@ -128,12 +134,12 @@ def _(spark, d):
 
 @register("stream_add", EV + "SELECT idx, CAST(v + w AS DOUBLE) AS v FROM ev")
 def _(spark, d):
-    return doubles(kernels.stream_add(events(spark, d), events(spark, d, "w")).df)
+    return doubles(kernels.stream_add(*both(spark, d)).df)
 
 
 @register("stream_triad", EV + "SELECT idx, CAST(v + 3 * w AS DOUBLE) AS v FROM ev")
 def _(spark, d):
-    return doubles(kernels.stream_triad(events(spark, d), events(spark, d, "w"), 3).df)
+    return doubles(kernels.stream_triad(*both(spark, d), 3).df)
 
 
 # Views
@@ -600,7 +606,7 @@ NEW = ", b AS (SELECT r AS i, c AS j, CAST(1 AS DECIMAL(18,2)) AS v FROM range(5
 
 
 def _new(spark) -> Mat:
-    cells = spark.range(150).select(F.floor(F.col("id") / 3).alias("i"), (F.col("id") % 3).alias("j"), F.lit(1).cast(MONEY).alias("v"))
+    cells = spark.range(150).select(div(F.col("id"), 3).alias("i"), (F.col("id") % 3).alias("j"), F.lit(1).cast(MONEY).alias("v"))
     return Mat(cells, (50, 3))
 
 
@@ -642,7 +648,7 @@ def _(spark, d):
 def _(spark, d):
     e = embedding(spark, d)
     left = Mat(e.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), (64, e.shape[0]))
-    ones = spark.range(64 * 64).select(F.floor(F.col("id") / 64).alias("i"), (F.col("id") % 64).alias("j"), F.lit(1.0).alias("v"))
+    ones = spark.range(64 * 64).select(div(F.col("id"), 64).alias("i"), (F.col("id") % 64).alias("j"), F.lit(1.0).alias("v"))
     return left.gemm(e, Mat(ones, (64, 64))).df.select("i", "j", F.round("v", 6).alias("v"))
 
 
@@ -663,7 +669,7 @@ def _(spark, d):
 
 @register("spmm_band", "SELECT i, c AS col, CAST(sum((j + 1) * (c + 1)) AS DOUBLE) AS v FROM range(1000) t(i), range(1000) u(j), range(8) w(c) WHERE j >= i - 20 AND j <= i + 20 GROUP BY ALL")
 def _(spark, d):
-    b = spark.range(8000).select(F.floor(F.col("id") / 8).alias(IDX), (F.col("id") % 8).alias("col"))
+    b = spark.range(8000).select(div(F.col("id"), 8).alias(IDX), (F.col("id") % 8).alias("col"))
     b = b.withColumn("x", ((F.col(IDX) + 1) * (F.col("col") + 1)).cast("double"))
     return generators.band(spark, 1000, 20, 20).spmm(b)
 
@@ -721,7 +727,7 @@ def _(spark, d):
 @register("fft3d_roundtrip")
 def _(spark, d):
     n = 8
-    cells = spark.range(n**3).select((F.col("id") % 7).cast("double").alias("re"), (F.col("id") % 3).cast("double").alias("im"), F.floor(F.col("id") / (n * n)).alias("i"), F.floor(F.col("id") / n % n).cast("bigint").alias("j"), (F.col("id") % n).alias("k"))
+    cells = spark.range(n**3).select((F.col("id") % 7).cast("double").alias("re"), (F.col("id") % 3).cast("double").alias("im"), div(F.col("id"), n * n).alias("i"), (div(F.col("id"), n) % n).cast("bigint").alias("j"), (F.col("id") % n).alias("k"))
     there = kernels.fft3d(NdArray(cells, (n, n, n), ["re", "im"]))
     return kernels.fft3d(there, True).df.select("i", "j", "k", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
 

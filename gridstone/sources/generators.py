@@ -8,6 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.operators.linalg import Mat
+from gridstone.operators.vector import div
 
 
 def band(spark: SparkSession, n: int, up: int = 3, down: int = 3) -> Mat:
@@ -41,4 +42,4 @@ def random_sparse(spark: SparkSession, shape: tuple[int, int], density: float =
     value = F.shiftrightunsigned(F.xxhash64("cell", F.lit(seed + 1)), 11) / F.lit(float(1 << 53))
     rows = spark.range(int(density * cells)).select(cell.alias("cell"))
     n = F.lit(shape[1])
-    return Mat(rows.select(F.floor(F.col("cell") / n).cast("bigint").alias("i"), (F.col("cell") % n).cast("bigint").alias("j"), value.alias("v")), shape)
+    return Mat(rows.select(div(F.col("cell"), n).alias("i"), (F.col("cell") % n).cast("bigint").alias("j"), value.alias("v")), shape)
