@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: An Arrow batch handed to Python ends at so many rows or, as texts may be long, bytes.
 BATCH_ROWS, BATCH_BYTES = 1 << 14, 1 << 20
 
+#: Tables of fewer bytes are dealt to all cores first.
+SMALL_BYTES = 16 << 20
+
 _OWN: list[str] = []
 _SHIPPED: set[str] = set()
 _PATHS: dict[int, str] = {}
@@ -68,4 +71,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; dealt out anew only below SMALL_BYTES, as a small file is one split and would keep one core busy."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else docs
