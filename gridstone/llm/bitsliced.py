@@ -17,7 +17,7 @@ CHUNK_ROWS = 1 << 16
 #: One in so many fingerprints tells how large buckets are.
 SAMPLE = 64
 #: Rows that a task gathers before it compares them, besides the rest of the last bucket.
-GATHER_ROWS = 1 << 18
+GATHER_ROWS = 1 << 16
 #: Order of the planes: spread, so that the equal bits of a bucket's mask don't come first together.
 ORDER = [k + 16 * n for k in range(16) for n in range(4)]
 #: Planes compared between two looks at which rows may still match.
@@ -201,6 +201,7 @@ def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str, gat
         if count:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from done(table, _changes(table, key))
+        pa.default_memory_pool().release_unused()
 
     def done(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(new, table.num_rows))

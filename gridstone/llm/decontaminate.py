@@ -127,6 +127,7 @@ def _finder(patterns):
                 spans, items = search(words, automata)
                 rows.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
             yield pa.array(rows, type=_FOUND)
+        pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(find, FOUND)
 

@@ -347,6 +347,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         matcher = Matcher(own.lexicon)
         for texts in batches:
             yield pa.array(own.score([features(t, matcher) for t in texts.to_pylist()]))
+        pa.default_memory_pool().release_unused()
 
     return docs.withColumn("score", F.arrow_udf(score, "double")("text"))
 
