@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of alike lines the first stays; texts shrink, no document goes, and n_chars follows the text."""
-    out = lines.dedup_lines(docs).select(*docs.columns)
+    out = lines.dedup_lines(docs, radius=None).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -33,6 +33,12 @@ _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.ui
 #: Lines of more words are sketched one by one.
 SHORT = 192
 
+#: Words are ordered by how many of one in ORDER_SAMPLE lines hold them, counted in 2 ** SLOT_BITS slots; the order only
+#: shapes buckets. A word held by more than HOT_LINES lines shares a bucket key with the next one of its line.
+ORDER_SAMPLE, SLOT_BITS, HOT_LINES = 16, 22, 4096
+#: Lines of more words don't pair up their common words.
+PAIRED = 256
+
 #: ASCII punctuation and space become spaces, A-Z are lower-cased; line feeds and all other bytes stay.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b == 0x0A or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -195,6 +201,100 @@ def _line_keys(min_words: int):
     return F.arrow_udf(run, LINES)
 
 
+def _tokens(words: list[bytes]) -> np.ndarray:
+    """32 bits of each word."""
+    out = [_mixed(word_hashes(words[at : at + SLICE]), 0x9E3779B97F4A7C15) >> np.uint64(32) for at in range(0, len(words), SLICE)]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many of one in ORDER_SAMPLE lines each slot's words stand."""
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            some = [set(words) for words in normalised(text) if words and xxhash.xxh64_intdigest(words[0] + words[-1], len(words)) % ORDER_SAMPLE == 0]
+            if some:
+                np.add.at(counts, (_tokens(list(chain.from_iterable(some))) >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int64))], names=["slot", "c"])
+
+
+def _class_of(count) -> np.ndarray:
+    """Counts on a scale of thirds of an octave, 63 at most."""
+    return np.minimum(63, 1 + 3 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
+def word_classes(docs: DataFrame) -> np.ndarray:
+    """The class of each slot's words, higher for more common ones."""
+    found = docs.filter("text is not null").select("text").mapInArrow(_word_counts, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).filter("c > 3").toArrow()
+    out = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    out[found["slot"].to_numpy()] = _class_of(found["c"].to_numpy())
+    return out
+
+
+def bucket_keys(lines: list[list[bytes]], classes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, 32-bit key) arrays by line, and two words of 64 bits for each line with a bit set for each of its words.
+
+    Any two lines with an edit similarity of ``similarity`` or more share a
+    key. A line of n words loses most = (1 - similarity) * n distinct words to
+    the other at most, so of its first most + 1 words in one order of all
+    words (rarest first) one is common, and of the first most + 2 two. A very
+    common word is no key by itself but with each later one of the most + 2;
+    lines of fewer distinct words have it alone too. Lines of over PAIRED
+    words have it alone, and up to PAIRED / similarity words both ways.
+    """
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    tokens = _tokens(list(chain.from_iterable(lines)))
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
+    bits = np.zeros((len(lines), 2), dtype=np.uint64)
+    at = (tokens & np.uint64(127)).astype(np.int64)
+    np.bitwise_or.at(bits, (owner.astype(np.int64), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    level = classes[(tokens >> np.uint64(32 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+    # A batch holds far fewer than 2 ** 26 lines.
+    own = np.unique(owner << np.uint64(38) | level << np.uint64(32) | tokens)
+    line, token, hot = (own >> np.uint64(38)).astype(np.int64), own & np.uint64(0xFFFFFFFF), (own >> np.uint64(32) & np.uint64(63)) > _class_of(HOT_LINES / ORDER_SAMPLE)
+    most = ((1 - similarity) * sizes + 1e-9).astype(np.int64)
+    counts = np.bincount(line, minlength=len(lines))
+    place = np.arange(len(own)) - (np.cumsum(counts) - counts)[line]
+    first = place <= most[line]
+    hot &= first
+    long = hot & (sizes[line] > PAIRED)
+    few = hot & ~long & (counts < most + 2)[line]
+    pairs = hot & (sizes[line] <= PAIRED / similarity + 1e-9)
+    found = [(line[k], _mixed(token[k] + np.uint64(salt), 0x94D049BB133111EB)) for k, salt in ((first & ~hot, 0), (few, 1 << 33), (long, 1 << 34))]
+    left, step = np.flatnonzero(pairs), 1
+    while len(left):
+        left = left[(left + step < len(own)) & (place[left] + step <= most[line[left]] + 1)]
+        left = left[line[left + step] == line[left]]
+        found.append((line[left], _mixed(token[left] << np.uint64(32) | token[left + step], 0xD6E8FEB86659FD93)))
+        step += 1
+    line, keys = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(line, kind="stable")
+    return line[order], (keys[order] >> np.uint64(32)).astype(np.uint32), bits
+
+
+WHOLE_LINES = "array<struct<line:int,key:binary,fp:bigint,fp2:bigint,n:int,tokens:array<int>>>"
+_WHOLE_LINES = pa.list_(pa.struct([*_LINES.value_type, ("tokens", pa.list_(pa.int32()))]))
+
+
+def _whole_keys(min_words: int, similarity: float, classes):
+    """Like _line_keys, with word bits for sketches, and bucket keys."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [[(k, w) for k, w in enumerate(normalised(text)) if len(w) >= min_words] for text in texts.cast(pa.binary()).to_pylist()]
+            flat = [w for own in found for _, w in own]
+            line, keys, bits = bucket_keys(flat, classes.value, similarity)
+            starts = np.append(0, np.cumsum(np.bincount(line, minlength=len(flat)))).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.view(np.int32)))
+            columns = [pa.array([k for own in found for k, _ in own], pa.int32()), pa.array(list(map(line_key, flat)), pa.binary()), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64)), pa.array(list(map(len, flat)), pa.int32()), tokens]
+            offsets = np.append(0, np.cumsum([len(own) for own in found])).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_WHOLE_LINES.value_type)))
+        pa.default_memory_pool().release_unused()
+
+    return F.arrow_udf(run, WHOLE_LINES)
+
+
 def _line_texts(lanes):
     """The normalised lines whose place a Bloom filter may hold."""
 
@@ -221,11 +321,33 @@ def _signatures(bodies: list[str]) -> np.ndarray:
     return out
 
 
-def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def by_bits(bits: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket whose lengths and word bits do not rule ``similarity`` out: a lost word clears one bit at most."""
+    order = np.lexsort((n, start))
+    bits, n, start = bits[order], n[order], start[order]
+    most = ((1 - similarity) * n + 1e-9).astype(np.int64)
+    back, i = 1, np.arange(len(n))
+    while True:
+        i = i[i - back >= start[i]]
+        # Shorter ones come before, so a row whose lengths lie too far apart is done.
+        i = i[n[i] - n[i - back] <= most[i]]
+        if not len(i):
+            return
+        a, b = bits[i], bits[i - back]
+        keep = np.bitwise_count(a & ~b).sum(axis=1) <= most[i]
+        keep &= np.bitwise_count(b & ~a).sum(axis=1) <= most[i]
+        if keep.any():
+            yield order[i[keep]], order[(i - back)[keep]]
+        back += 1
+
+
+def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) between keys of ``distinct`` (key, fp, n, first) whose lines are alike.
 
-    Alike: their SimHashes agree on some AGREE blocks and differ by radius bits
-    at most, and their words' edit similarity suffices. A first pass over
+    Alike: their words' edit similarity suffices; with a radius their SimHashes
+    must also agree on some AGREE blocks and differ by radius bits at most.
+    Without, lines meet by the keys of ``bucket_keys``, which lose no pair, and
+    fp and fp2 hold the bits of their words. A first pass over
     the buckets takes fingerprints and lengths alone (lengths too far apart
     rule a pair out) and finds the lines that need verification, and where.
     Only their texts are fetched, each from its first place (a Bloom filter of
@@ -233,10 +355,14 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, simil
     verified links already join are not compared again, so links grow with
     the lines.
     """
-    masks = combined(BLOCKS, AGREE)
+    masks = [0xFFFFFFFF << 32] if radius is None else combined(BLOCKS, AGREE)
 
     def candidates(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, t, fp2 = table["n"].to_numpy().astype(np.int64), table["t"].to_numpy(), table["fp2"].to_numpy()
+        if radius is None:
+            bits = np.stack([table["bits"].to_numpy(), fp2], axis=1).view(np.uint64)
+            yield from by_bits(bits, n, start, similarity)
+            return
         for i, j in matches(fp, start, HALF_RADIUS):
             keep = np.abs(n[i] - n[j]) <= (1 - similarity) * np.maximum(n[i], n[j]) + 1e-9
             keep &= np.bitwise_count((fp[i] ^ fp[j])).astype(np.int64) + np.bitwise_count((fp2[i] ^ fp2[j]).view(np.uint64)) <= radius
@@ -249,17 +375,30 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, simil
         for i, j in candidates(table, fp, start):
             hit[i] = hit[j] = True
         if hit.any():
-            yield from table.select(["t", "fp", "fp2", "n"]).filter(pa.array(hit)).combine_chunks().to_batches()
-
-    sketch = ["fp", "fp2", "n"]
-    met = in_buckets(exploded(distinct.select(*sketch), masks), masks, flag, "t smallint, fp bigint, fp2 bigint, n int")
-    flagged = written(met.distinct(), "flagged")
-    near = written(distinct.select("key", *sketch, F.col("first.d").alias("d"), F.col("first.line").alias("line")).join(flagged, sketch), "near")
-    discard(flagged)
+            yield from table.select([c for c in ("t", "fp", "bits", "fp2", "n") if c in table.column_names]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    place = [F.col("first.d").alias("d"), F.col("first.line").alias("line")]
+    if radius is None:
+        # A bucket's key and 32 bits of the line, so that large buckets can be cut.
+        own, low = F.xxhash64("key").bitwiseAND(0xFFFFFFFF).alias("low"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("low")
+        sketch = ["low", "bits", "fp2", "n"]
+        sketched = distinct.select("key", own, F.col("fp").alias("bits"), "fp2", "n", *place, "tokens")
+        keyed = sketched.select("bits", "fp2", "n", "low", F.explode("tokens").alias("k"))
+        keyed = keyed.select(F.lit(0).cast("smallint").alias("t"), F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("low")).alias("fp"), "bits", "fp2", "n")
+        flagged = written(in_buckets(keyed, masks, flag, "t smallint, fp bigint, bits bigint, fp2 bigint, n int").distinct().withColumn("low", low), "flagged")
+        near = written(sketched.drop("tokens").join(flagged.select(*sketch).distinct(), sketch), "near")
+    else:
+        sketch = ["fp", "fp2", "n"]
+        met = in_buckets(exploded(distinct.select(*sketch), masks), masks, flag, "t smallint, fp bigint, fp2 bigint, n int")
+        flagged = written(met.distinct(), "flagged")
+        near = written(distinct.select("key", *sketch, *place).join(flagged, sketch), "near")
+        discard(flagged)
     places = near.select("d", "line").distinct().select(F.concat_ws(":", F.col("d").cast("string"), F.col("line").cast("string")).alias("place"))
     lanes = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(places, "place").lanes)
     texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes), "d bigint, line int, body string")
-    rows = near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select("t", "key", *sketch, "body")
+    rows = near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select(*([] if radius is None else ["t"]), "key", *sketch, "body")
+    if radius is None:
+        rows = written(rows, "bodies").join(flagged, sketch).select("t", "key", "fp", "bits", "fp2", "n", "body")
     rows = written(rows, "candidates")
 
     def verify(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -307,13 +446,15 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, simil
     return links
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with text without repeated lines, and n_lines, n_dropped and dropped (line numbers from 0, in order).
 
     Lines are parted by ``\\n`` alone. A line of min_words words or more is
     dropped unless it is the first of its group by doc_id (null last), hash of
     the text and line number. A group is what chains of equal or alike
-    normalised lines connect; shorter lines always stay. A document may end
+    normalised lines connect; shorter lines always stay. With a radius alike
+    lines are those whose sketches meet too, which loses most pairs near
+    ``similarity``; None finds all pairs of that edit similarity. A document may end
     up with an empty text; a null text stays null and has no lines. Rows equal
     in id and text share their lines' fate. Columns of docs named like a
     result, other than text, are replaced.
@@ -326,9 +467,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIU
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "dropped")
     identity = F.xxhash64("doc_id", "text").alias("d")
-    found = docs.select("doc_id", identity, F.explode(_line_keys(min_words)("text")).alias("l"))
-    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.key", "l.fp", "l.fp2", "l.n"), "lines")
-    distinct = written(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
+    keys = _line_keys(min_words) if radius is not None else _whole_keys(min_words, similarity, docs.sparkSession.sparkContext.broadcast(word_classes(docs)))
+    own = ["l.tokens"] if radius is None else []
+    found = docs.select("doc_id", identity, F.explode(keys("text")).alias("l"))
+    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.key", "l.fp", "l.fp2", "l.n", *own), "lines")
+    distinct = written(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c"), *[F.min("tokens").alias("tokens") for _ in own]), "distinct")
     roots = components(near_lines(distinct, docs, radius, similarity))
     rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left")
     repeated = written(rooted.filter("c > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "repeated")
@@ -349,5 +492,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIU
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (comma-joined) and text_sha256 of what stays; null for a null text."""
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), radius=None)
     return out.select("doc_id", "n_lines", "n_dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))

@@ -7,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import random
 
 import brute
+import numpy as np
 import pytest
 import xxhash
 from gridstone.llm import bitsliced, lines
@@ -129,3 +130,50 @@ def test_odd_tables(spark):
     assert got == [("1", "a b c d e"), ("1", "a b c d e"), ("None", ""), ("None", "None")]
     assert lines.dedup_lines(docs.filter("false")).count() == 0
     assert lines.dedup_digest(docs.filter("text is null")).count() == 1
+
+
+def test_bucket_keys_lose_no_pair(monkeypatch):
+    rng = random.Random(8)
+    for hot in (4096, 1):
+        monkeypatch.setattr(lines, "HOT_LINES", hot)
+        classes = np.zeros(1 << lines.SLOT_BITS, dtype=np.uint8)
+        classes[:: 2 if hot > 1 else 1] = 40
+        pairs = []
+        for n in [*range(1, 60), 250, 256, 257, 300, 321, 400] * 8:
+            a = [b"%d" % rng.randrange(rng.choice([2, 9, 500])) for _ in range(n)]
+            b = list(a)
+            for _ in range(n // 5):
+                at = rng.randrange(len(b))
+                b[at : at + 1] = rng.choice([[b"x%d" % rng.randrange(900)], [], [b[at], b"y%d" % rng.randrange(900)], [b[at]]])
+            if b and lines.edit_similarity(a, b) >= 0.8:
+                pairs.append((a, b))
+        line, key, bits = lines.bucket_keys([x for p in pairs for x in p], classes)
+        own = [set() for _ in range(2 * len(pairs))]
+        for k, x in zip(line.tolist(), key.tolist(), strict=True):
+            own[k].add(x)
+        assert len(pairs) > 300 and all(own[2 * k] & own[2 * k + 1] for k in range(len(pairs)))
+        n = np.array([len(x) for p in pairs for x in p])
+        met = {(min(i), max(i)) for a, b in lines.by_bits(bits, n, np.zeros(len(n), dtype=np.int64), 0.8) for i in zip(a.tolist(), b.tolist(), strict=True)}
+        assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= met
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_whole_similarity(spark, monkeypatch, hot):
+    """Against edit similarity alone, as op5_lines and the pipeline run it."""
+    monkeypatch.setattr(lines, "HOT_LINES", hot)
+    monkeypatch.setattr(lines, "ORDER_SAMPLE", 16 if hot > 1 else 1)
+    rng = random.Random(6)
+    rows = []
+    for d in range(40):
+        a = ["w%d" % rng.randrange(300) for _ in range(rng.choice([5, 10, 15, 20]))]
+        b = list(a)
+        for k in rng.sample(range(len(a)), len(a) // 5 + d % 2):
+            b[k] = "v%d" % rng.randrange(300)
+        rows += [(2 * d, " ".join(a)), (2 * d + 1, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    words = [norm(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 1 - levenshtein(words[i], words[j]) / max(len(words[i]), len(words[j])) >= 0.8 - 1e-9]
+    tops = brute.classes(len(rows), links)
+    want = {d: int(tops[d] != d) for d, _ in rows}
+    assert sum(want.values()) >= 20
+    assert {r.doc_id: r.n_dropped for r in lines.dedup_digest(docs).collect()} == want
