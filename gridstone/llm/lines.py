@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -16,7 +17,7 @@ from gridstone.llm.components import components
 from gridstone.llm.tables import discard, prepare, written
 from gridstone.llm.url_filter import BlockedBloom
 
-#: Lines of fewer words are left alone: they repeat by nature.
+#: Lines of fewer words are never alike, only equal.
 MIN_WORDS = 5
 #: SimHashes have two halves of 64 bits. Lines are compared that agree on AGREE of BLOCKS blocks of the first half, differ
 #: by HALF_RADIUS bits there at most and by RADIUS in all: a changed word in twenty turns about eleven bits, one in forty
@@ -42,6 +43,9 @@ PAIRED = 256
 #: ASCII punctuation and space become spaces, A-Z are lower-cased; line feeds and all other bytes stay.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b == 0x0A or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
+#: Characters of Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters.
+_SPACELESS = re.compile(rb"\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+
 
 def normalised_lines(text: bytes | None) -> list[bytes]:
     """The ``\\n``-split lines of a UTF-8 text, lower-cased (A-Z) and with spaces for ASCII punctuation; no line for null."""
@@ -53,6 +57,11 @@ def normalised(text: bytes | None) -> list[list[bytes]]:
     return [line.split() for line in normalised_lines(text)]
 
 
+def spaced(text: bytes | None) -> bytes | None:
+    """A UTF-8 text with spaces around each character of a script without spaces, so that it counts as a word."""
+    return _SPACELESS.sub(rb" \g<0> ", text) if text is not None and _SPACELESS.search(text) else text
+
+
 def line_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
@@ -212,7 +221,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()).to_pylist():
-            some = [set(words) for words in normalised(text) if words and xxhash.xxh64_intdigest(words[0] + words[-1], len(words)) % ORDER_SAMPLE == 0]
+            some = [set(words) for words in normalised(spaced(text)) if words and xxhash.xxh64_intdigest(words[0] + words[-1], len(words)) % ORDER_SAMPLE == 0]
             if some:
                 np.add.at(counts, (_tokens(list(chain.from_iterable(some))) >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
     slots = np.flatnonzero(counts)
@@ -278,13 +287,13 @@ _WHOLE_LINES = pa.list_(pa.struct([*_LINES.value_type, ("tokens", pa.list_(pa.in
 
 
 def _whole_keys(min_words: int, similarity: float, classes):
-    """Like _line_keys, with word bits for sketches, and bucket keys."""
+    """Like _line_keys, of all lines with words, with word bits for sketches, and bucket keys from min_words words on."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [[(k, w) for k, w in enumerate(normalised(text)) if len(w) >= min_words] for text in texts.cast(pa.binary()).to_pylist()]
+            found = [[(k, w) for k, w in enumerate(normalised(spaced(text))) if w] for text in texts.cast(pa.binary()).to_pylist()]
             flat = [w for own in found for _, w in own]
-            line, keys, bits = bucket_keys(flat, classes.value, similarity)
+            line, keys, bits = bucket_keys([w if len(w) >= min_words else [] for w in flat], classes.value, similarity)
             starts = np.append(0, np.cumsum(np.bincount(line, minlength=len(flat)))).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.view(np.int32)))
             columns = [pa.array([k for own in found for k, _ in own], pa.int32()), pa.array(list(map(line_key, flat)), pa.binary()), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64)), pa.array(list(map(len, flat)), pa.int32()), tokens]
@@ -295,13 +304,13 @@ def _whole_keys(min_words: int, similarity: float, classes):
     return F.arrow_udf(run, WHOLE_LINES)
 
 
-def _line_texts(lanes):
+def _line_texts(lanes, whole: bool):
     """The normalised lines whose place a Bloom filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = BlockedBloom(lanes.value)
         for batch in batches:
-            places = [(d, k, line) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for k, line in enumerate(normalised_lines(text))]
+            places = [(d, k, line) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for k, line in enumerate(normalised_lines(spaced(text) if whole else text))]
             # Spark's xxhash64 of a string is XXH64 with seed 42.
             hit = bloom.contains(np.fromiter((xxhash.xxh64_intdigest(f"{d}:{k}", 42) for d, k, _ in places), dtype=np.uint64, count=len(places)))
             found = [p for p, h in zip(places, hit.tolist(), strict=True) if h]
@@ -395,7 +404,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS
         discard(flagged)
     places = near.select("d", "line").distinct().select(F.concat_ws(":", F.col("d").cast("string"), F.col("line").cast("string")).alias("place"))
     lanes = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(places, "place").lanes)
-    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes), "d bigint, line int, body string")
+    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes, radius is None), "d bigint, line int, body string")
     rows = near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select(*([] if radius is None else ["t"]), "key", *sketch, "body")
     if radius is None:
         rows = written(rows, "bodies").join(flagged, sketch).select("t", "key", "fp", "bits", "fp2", "n", "body")
@@ -454,7 +463,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None
     the text and line number. A group is what chains of equal or alike
     normalised lines connect; shorter lines always stay. With a radius alike
     lines are those whose sketches meet too, which loses most pairs near
-    ``similarity``; None finds all pairs of that edit similarity. A document may end
+    ``similarity``; None finds all pairs of that edit similarity, groups equal
+    shorter lines too (only lines without words always stay), and takes each
+    character of a script without spaces as a word. A document may end
     up with an empty text; a null text stays null and has no lines. Rows equal
     in id and text share their lines' fate. Columns of docs named like a
     result, other than text, are replaced.

@@ -177,3 +177,10 @@ def test_whole_similarity(spark, monkeypatch, hot):
     want = {d: int(tops[d] != d) for d, _ in rows}
     assert sum(want.values()) >= 20
     assert {r.doc_id: r.n_dropped for r in lines.dedup_digest(docs).collect()} == want
+
+
+def test_short_and_spaceless_lines(spark):
+    thai, chinese = "ยินดีต้อนรับสู่เว็บไซต์ของเรา", "版权所有未经许可不得转载本站内容"
+    rows = [(1, f"Read more\nx\n\n...\n{thai}\n{chinese}"), (2, f"read more!\ny\n\n...\n{thai}\n{chinese[:-1]}物"), (3, "All rights reserved"), (4, "all rights reserved\nx")]
+    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), radius=None).collect()}
+    assert got == {1: [], 2: [0, 4, 5], 3: [], 4: [0, 1]}
