@@ -145,8 +145,8 @@ def personal_spans(text: str | None, automaton: ahocorasick.Automaton) -> tuple[
     if not text:
         return [], []
     anchors = anchors_of(text, automaton)
-    # Cues count whatever their case; lower-casing may change a text's length, so only equally long ones are searched again.
-    if (low := text.lower()) != text and len(low) == len(text):
+    # Cues count whatever their case. Dotted capital I is the only character that lower() makes longer, which would move places.
+    if (low := text.replace("\u0130", "i").lower()) != text:
         anchors |= {k: v for k, v in anchors_of(low, automaton).items() if k in ("account", "secret", "street")}
     base = base_spans(text, anchors)
     return base, sorted(base + added_spans(text, anchors, base), key=_order)

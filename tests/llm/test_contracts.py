@@ -219,3 +219,10 @@ def test_bloom_never_misses(spark):
     hashes = lambda df: np.array([r[0] for r in df.select(F.xxhash64("key")).collect()])
     assert bloom.contains(hashes(keys)).all()
     assert bloom.contains(hashes(spark.range(5000).select(F.concat(F.lit("z"), "id").alias("key")))).mean() < 0.02
+
+
+def test_personal_added_beside_dotted_capital_i():
+    text = "İstanbul, 12 Long Street; Account No: 12-3456-7890; PASSWORD = abcdefgh12345678; İBAN TR330006100519786457841326"
+    spans = personal.personal_spans(text, AUTOMATON)[1]
+    assert {(k, text[a:b]) for k, a, b in spans if k in ("account", "secret", "address")} == {("address", "12 Long Street"), ("account", "12-3456-7890"), ("secret", "abcdefgh12345678"), ("account", "TR330006100519786457841326")}
+    assert all(len(chr(c).lower()) == 1 for c in range(0x110000) if c != 0x130)
