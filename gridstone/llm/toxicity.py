@@ -23,7 +23,7 @@ MIN_DOCS = 4
 MIN_ODDS = 2.5
 MAX_TERMS = 5000
 STEM_CHARS = range(4, 11)
-#: Terms of so many characters may have one edit, and from LONG on two.
+#: Terms and stems of so many characters may have one edit, and terms from LONG on two.
 FUZZY, LONG = 5, 9
 #: A misspelled term counts for so much of the term; a quoted or reported one likewise.
 FUZZY_SHARE, QUOTED_SHARE = 0.7, 0.35
@@ -47,6 +47,7 @@ class LexiconTrie:
         self.term: dict[int, float] = {}
         self.stem: dict[int, float] = {}
         self.edits: dict[int, int] = {}
+        self.stem_edits: dict[int, int] = {}
         self.reach: list[int] = [0]
 
     def add(self, word: str, weight: float, stem: bool, edits: int) -> None:
@@ -60,10 +61,9 @@ class LexiconTrie:
                 self.reach.append(0)
             path.append(node)
         (self.stem if stem else self.term)[path[-1]] = weight
-        if not stem:
-            self.edits[path[-1]] = edits
-            for node in path:
-                self.reach[node] = max(self.reach[node], edits)
+        (self.stem_edits if stem else self.edits)[path[-1]] = edits
+        for node in path:
+            self.reach[node] = max(self.reach[node], edits)
 
 
 class LevenshteinLexicon:
@@ -102,8 +102,8 @@ class LevenshteinLexicon:
             found = self.ids[states] = len(self.sets)
             self.sets.append(states)
             self.steps.append({})
-            exact = max([self.trie.term[n] for n, e in states if not e and n in self.trie.term] + [self.trie.stem[-n - 1] for n, _ in states if n < 0], default=0.0)
-            near = max([self.trie.term[n] for n, e in states if e and n in self.trie.term and e <= self.trie.edits[n]], default=0.0)
+            exact = max([self.trie.term[n] for n, e in states if not e and n in self.trie.term] + [self.trie.stem[-n - 1] for n, e in states if n < 0 and not e], default=0.0)
+            near = max([self.trie.term[n] for n, e in states if e and n in self.trie.term and e <= self.trie.edits[n]] + [self.trie.stem[-n - 1] for n, e in states if n < 0 and e], default=0.0)
             self.ends.append((exact, near))
         return found
 
@@ -111,10 +111,10 @@ class LevenshteinLexicon:
         out: set[tuple[int, int]] = set()
         for node, e in self.sets[state]:
             if node < 0:  # a stem passed; anything may follow
-                out.add((node, 0))
+                out.add((node, e))
                 continue
-            if not e and node in self.trie.stem:
-                out.add((-node - 1, 0))
+            if e <= self.trie.stem_edits.get(node, -1):
+                out.add((-node - 1, e))
             for own, child in self.trie.next[node].items():
                 if own == c:
                     out.add((child, e))
@@ -150,10 +150,9 @@ class Lexicon:
     def automaton(self) -> LevenshteinLexicon:
         trie = LexiconTrie()
         for w, weight in self.words.items():
-            covered = any(w[:n] in self.stems for n in range(4, len(w)))
-            trie.add(w, weight, False, 0 if covered or len(w) < FUZZY else 1 if len(w) < LONG else 2)
+            trie.add(w, weight, False, 0 if len(w) < FUZZY else 1 if len(w) < LONG else 2)
         for w, weight in self.stems.items():
-            trie.add(w, weight, True, 0)
+            trie.add(w, weight, True, 0 if len(w) < FUZZY else 1)
         return LevenshteinLexicon(trie)
 
 

@@ -83,3 +83,26 @@ def test_odd_tables(tables):
     assert kept.columns == own.columns and {r.score for r in kept.collect()} == {7}
     assert kept.count() < docs.count()
     assert len(toxicity.training_rows(docs, labels, 5, 9)) <= 14
+
+
+STEMMED = toxicity.Lexicon({"abcdeab": 3.0}, {"abcde": 2.0, "xabc": 6.0}).automaton()
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("abcdex", max_size=10))
+def test_misspelled_stems(word):
+    begins = [word[:n] for n in range(len(word))]
+    exact = max([3.0 * (word == "abcdeab"), 2.0 * ("abcde" in begins), 6.0 * ("xabc" in begins)])
+    near = max([3.0 * (levenshtein("abcdeab", word) == 1), 2.0 * any(levenshtein("abcde", x) <= 1 for x in begins)])
+    got = STEMMED.find(word)
+    assert got[0] == exact
+    assert got[1] == near or exact
+
+
+def test_misspelled_family(tables):
+    docs, labels, _ = tables
+    lexicon = toxicity.train(docs, labels).lexicon
+    matcher = toxicity.Matcher(lexicon)
+    assert any("halunkeric".startswith(s) for s in lexicon.stems)
+    assert matcher["halunkeric"] and not matcher["halunkeric"][1]
+    assert all(matcher[w] and matcher[w][1] for w in ("ha1unkeric", "hqlunkeron", "halnkesal"))
