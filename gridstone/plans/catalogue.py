@@ -276,6 +276,19 @@ def _(spark, d):
     return reductions.reduce(small, "multiplies").select(F.round("value", 3).alias("value"))
 
 
+#: Signs by data and powers of two that cancel every 31 orders, so that products of all orders are exact and finite.
+FACTOR = "(CASE WHEN o_totalprice > 100000 THEN -1 ELSE 1 END) * pow(2, o_orderkey * 7 % 31 - 15)"
+
+
+def factors(spark: SparkSession, d: str) -> Vec:
+    return orders(spark, d).enumerate().transform(lambda i, v: F.when(v > 100000, -1).otherwise(1) * F.pow(F.lit(2.0), i * 7 % 31 - 15))
+
+
+@register("reduce_product", f"SELECT product({FACTOR}) AS value FROM orders")
+def _(spark, d):
+    return reductions.reduce(factors(spark, d), "multiplies")
+
+
 @register("reduce_empty", "SELECT CAST(5 AS BIGINT) AS value")
 def _(spark, d):
     return reductions.reduce(events(spark, d, "w").take(0), "plus", 5).select(F.col("value").cast("bigint").alias("value"))
@@ -343,6 +356,11 @@ def _(spark, d):
     return scans.inclusive_scan(small, "multiplies", block=5).df.select(IDX, F.round("v", 3).alias("v"))
 
 
+@register("scan_product", f"SELECT o_orderkey AS idx, product({FACTOR}) OVER (ORDER BY o_orderkey) AS v FROM orders")
+def _(spark, d):
+    return scans.inclusive_scan(factors(spark, d), "multiplies", block=1000).df
+
+
 @register("scan_subrange", EV + ", s AS (SELECT idx, sum(v) OVER (ORDER BY idx) AS s FROM ev WHERE idx >= 50 AND idx < 150) SELECT ev.idx, CAST(coalesce(s.s, ev.v) AS DOUBLE) AS v FROM ev LEFT JOIN s ON s.idx = ev.idx")
 def _(spark, d):
     own = events(spark, d).transform(lambda v: v.cast("decimal(28,2)"))
