@@ -110,7 +110,8 @@ def chunks_of(text: str) -> list[str]:
     """The text as words with their leading spaces.
 
     No piece spans two of them, so the lattice of the text is the chain of
-    their lattices. A U+2581 of the text itself goes through its bytes, so
+    their lattices, but for chunks of over CHUNK_CHARS characters: they are cut,
+    and pieces that would span a cut are not drawn. A U+2581 of the text itself goes through its bytes, so
     that decoding can tell it from a space.
     """
     found = _CHUNK.findall(text)
@@ -125,8 +126,9 @@ class Lattices:
     Each node is a place in a chunk; its edges come from earlier places and
     carry the chance that a segmentation which reaches the node does so by
     that piece. Those chances follow from the forward sums, so sampling
-    backwards from a chunk's end draws whole segmentations with exactly the
-    weight of their pieces' product.
+    backwards from a chunk's end draws whole segmentations of the chunk with
+    exactly the weight of their pieces' product; a chunk that was cut is
+    several, each drawn on its own.
     """
 
     def __init__(self, vocabulary: Vocabulary):
