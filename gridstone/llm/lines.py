@@ -1,19 +1,20 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups."""
+"""Line deduplication: equal and alike lines in connected groups, of which one occurrence stays."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import Union, combined, exploded, first_met, in_buckets, matches
 from gridstone.llm.components import components
+from gridstone.llm.line_grams import alike_lines, word_bits
+from gridstone.llm.line_words import SIMILARITY, edit_similarity, line_key, mixed, normalised, normalised_lines, spaced, word_hashes
 from gridstone.llm.tables import discard, prepare, written
 from gridstone.llm.url_filter import BlockedBloom
 
@@ -24,54 +25,17 @@ MIN_WORDS = 5
 #: six. The second half keeps lines that merely share common words apart; the edit similarity decides. Buckets hold lines
 #: / 2 ** 16 on average and cost a word operation for 64 rows; above some 10 ** 9 lines (8, 2) suits better.
 BLOCKS, AGREE, HALF_RADIUS, RADIUS = 4, 1, 8, 14
-#: Least share of words in order that alike lines have: 1 - word edits / words of the longer line.
-SIMILARITY = 0.8
 #: Lines that a task verifies at once.
 VERIFY_ROWS = 1 << 15
-#: Words hashed at once, the odd base of their polynomial, and powers of it and of its inverse as far as needed so far.
-SLICE, BASE = 1 << 16, 0xD6E8FEB86659FD93
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 #: Lines of more words are sketched one by one.
 SHORT = 192
 
-#: Words are ordered by how many of one in ORDER_SAMPLE lines hold them, counted in 2 ** SLOT_BITS slots; the order only
-#: shapes buckets. A word held by more than HOT_LINES lines shares a bucket key with the next one of its line.
-ORDER_SAMPLE, SLOT_BITS, HOT_LINES = 16, 22, 4096
-#: Lines of more words don't pair up their common words.
-PAIRED = 256
-
-#: ASCII punctuation and space become spaces, A-Z are lower-cased; line feeds and all other bytes stay.
-_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b == 0x0A or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-
-#: Characters of Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters.
-_SPACELESS = re.compile(rb"\xe0[\xb8-\xbf][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
-
-
-def normalised_lines(text: bytes | None) -> list[bytes]:
-    """The ``\\n``-split lines of a UTF-8 text, lower-cased (A-Z) and with spaces for ASCII punctuation; no line for null."""
-    return text.translate(_TABLE).split(b"\n") if text is not None else []
-
-
-def normalised(text: bytes | None) -> list[list[bytes]]:
-    """The words of each line."""
-    return [line.split() for line in normalised_lines(text)]
-
-
-def spaced(text: bytes | None) -> bytes | None:
-    """A UTF-8 text with spaces around each character of a script without spaces, so that it counts as a word."""
-    return _SPACELESS.sub(rb" \g<0> ", text) if text is not None and _SPACELESS.search(text) else text
-
-
-def line_key(words: list[bytes]) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words))
-
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     """Two 64-bit halves for each (non-empty) line: majority bits of its words' hashes, ties up."""
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    words = list(chain.from_iterable(lines))
-    one = np.concatenate([word_hashes(words[at : at + SLICE]) for at in range(0, len(words), SLICE)])
-    own = np.stack([_mixed(one, 0x9E3779B97F4A7C15), _mixed(one, 0x94D049BB133111EB)], axis=1)
+    one = word_hashes(list(chain.from_iterable(lines)))
+    own = np.stack([mixed(one, 0x9E3779B97F4A7C15), mixed(one, 0x94D049BB133111EB)], axis=1)
     first = np.cumsum(sizes) - sizes
     out = np.empty((len(lines), 2), dtype=np.uint64)
     short = np.flatnonzero(sizes <= SHORT)
@@ -83,29 +47,6 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     return out
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A polynomial of each word's bytes, all from one running sum over the joined words (modulo 2 ** 64)."""
-    joined = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    n = len(joined)
-    if len(_POWERS[0]) < n + 1:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            powers = np.full(2 * n + 2, base, dtype=np.uint64)
-            powers[0] = 1
-            _POWERS[k] = np.multiply.accumulate(powers)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(joined * _POWERS[0][:n], out=sums[1:])
-    ends = np.append(np.flatnonzero(joined == 0x20), n)
-    starts = np.append(0, ends[:-1] + 1)
-    return (sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64)
-
-
-def _mixed(one: np.ndarray, factor: int) -> np.ndarray:
-    """64 even bits of each hash, by two rounds of shift and multiplication."""
-    two = (one ^ (one >> np.uint64(31))) * np.uint64(factor)
-    two = (two ^ (two >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return two ^ (two >> np.uint64(32))
-
-
 def _majority(own: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Majorities of several lines, longest first: the k-th words of all enter vertical counters at once, by carry-save steps."""
     longest = int(sizes[0])
@@ -136,72 +77,22 @@ def _counted(own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total >= len(own), bitorder="little").view("<u8")
 
 
-def edit_similarity(a: Sequence, b: Sequence, least: float = SIMILARITY, sets: tuple[set, set] | None = None) -> float:
-    """1 - Levenshtein distance / longer length, of sequences; 0 where lengths or an early bound rule ``least`` out.
-
-    ``sets`` may hold the distinct elements of both.
-    """
-    if a == b:
-        return 1.0
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    # Each edit removes at most one distinct element.
-    x, y = sets or (set(a), set(b))
-    if abs(len(a) - len(b)) > most or len(x - y) > most or len(y - x) > most:
-        return 0.0
-    head = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        head += 1
-    a, b = a[head:], b[head:]
-    tail = 0
-    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    return 1 - _distance(a, b, most) / longer
-
-
-def _distance(a: Sequence, b: Sequence, most: int) -> int:
-    """Levenshtein distance, bit-parallel over a; most + 1 as soon as it must be greater."""
-    if not a or not b:
-        return max(len(a), len(b))
-    where: dict = {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << k
-    n = len(a)
-    full, last = (1 << n) - 1, 1 << (n - 1)
-    up, down, score = full, 0, n
-    for k, c in enumerate(b):
-        eq = where.get(c, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph = down | ~(xh | up) & full
-        mh = up & xh
-        score += bool(ph & last) - bool(mh & last)
-        if score - (len(b) - 1 - k) > most:
-            return most + 1
-        ph = (ph << 1 | 1) & full
-        mh = mh << 1 & full
-        up = mh | ~(xv | ph) & full
-        down = ph & xv
-    return score
-
-
 LINES = "array<struct<line:int,key:binary,fp:bigint,fp2:bigint,n:int>>"
 _LINES = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.binary()), ("fp", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32())]))
 
 
-def _text(words: list[bytes]) -> str:
-    return b" ".join(words).decode("utf-8", "replace")
-
+def _line_rows(min_words: int, exact: bool):
+    """Number, key, sketch (word bits or SimHash) and length of each line of min_words words or more, or where exact of each line with words."""
 
-def _line_keys(min_words: int):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [[(k, w) for k, w in enumerate(normalised(text)) if len(w) >= min_words] for text in texts.cast(pa.binary()).to_pylist()]
+            bodies = texts.cast(pa.binary()).to_pylist()
+            if exact:
+                found = [[(k, w) for k, w in enumerate(normalised(spaced(text))) if w] for text in bodies]
+            else:
+                found = [[(k, w) for k, w in enumerate(normalised(text)) if len(w) >= min_words] for text in bodies]
             flat = [w for own in found for _, w in own]
-            fps = simhashes(flat).view(np.int64) if flat else np.zeros((0, 2), dtype=np.int64)
+            fps = (word_bits(flat) if exact else simhashes(flat) if flat else np.zeros((0, 2), dtype=np.uint64)).view(np.int64)
             columns = [pa.array([k for own in found for k, _ in own], pa.int32()), pa.array(list(map(line_key, flat)), pa.binary()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(list(map(len, flat)), pa.int32())]
             offsets = np.append(0, np.cumsum([len(own) for own in found])).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_LINES.value_type)))
@@ -210,153 +101,28 @@ def _line_keys(min_words: int):
     return F.arrow_udf(run, LINES)
 
 
-def _tokens(words: list[bytes]) -> np.ndarray:
-    """32 bits of each word."""
-    out = [_mixed(word_hashes(words[at : at + SLICE]), 0x9E3779B97F4A7C15) >> np.uint64(32) for at in range(0, len(words), SLICE)]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of one in ORDER_SAMPLE lines each slot's words stand."""
-    counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            some = [set(words) for words in normalised(spaced(text)) if words and xxhash.xxh64_intdigest(words[0] + words[-1], len(words)) % ORDER_SAMPLE == 0]
-            if some:
-                np.add.at(counts, (_tokens(list(chain.from_iterable(some))) >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
-    slots = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int64))], names=["slot", "c"])
-
-
-def _class_of(count) -> np.ndarray:
-    """Counts on a scale of thirds of an octave, 63 at most."""
-    return np.minimum(63, 1 + 3 * np.log2(np.maximum(count, 1))).astype(np.uint8)
-
-
-def word_classes(docs: DataFrame) -> np.ndarray:
-    """The class of each slot's words, higher for more common ones."""
-    found = docs.filter("text is not null").select("text").mapInArrow(_word_counts, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).filter("c > 3").toArrow()
-    out = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
-    out[found["slot"].to_numpy()] = _class_of(found["c"].to_numpy())
-    return out
-
-
-def bucket_keys(lines: list[list[bytes]], classes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, 32-bit key) arrays by line, and two words of 64 bits for each line with a bit set for each of its words.
-
-    Any two lines with an edit similarity of ``similarity`` or more share a
-    key. A line of n words loses most = (1 - similarity) * n distinct words to
-    the other at most, so of its first most + 1 words in one order of all
-    words (rarest first) one is common, and of the first most + 2 two. A very
-    common word is no key by itself but with each later one of the most + 2;
-    lines of fewer distinct words have it alone too. Lines of over PAIRED
-    words have it alone, and up to PAIRED / similarity words both ways.
-    """
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    tokens = _tokens(list(chain.from_iterable(lines)))
-    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)
-    bits = np.zeros((len(lines), 2), dtype=np.uint64)
-    at = (tokens & np.uint64(127)).astype(np.int64)
-    np.bitwise_or.at(bits, (owner.astype(np.int64), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    level = classes[(tokens >> np.uint64(32 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-    # A batch holds far fewer than 2 ** 26 lines.
-    own = np.unique(owner << np.uint64(38) | level << np.uint64(32) | tokens)
-    line, token, hot = (own >> np.uint64(38)).astype(np.int64), own & np.uint64(0xFFFFFFFF), (own >> np.uint64(32) & np.uint64(63)) > _class_of(HOT_LINES / ORDER_SAMPLE)
-    most = ((1 - similarity) * sizes + 1e-9).astype(np.int64)
-    counts = np.bincount(line, minlength=len(lines))
-    place = np.arange(len(own)) - (np.cumsum(counts) - counts)[line]
-    first = place <= most[line]
-    hot &= first
-    long = hot & (sizes[line] > PAIRED)
-    few = hot & ~long & (counts < most + 2)[line]
-    pairs = hot & (sizes[line] <= PAIRED / similarity + 1e-9)
-    found = [(line[k], _mixed(token[k] + np.uint64(salt), 0x94D049BB133111EB)) for k, salt in ((first & ~hot, 0), (few, 1 << 33), (long, 1 << 34))]
-    left, step = np.flatnonzero(pairs), 1
-    while len(left):
-        left = left[(left + step < len(own)) & (place[left] + step <= most[line[left]] + 1)]
-        left = left[line[left + step] == line[left]]
-        found.append((line[left], _mixed(token[left] << np.uint64(32) | token[left + step], 0xD6E8FEB86659FD93)))
-        step += 1
-    line, keys = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    order = np.argsort(line, kind="stable")
-    return line[order], (keys[order] >> np.uint64(32)).astype(np.uint32), bits
-
-
-WHOLE_LINES = "array<struct<line:int,key:binary,fp:bigint,fp2:bigint,n:int,tokens:array<int>>>"
-_WHOLE_LINES = pa.list_(pa.struct([*_LINES.value_type, ("tokens", pa.list_(pa.int32()))]))
-
-
-def _whole_keys(min_words: int, similarity: float, classes):
-    """Like _line_keys, of all lines with words, with word bits for sketches, and bucket keys from min_words words on."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = [[(k, w) for k, w in enumerate(normalised(spaced(text))) if w] for text in texts.cast(pa.binary()).to_pylist()]
-            flat = [w for own in found for _, w in own]
-            line, keys, bits = bucket_keys([w if len(w) >= min_words else [] for w in flat], classes.value, similarity)
-            starts = np.append(0, np.cumsum(np.bincount(line, minlength=len(flat)))).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.view(np.int32)))
-            columns = [pa.array([k for own in found for k, _ in own], pa.int32()), pa.array(list(map(line_key, flat)), pa.binary()), pa.array(bits[:, 0].view(np.int64)), pa.array(bits[:, 1].view(np.int64)), pa.array(list(map(len, flat)), pa.int32()), tokens]
-            offsets = np.append(0, np.cumsum([len(own) for own in found])).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_WHOLE_LINES.value_type)))
-        pa.default_memory_pool().release_unused()
-
-    return F.arrow_udf(run, WHOLE_LINES)
-
-
-def _line_texts(lanes, whole: bool):
-    """The normalised lines whose place a Bloom filter may hold."""
+def _line_texts(lanes):
+    """The normalised lines whose place a Bloom filter may hold; all where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = BlockedBloom(lanes.value)
+        bloom = BlockedBloom(lanes.value) if lanes else None
         for batch in batches:
-            places = [(d, k, line) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for k, line in enumerate(normalised_lines(spaced(text) if whole else text))]
-            # Spark's xxhash64 of a string is XXH64 with seed 42.
-            hit = bloom.contains(np.fromiter((xxhash.xxh64_intdigest(f"{d}:{k}", 42) for d, k, _ in places), dtype=np.uint64, count=len(places)))
-            found = [p for p, h in zip(places, hit.tolist(), strict=True) if h]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int32()), pa.array([_text(p[2].split()) for p in found], pa.string())], names=["d", "line", "body"])
+            found = [(d, k, line) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True) for k, line in enumerate(normalised_lines(text))]
+            if bloom:
+                # Spark's xxhash64 of a string is XXH64 with seed 42.
+                hit = bloom.contains(np.fromiter((xxhash.xxh64_intdigest(f"{d}:{k}", 42) for d, k, _ in found), dtype=np.uint64, count=len(found)))
+                found = [p for p, h in zip(found, hit.tolist(), strict=True) if h]
+            bodies = [b" ".join(p[2].split()).decode("utf-8", "replace") for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int32()), pa.array(bodies, pa.string())], names=["d", "line", "body"])
 
     return run
 
 
-def _signatures(bodies: list[str]) -> np.ndarray:
-    """256 bits a line, one for each distinct word by hash: a bit without its like in another line is a word without."""
-    out = np.zeros((len(bodies), 4), dtype=np.uint64)
-    for k, body in enumerate(bodies):
-        bits = 0
-        for w in body.split(" "):
-            bits |= 1 << (hash(w) & 255)
-        out[k] = [bits >> s & 0xFFFFFFFFFFFFFFFF for s in (0, 64, 128, 192)]
-    return out
+def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) between keys of ``distinct`` (key, fp, fp2, n, first) of lines whose SimHashes meet and which are alike.
 
-
-def by_bits(bits: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one bucket whose lengths and word bits do not rule ``similarity`` out: a lost word clears one bit at most."""
-    order = np.lexsort((n, start))
-    bits, n, start = bits[order], n[order], start[order]
-    most = ((1 - similarity) * n + 1e-9).astype(np.int64)
-    back, i = 1, np.arange(len(n))
-    while True:
-        i = i[i - back >= start[i]]
-        # Shorter ones come before, so a row whose lengths lie too far apart is done.
-        i = i[n[i] - n[i - back] <= most[i]]
-        if not len(i):
-            return
-        a, b = bits[i], bits[i - back]
-        keep = np.bitwise_count(a & ~b).sum(axis=1) <= most[i]
-        keep &= np.bitwise_count(b & ~a).sum(axis=1) <= most[i]
-        if keep.any():
-            yield order[i[keep]], order[(i - back)[keep]]
-        back += 1
-
-
-def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between keys of ``distinct`` (key, fp, n, first) whose lines are alike.
-
-    Alike: their words' edit similarity suffices; with a radius their SimHashes
-    must also agree on some AGREE blocks and differ by radius bits at most.
-    Without, lines meet by the keys of ``bucket_keys``, which lose no pair, and
-    fp and fp2 hold the bits of their words. A first pass over
+    SimHashes must agree on some AGREE blocks and differ by radius bits at
+    most, and the words' edit similarity must suffice. A first pass over
     the buckets takes fingerprints and lengths alone (lengths too far apart
     rule a pair out) and finds the lines that need verification, and where.
     Only their texts are fetched, each from its first place (a Bloom filter of
@@ -364,14 +130,10 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS
     verified links already join are not compared again, so links grow with
     the lines.
     """
-    masks = [0xFFFFFFFF << 32] if radius is None else combined(BLOCKS, AGREE)
+    masks = combined(BLOCKS, AGREE)
 
     def candidates(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, t, fp2 = table["n"].to_numpy().astype(np.int64), table["t"].to_numpy(), table["fp2"].to_numpy()
-        if radius is None:
-            bits = np.stack([table["bits"].to_numpy(), fp2], axis=1).view(np.uint64)
-            yield from by_bits(bits, n, start, similarity)
-            return
         for i, j in matches(fp, start, HALF_RADIUS):
             keep = np.abs(n[i] - n[j]) <= (1 - similarity) * np.maximum(n[i], n[j]) + 1e-9
             keep &= np.bitwise_count((fp[i] ^ fp[j])).astype(np.int64) + np.bitwise_count((fp2[i] ^ fp2[j]).view(np.uint64)) <= radius
@@ -384,65 +146,27 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS
         for i, j in candidates(table, fp, start):
             hit[i] = hit[j] = True
         if hit.any():
-            yield from table.select([c for c in ("t", "fp", "bits", "fp2", "n") if c in table.column_names]).filter(pa.array(hit)).combine_chunks().to_batches()
+            yield from table.select(["t", "fp", "fp2", "n"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-    place = [F.col("first.d").alias("d"), F.col("first.line").alias("line")]
-    if radius is None:
-        # A bucket's key and 32 bits of the line, so that large buckets can be cut.
-        own, low = F.xxhash64("key").bitwiseAND(0xFFFFFFFF).alias("low"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("low")
-        sketch = ["low", "bits", "fp2", "n"]
-        sketched = distinct.select("key", own, F.col("fp").alias("bits"), "fp2", "n", *place, "tokens")
-        keyed = sketched.select("bits", "fp2", "n", "low", F.explode("tokens").alias("k"))
-        keyed = keyed.select(F.lit(0).cast("smallint").alias("t"), F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("low")).alias("fp"), "bits", "fp2", "n")
-        flagged = written(in_buckets(keyed, masks, flag, "t smallint, fp bigint, bits bigint, fp2 bigint, n int").distinct().withColumn("low", low), "flagged")
-        near = written(sketched.drop("tokens").join(flagged.select(*sketch).distinct(), sketch), "near")
-    else:
-        sketch = ["fp", "fp2", "n"]
-        met = in_buckets(exploded(distinct.select(*sketch), masks), masks, flag, "t smallint, fp bigint, fp2 bigint, n int")
-        flagged = written(met.distinct(), "flagged")
-        near = written(distinct.select("key", *sketch, *place).join(flagged, sketch), "near")
-        discard(flagged)
+    sketch = ["fp", "fp2", "n"]
+    met = in_buckets(exploded(distinct.select(*sketch), masks), masks, flag, "t smallint, fp bigint, fp2 bigint, n int")
+    flagged = written(met.distinct(), "flagged")
+    near = written(distinct.select("key", *sketch, F.col("first.d").alias("d"), F.col("first.line").alias("line")).join(flagged, sketch), "near")
+    discard(flagged)
     places = near.select("d", "line").distinct().select(F.concat_ws(":", F.col("d").cast("string"), F.col("line").cast("string")).alias("place"))
-    lanes = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(places, "place").lanes)
-    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes, radius is None), "d bigint, line int, body string")
-    rows = near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select(*([] if radius is None else ["t"]), "key", *sketch, "body")
-    if radius is None:
-        rows = written(rows, "bodies").join(flagged, sketch).select("t", "key", "fp", "bits", "fp2", "n", "body")
-    rows = written(rows, "candidates")
+    found = BlockedBloom.build(places, "place")
+    lanes = docs.sparkSession.sparkContext.broadcast(found.lanes) if found else None
+    texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes), "d bigint, line int, body string")
+    rows = written(near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select("t", "key", *sketch, "body"), "candidates")
 
     def verify(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, bodies = table["key"].to_pylist(), table["body"].to_pylist()
-        union, up = Union(len(fp)), list(range(len(fp)))
-        own, longest = _signatures(bodies), table["n"].to_numpy()
-        words: dict[int, tuple[list[str], set[str]]] = {}
-
-        def alike(x: int, y: int) -> bool:
-            for k in (x, y):
-                if k not in words:
-                    own = bodies[k].split(" ")
-                    words[k] = own, set(own)
-            (a, p), (b, q) = words[x], words[y]
-            return edit_similarity(a, b, similarity, (p, q)) >= similarity
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
+        keys, bodies = table["key"].to_pylist(), [b.split(" ") for b in table["body"].to_pylist()]
+        union = Union(len(fp))
         for i, j in candidates(table, fp, start):
-            most = (1 - similarity) * np.maximum(longest[i], longest[j]) + 1e-9
             apart = union.label[i] != union.label[j]
-            apart &= np.bitwise_count(own[i] & ~own[j]).sum(axis=1) <= most
-            apart &= np.bitwise_count(own[j] & ~own[i]).sum(axis=1) <= most
-            a, b = [], []
-            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                if (p := top(x)) != (q := top(y)) and alike(x, y):
-                    up[max(p, q)] = min(p, q)
-                    a.append(x)
-                    b.append(y)
-            if a:
-                union.join(np.array(a), np.array(b))
+            linked = [(x, y) for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True) if edit_similarity(bodies[x], bodies[y], similarity) >= similarity]
+            if linked:
+                union.join(*np.array(linked).T)
         # Each line hangs on the first that verified links lead to in this bucket, so that paths stay short.
         hung = np.flatnonzero(union.label != np.arange(len(fp))).tolist()
         if hung:
@@ -455,17 +179,35 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int | None = RADIUS
     return links
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def _node(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(key, root) of the linked keys, for a written table of links; roots are 64-bit hashes, or keys if two linked keys share a hash."""
+    nodes = written(links.select(F.col("u").alias("key")).union(links.select("v")).distinct().withColumn("node", _node("key")), "nodes")
+    n, hashes = nodes.agg(F.count("*"), F.count_distinct("node")).first()
+    if n == hashes:
+        roots = components(links.select(_node("u").alias("u"), _node("v").alias("v")))
+        out = written(nodes.join(roots, "node").select("key", "root"), "roots")
+    else:
+        out = written(components(links).withColumnRenamed("node", "key"), "roots")
+    discard(nodes)
+    return out
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """docs with text without repeated lines, and n_lines, n_dropped and dropped (line numbers from 0, in order).
 
-    Lines are parted by ``\\n`` alone. A line of min_words words or more is
-    dropped unless it is the first of its group by doc_id (null last), hash of
-    the text and line number. A group is what chains of equal or alike
-    normalised lines connect; shorter lines always stay. With a radius alike
-    lines are those whose sketches meet too, which loses most pairs near
-    ``similarity``; None finds all pairs of that edit similarity, groups equal
-    shorter lines too (only lines without words always stay), and takes each
-    character of a script without spaces as a word. A document may end
+    Lines are parted by ``\\n`` alone. A line is dropped unless it is the first
+    of its group by doc_id (null last), hash of the text and line number. A
+    group is what chains of equal or alike normalised lines connect: all
+    pairs of lines of min_words words or more with a word-level edit
+    similarity of ``similarity`` or more; shorter lines are only alike if
+    equal, and lines without words always stay. Each character of a script
+    without spaces counts as a word. With a ``radius`` alike lines are those
+    whose SimHashes meet too, which loses most pairs near ``similarity``, and
+    shorter lines always stay. A document may end
     up with an empty text; a null text stays null and has no lines. Rows equal
     in id and text share their lines' fate. Columns of docs named like a
     result, other than text, are replaced.
@@ -478,30 +220,37 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "dropped")
     identity = F.xxhash64("doc_id", "text").alias("d")
-    keys = _line_keys(min_words) if radius is not None else _whole_keys(min_words, similarity, docs.sparkSession.sparkContext.broadcast(word_classes(docs)))
-    own = ["l.tokens"] if radius is None else []
-    found = docs.select("doc_id", identity, F.explode(keys("text")).alias("l"))
-    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.key", "l.fp", "l.fp2", "l.n", *own), "lines")
-    distinct = written(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c"), *[F.min("tokens").alias("tokens") for _ in own]), "distinct")
-    roots = components(near_lines(distinct, docs, radius, similarity))
-    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left")
-    repeated = written(rooted.filter("c > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")), "repeated")
-    discard(distinct)
+    found = docs.select("doc_id", identity, F.explode(_line_rows(min_words, radius is None)("text")).alias("l"))
+    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.key", "l.fp", "l.fp2", "l.n"), "lines")
+    distinct = written(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
+    if radius is None:
+        links = alike_lines(distinct.select("key", "n", F.col("fp").alias("b0"), F.col("fp2").alias("b1")), docs, min_words, similarity)
+    else:
+        links = near_lines(distinct, docs, radius, similarity)
+    roots = _roots(links)
+    rooted = distinct.select("key", "first", "c").join(roots, "key", "left").filter("c > 1 or root is not null")
+    repeated = written(rooted.select("key", "first", "root"), "repeated")
     # Written, so that the join with a large group's lines can be split.
-    kept = written(repeated.groupBy("root").agg(F.min("first").alias("kept")), "kept")
-    drops = lines.select("key", "place").join(repeated.select("key", "root").join(kept, "root").select("key", "kept"), "key").filter("place != kept")
-    by_doc = drops.groupBy(F.col("place.d").alias("__gs_e")).agg(F.sort_array(F.collect_set("place.line")).alias("__gs_drop"))
-    keyed = docs.withColumn("__gs_d", identity).join(by_doc.hint("shuffle_hash"), F.col("__gs_d") == F.col("__gs_e"), "left")
+    kept = written(repeated.filter("root is not null").groupBy("root").agg(F.min("first").alias("kept")), "kept")
+    linked = repeated.filter("root is not null").join(kept, "root").select("key", "kept")
+    firsts = linked.union(repeated.filter("root is null").select("key", "first"))
+    drops = lines.select("key", "place").join(firsts, "key").filter("place != kept")
+    by_doc = written(drops.groupBy(F.col("place.d").alias("__gs_e")).agg(F.sort_array(F.collect_set("place.line")).alias("__gs_drop")), "drops")
+    for table in (lines, distinct, links, roots, repeated, kept):
+        discard(table)
+    # The lines travel instead of the text and are looked up by place, so a text takes time in proportion to its lines.
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(*others, identity.alias("__gs_d"), F.split("text", "\n", -1).alias("__gs_lines"))
+    joined = keyed.join(by_doc.hint("shuffle_hash"), F.col("__gs_d") == F.col("__gs_e"), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__gs_lines") - 1), F.col("__gs_drop"))
+    text = F.array_join(F.when(F.col("__gs_drop").isNull(), F.col("__gs_lines")).otherwise(F.transform(left, lambda k: F.get("__gs_lines", k))), "\n")
     dropped = F.coalesce("__gs_drop", F.array().cast("array<int>"))
-    parts = F.split("text", "\n", -1)
-    text = F.when(F.size(dropped) == 0, F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(F.col("__gs_drop"), k)), "\n"))
-    ends = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(ends + 1).cast("bigint")
-    others = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return keyed.select(*others, n_lines.alias("n_lines"), F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
+    n_lines = F.when(F.col("__gs_lines").isNull(), 0).otherwise(F.size("__gs_lines")).cast("bigint")
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*columns, n_lines.alias("n_lines"), F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (comma-joined) and text_sha256 of what stays; null for a null text."""
-    out = dedup_lines(docs.select("doc_id", "text"), radius=None)
+    out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"), F.sha2("text", 256).alias("text_sha256"))

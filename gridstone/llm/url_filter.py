@@ -15,8 +15,9 @@ from gridstone.llm.tables import prepare
 SALTS = tuple((0x2545F491 * k) & 0x7FFFFFFF | 1 for k in range(3, 19, 2))
 #: A block has 256 bits; at 16 bits a key about one probe in a thousand passes by chance.
 KEYS_PER_BLOCK = 16
-#: The filter never outgrows 32 MB; beyond about 16 million keys more probes pass, and the join still removes them.
-MAX_BLOCKS = 1 << 20
+#: The filter never outgrows 32 MB, which suits 16 million keys; up to three times as many, more probes pass (a few in a
+#: hundred), and beyond there is no filter. The join removes what passes either way.
+MAX_BLOCKS, MOST_PER_BLOCK = 1 << 20, 48
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a page shows (fixed values).
@@ -63,22 +64,27 @@ class BlockedBloom:
         self.lanes = lanes
 
     @staticmethod
-    def blocks_for(keys: int) -> int:
-        return min(MAX_BLOCKS, max(1, -(-keys // KEYS_PER_BLOCK)))
-
-    @staticmethod
-    def build(keys: DataFrame, key: str) -> BlockedBloom:
-        """Lanes are OR-ed by block on the executors; the driver gets at most MAX_BLOCKS small rows."""
-        n_blocks = BlockedBloom.blocks_for(keys.count())
+    def build(keys: DataFrame, key: str) -> BlockedBloom | None:
+        """Lanes are OR-ed by block on the executors, and come to the driver as at most 36 MB of Arrow arrays.
+
+        None where the keys would fill MAX_BLOCKS so far that the filter keeps
+        little away; the exact join then sees all rows.
+        """
+        n = keys.count()
+        if n > MAX_BLOCKS * MOST_PER_BLOCK:
+            return None
+        n_blocks = max(1, min(MAX_BLOCKS, -(-n // KEYS_PER_BLOCK)))
         h = F.xxhash64(key)
         low = h.bitwiseAND(F.lit(0x7FFFFFFF))
-        bits = [F.shiftright((low * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for s in SALTS]
-        rows = keys.select(F.pmod(F.shiftrightunsigned(h, 32), F.lit(n_blocks)).alias("b"), *[F.call_function("shiftleft", F.lit(1).cast("bigint"), x).alias(f"l{i}") for i, x in enumerate(bits)])
-        found = rows.groupBy("b").agg(*[F.bit_or(f"l{i}").alias(f"l{i}") for i in range(8)]).collect()
-        lanes = np.zeros((n_blocks, 8), dtype=np.uint32)
-        for r in found:
-            lanes[r[0]] = r[1:]
-        return BlockedBloom(lanes)
+        places = [F.shiftright((low * F.lit(s)).bitwiseAND(F.lit(0xFFFFFFFF)), 27).cast("int") for s in SALTS]
+        lanes = [F.call_function("shiftleft", F.lit(1), x).alias(f"l{i}") for i, x in enumerate(places)]
+        rows = keys.select(F.pmod(F.shiftrightunsigned(h, 32), F.lit(n_blocks)).cast("int").alias("b"), *lanes)
+        found = rows.groupBy("b").agg(*[F.bit_or(f"l{i}").alias(f"l{i}") for i in range(8)]).toArrow()
+        out = np.zeros((n_blocks, 8), dtype=np.uint32)
+        at = found["b"].to_numpy()
+        for i in range(8):
+            out[at, i] = found[f"l{i}"].to_numpy().view(np.uint32)
+        return BlockedBloom(out)
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each 64-bit hash may be listed; never false for one that is."""

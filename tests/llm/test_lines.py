@@ -10,7 +10,7 @@ import brute
 import numpy as np
 import pytest
 import xxhash
-from gridstone.llm import bitsliced, lines
+from gridstone.llm import bitsliced, line_grams, line_words, lines
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ def fp(words):
     full = (1 << 64) - 1
     hashes = []
     for w in words:
-        x = (sum(b * pow(lines.BASE, k, 1 << 64) for k, b in enumerate(w.encode())) + len(w.encode())) & full
+        x = (sum(b * pow(line_words.BASE, k, 1 << 64) for k, b in enumerate(w.encode())) + len(w.encode())) & full
         hashes.append(mixed(x, 0x9E3779B97F4A7C15) << 64 | mixed(x, 0x94D049BB133111EB))
     return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
 
@@ -112,7 +112,7 @@ def test_dedup_lines(spark, monkeypatch, chunk):
     monkeypatch.setattr(bitsliced, "CHUNK_ROWS", chunk)
     rows = make_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1)).withColumn("dropped", F.lit("old")).repartition(3)
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, radius=lines.RADIUS)
     assert out.columns == ["doc_id", "text", "key", "n_lines", "n_dropped", "dropped"]
     want = expected(rows)
     got = {r.doc_id: r for r in out.collect()}
@@ -132,55 +132,82 @@ def test_odd_tables(spark):
     assert lines.dedup_digest(docs.filter("text is null")).count() == 1
 
 
-def test_bucket_keys_lose_no_pair(monkeypatch):
+def edited(rng, a, n):
+    """a after n random edits of words."""
+    b = list(a)
+    for _ in range(n):
+        at = rng.randrange(len(b))
+        b[at : at + 1] = rng.choice([["x%d" % rng.randrange(900)], [], [b[at], "y%d" % rng.randrange(900)], [b[at]]])
+    return b
+
+
+@pytest.mark.parametrize("order", ["rare", "hash"])
+def test_line_keys_lose_no_pair(order):
+    """At every length and at the similarity's bound, with repeated words and with words of one class."""
     rng = random.Random(8)
-    for hot in (4096, 1):
-        monkeypatch.setattr(lines, "HOT_LINES", hot)
-        classes = np.zeros(1 << lines.SLOT_BITS, dtype=np.uint8)
-        classes[:: 2 if hot > 1 else 1] = 40
-        pairs = []
-        for n in [*range(1, 60), 250, 256, 257, 300, 321, 400] * 8:
-            a = [b"%d" % rng.randrange(rng.choice([2, 9, 500])) for _ in range(n)]
-            b = list(a)
-            for _ in range(n // 5):
-                at = rng.randrange(len(b))
-                b[at : at + 1] = rng.choice([[b"x%d" % rng.randrange(900)], [], [b[at], b"y%d" % rng.randrange(900)], [b[at]]])
-            if b and lines.edit_similarity(a, b) >= 0.8:
-                pairs.append((a, b))
-        line, key, bits = lines.bucket_keys([x for p in pairs for x in p], classes)
-        own = [set() for _ in range(2 * len(pairs))]
-        for k, x in zip(line.tolist(), key.tolist(), strict=True):
-            own[k].add(x)
-        assert len(pairs) > 300 and all(own[2 * k] & own[2 * k + 1] for k in range(len(pairs)))
-        n = np.array([len(x) for p in pairs for x in p])
-        met = {(min(i), max(i)) for a, b in lines.by_bits(bits, n, np.zeros(len(n), dtype=np.int64), 0.8) for i in zip(a.tolist(), b.tolist(), strict=True)}
-        assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= met
-
-
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_whole_similarity(spark, monkeypatch, hot):
-    """Against edit similarity alone, as op5_lines and the pipeline run it."""
-    monkeypatch.setattr(lines, "HOT_LINES", hot)
-    monkeypatch.setattr(lines, "ORDER_SAMPLE", 16 if hot > 1 else 1)
+    classes = np.zeros(1 << line_grams.SLOT_BITS, dtype=np.uint8)
+    classes[:: 2 if order == "rare" else 1] = 40
+    pairs = []
+    for n in [*range(5, 60), 250, 256, 257, 300, 321, 400] * 8:
+        a = ["%d" % rng.randrange(rng.choice([2, 9, 500])) for _ in range(n)]
+        b = edited(rng, a, n // 5)
+        if len(b) >= 5 and lines.edit_similarity(a, b) >= 0.8:
+            pairs.append(([w.encode() for w in a], [w.encode() for w in b]))
+    flat = [x for p in pairs for x in p]
+    line, key = line_grams.line_keys(flat, classes)
+    own = [set() for _ in flat]
+    for k, x in zip(line.tolist(), key.tolist(), strict=True):
+        own[k].add(x)
+    assert len(pairs) > 300 and all(own[2 * k] & own[2 * k + 1] for k in range(len(pairs)))
+    n = np.array(list(map(len, flat)))
+    met = {(min(i), max(i)) for a, b in line_grams.by_bits(line_grams.word_bits(flat), n, np.zeros(len(n), dtype=np.int64), 0.8) for i in zip(a.tolist(), b.tolist(), strict=True)}
+    assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= met
+
+
+def test_word_hashes_of_long_words():
+    words = [b"a", b"b" * 70_000, b"c" * 70_000, b"", b"a", b"x" * 600_000, b"b" * 70_000]
+    got = line_words.word_hashes(words).tolist()
+    assert got[0] == got[4] and got[1] == got[6] and len(set(got)) == 5
+    assert got[:1] == line_words.word_hashes([b"a"]).tolist() and max(map(len, line_words._POWERS)) < 4 * line_words.SLICE_BYTES
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_whole_similarity(spark, monkeypatch, small):
+    """Against the edit similarity of all pairs of lines, at each similarity from 0.8 up; also with everything cut small."""
+    if small:
+        for module, name, value in ((bitsliced, "CHUNK_ROWS", 4), (bitsliced, "SAMPLE", 1), (line_grams, "HELD_KEYS", 40), (line_grams, "PACK_KEYS", 30), (line_grams, "RANGE_KEYS", 20), (line_grams, "ORDER_SAMPLE", 1), (line_grams, "SEEN", 3), (line_grams, "VERIFY_ROWS", 2)):
+            monkeypatch.setattr(module, name, value)
     rng = random.Random(6)
     rows = []
-    for d in range(40):
-        a = ["w%d" % rng.randrange(300) for _ in range(rng.choice([5, 10, 15, 20]))]
-        b = list(a)
-        for k in rng.sample(range(len(a)), len(a) // 5 + d % 2):
-            b[k] = "v%d" % rng.randrange(300)
-        rows += [(2 * d, " ".join(a)), (2 * d + 1, " ".join(b))]
+    for d in range(150):
+        n = rng.choice([5, 6, 9, 10, 15, 20, 40, 80])
+        a = ["w%d" % rng.randrange(rng.choice([40, 300])) for _ in range(n)]
+        for k in range(rng.choice([1, 1, 2, 6])):
+            b = edited(rng, a, rng.randrange(n // 5 + 2)) if k else edited(rng, a, n // 5 + d % 2)
+            rows.append((len(rows), " ".join(a) + "\n" + " ".join(b)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    words = [norm(t) for _, t in rows]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if 1 - levenshtein(words[i], words[j]) / max(len(words[i]), len(words[j])) >= 0.8 - 1e-9]
-    tops = brute.classes(len(rows), links)
-    want = {d: int(tops[d] != d) for d, _ in rows}
-    assert sum(want.values()) >= 20
-    assert {r.doc_id: r.n_dropped for r in lines.dedup_digest(docs).collect()} == want
+    places = [(d, k, norm(x)) for d, t in rows for k, x in enumerate(t.split("\n"))]
+    like = {(i, j): 1 - levenshtein(places[i][2], places[j][2]) / max(len(places[i][2]), len(places[j][2])) for i in range(len(places)) for j in range(i) if abs(len(places[i][2]) - len(places[j][2])) <= 17}
+    links = [p for p, x in like.items() if x >= 0.8 - 1e-9 and (x == 1 or min(len(places[k][2]) for k in p) >= 5)]
+    assert all(sum(lo <= like[p] < lo + 0.05 for p in links) > 20 for lo in (0.8, 0.85, 0.9, 0.95))
+    tops = brute.classes(len(places), links)
+    want = {d: [] for d, _ in rows}
+    for k, (d, line, _) in enumerate(places):
+        if tops[k] != k:
+            want[d].append(line)
+    assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == want
+
+
+def test_hashes_that_clash(spark, monkeypatch):
+    """Groups are named by keys where two linked keys share a hash."""
+    monkeypatch.setattr(lines, "_node", lambda c: F.lit(7).cast("bigint"))
+    rows = [(1, "a b c d e\nf g h i j"), (2, "a b c d x\nf g h i y")]
+    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: [], 2: [0, 1]}
 
 
 def test_short_and_spaceless_lines(spark):
     thai, chinese = "ยินดีต้อนรับสู่เว็บไซต์ของเรา", "版权所有未经许可不得转载本站内容"
     rows = [(1, f"Read more\nx\n\n...\n{thai}\n{chinese}"), (2, f"read more!\ny\n\n...\n{thai}\n{chinese[:-1]}物"), (3, "All rights reserved"), (4, "all rights reserved\nx")]
-    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), radius=None).collect()}
+    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: [], 2: [0, 4, 5], 3: [], 4: [0, 1]}
