@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridstone.llm.quality import MAX_HOST_RATE
+from gridstone.llm.quality import MAX_HOST_RATE, REPEAT_SHARE
 from gridstone.llm.url_filter import LOWER, TRACKING, UPPER
 
 BLANK = r"[\x20\x09-\x0D]"
@@ -38,8 +38,9 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM b GROUP BY source),
 m AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM s),
 p AS (SELECT m, CASE WHEN v > 1e-9 THEN least(greatest(m * (1 - m) / v - 1, 1e0), 1000e0) ELSE 1e0 END AS weight FROM m),
-j AS (SELECT source, (bad + m * weight) / (n + weight) <= {MAX_HOST_RATE} AS host_kept FROM s, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
+j AS (SELECT source, m, (bad + m * weight) / (n + weight) AS rate FROM s, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {MAX_HOST_RATE}
+  AND n_repeat_words <= (CASE WHEN rate > m AND m < 1 THEN {REPEAT_SHARE} * (1 - rate) / (1 - m) ELSE {REPEAT_SHARE} END) * n_words AS kept
 FROM b JOIN j ON b.source IS NOT DISTINCT FROM j.source"""
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

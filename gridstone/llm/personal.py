@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,6 +23,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SCHEME = LETTERS | DIGITS | frozenset("+.-")
 
 #: Cues and what follows them (fixed values).
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport")
@@ -29,8 +32,7 @@ SECRET_CUES = ("token", "password", "secret", "api_key", "apikey")
 STREET_CUES = ("street", "avenue", "road", "lane", "boulevard", "drive")
 ACCOUNT = re.compile(r"(?:\s+(?:no|number|nr)\b\.?)?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9 -]{3,32}[0-9])", re.I)
 SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9+/=_-]{16,})")
-STREET = re.compile(r"[0-9]{1,5}[A-Za-z]?(?:\x20[A-Z][a-z]+){1,3}\Z")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+STREET = re.compile(r"\b[0-9]{1,5}[A-Za-z]?(?:\x20[A-Z][a-z]+){1,3}\x20[A-Za-z]+\Z")
 URL_TAIL = re.compile(r"[^\s\"'<>|]+")
 
 Span = tuple[str, int, int]
@@ -107,22 +109,41 @@ def added_spans(text: str, anchors: dict[str, list[int]], base: list[Span]) -> l
     """URLs, accounts, secrets and street addresses around their anchors, where they do not overlap a base span of theirs."""
     out: list[Span] = []
     for at in anchors.get("://", []):
-        head = SCHEME.search(text[max(0, at - 16) : at])
+        start = at
+        while start > 0 and text[start - 1] in SCHEME:
+            start -= 1
+        while start < at and text[start] not in LETTERS:
+            start += 1
         tail = URL_TAIL.match(text, at + 3)
-        if head and tail:
+        if start < at and tail:
             end = at + 3 + len(tail[0].rstrip(".,;:!?)]}"))
             if end > at + 3:
-                out.append(("url", at - len(head[0]), end))
-    taken = sorted((s[1], s[2]) for s in base)
+                out.append(("url", start, end))
+    starts, ends = [], []  # of the base spans' union, in order
+    for a, b in sorted((s[1], s[2]) for s in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free_of_base(a: int, b: int) -> bool:
+        k = bisect_left(starts, b) - 1
+        return k < 0 or ends[k] <= a
+
     for kind, cue, pattern in (("account", "account", ACCOUNT), ("secret", "secret", SECRET)):
         for at in anchors.get(cue, []):
-            if (m := pattern.match(text, at)) and not any(a < m.end(1) and m.start(1) < b for a, b in taken):
+            if (m := pattern.match(text, at)) and free_of_base(m.start(1), m.end(1)):
                 out.append((kind, *m.span(1)))
     for at in anchors.get("street", []):
-        before = text[max(0, at - 64) : at]
-        word = re.search(r"(\S+)\Z", before)
-        if word and (m := STREET.search(before)) and text[at : at + 1].isalpha() is False:
-            out.append(("address", max(0, at - 64) + m.start(), at))
+        # Before the cue's end stand the cue, one to three names and the number, each parted by one space.
+        low = at
+        for _ in range(5):
+            low = text.rfind(" ", 0, low)
+            if low < 0:
+                break
+        if not text[at : at + 1].isalpha() and (m := STREET.search(text, low + 1, at)):
+            out.append(("address", m.start(), at))
     free: dict[str, int] = {}
     kept = []
     for s in sorted(out, key=_order):
@@ -177,11 +198,12 @@ def find_personal(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def personal_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, then n_url, n_account, n_secret, n_address and n_spans."""
     found = find_personal(docs.select("doc_id", "text")).select("doc_id", "personal")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind: str):
-        return F.size(F.filter("personal", lambda s: s["base"] & (s["kind"] == kind))).cast("bigint").alias(f"n_{kind}")
+        return F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(F.filter("personal", lambda s: s["base"])), 256).alias("base_sha256"), joined(F.col("personal")).alias("spans"))
+    own = F.sha2(joined(F.filter("personal", lambda s: s["base"])), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, BASE_KINDS), own, joined(F.col("personal")).alias("spans"), *map(count, KINDS[len(BASE_KINDS) :]), F.size("personal").cast("bigint").alias("n_spans"))

@@ -26,8 +26,10 @@ NODES = 1_000_000
 DRAWN_CHARS = 1 << 19
 #: Slots of the piece table, as a power of two, and the multiplier of its rolling hash.
 TABLE_BITS, STEP = 19, np.uint64(0x2545F4914F6CDD1D)
-#: A longer chunk is cut after so many characters; a text without any space thus takes bounded memory.
+#: Longer chunks (texts without spaces) are sampled one by one, with twelve bytes a character for their forward sums.
 CHUNK_CHARS = 256
+#: A forward sum below this is scaled up by its inverse, and so are those after it.
+SMALL = 1e-100
 
 
 class Vocabulary:
@@ -44,6 +46,8 @@ class Vocabulary:
         self.weights = np.zeros(self.size)
         self.weights[ids] = (np.arange(len(ids)) + OFFSET) ** -ALPHA
         self.longest = max(len(self.pieces[k]) for k in ids)
+        self.ids = {self.pieces[k]: k for k in ids}
+        self.weight_of = {self.pieces[k]: float(self.weights[k]) for k in ids}
         self._index(ids)
         if any(SPACE in self.pieces[k].lstrip(SPACE) for k in ids):
             raise ValueError("a piece spans the start of a word, so words cannot be segmented on their own")
@@ -110,14 +114,10 @@ def chunks_of(text: str) -> list[str]:
     """The text as words with their leading spaces.
 
     No piece spans two of them, so the lattice of the text is the chain of
-    their lattices, but for chunks of over CHUNK_CHARS characters: they are cut,
-    and pieces that would span a cut are not drawn. A U+2581 of the text itself goes through its bytes, so
+    their lattices. A U+2581 of the text itself goes through its bytes, so
     that decoding can tell it from a space.
     """
-    found = _CHUNK.findall(text)
-    if max(map(len, found), default=0) <= CHUNK_CHARS:
-        return found
-    return [c[k : k + CHUNK_CHARS] for c in found for k in range(0, len(c), CHUNK_CHARS)]
+    return _CHUNK.findall(text)
 
 
 class Lattices:
@@ -127,8 +127,9 @@ class Lattices:
     carry the chance that a segmentation which reaches the node does so by
     that piece. Those chances follow from the forward sums, so sampling
     backwards from a chunk's end draws whole segmentations of the chunk with
-    exactly the weight of their pieces' product; a chunk that was cut is
-    several, each drawn on its own.
+    exactly the weight of their pieces' product. Chunks of over CHUNK_CHARS
+    characters keep their forward sums alone, not their edges, and follow the
+    same law.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -229,10 +230,12 @@ class Lattices:
             own = chunks_of(" " + text) if text else []
             chunks += own
             counts.append(len(own))
-        known = self.ends
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
+        known, lengths = self.ends, list(map(len, chunks))
+        long = [k for k, n in enumerate(lengths) if n > CHUNK_CHARS]
+        apart = set(long)
+        if new := [c for c in dict.fromkeys(chunks) if c not in known and len(c) <= CHUNK_CHARS]:
             self.add(new)
-        ends, lengths = list(map(known.__getitem__, chunks)), list(map(len, chunks))
+        ends = [0 if k in apart else known[c] for k, c in enumerate(chunks)] if long else list(map(known.__getitem__, chunks))
         sizes = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         bases = np.append(0, np.cumsum(sizes))
         node, length = np.array(ends, dtype=np.int64), np.array(lengths, dtype=np.int64)
@@ -243,6 +246,14 @@ class Lattices:
         shift = bases[row]
         taken = np.zeros(int(bases[-1]), dtype=bool)
         found = np.zeros(int(bases[-1]), dtype=np.int32)
+        for k in long:
+            own, at = self._sample_long(chunks[k], key[k], place[k] - shift[k])
+            taken[low[k] + at] = True
+            found[low[k] + at] = own
+        if long:
+            short = np.ones(len(node), dtype=bool)
+            short[long] = False
+            node, place, low, key, shift = (x[short] for x in (node, place, low, key, shift))
         while len(node):
             u = uniform(key, place - shift)
             edge = self.first[node]
@@ -262,6 +273,51 @@ class Lattices:
             out, starts = self._with_bytes(out, starts)
         return np.split(out, starts[1:-1])
 
+    def _sample_long(self, chunk: str, key: np.uint64, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, starts) of one segmentation of a long chunk; ``last`` is the place in the text at which it ends.
+
+        Forward sums go place by place over the last ``longest`` ones, scaled
+        up where they grow small; sampling walks back over the same pieces.
+        """
+        own, n = chunk.replace(SPACE, "\0").replace(" ", SPACE), len(chunk)
+        ids, weights, longest = self.vocabulary.ids, self.vocabulary.weight_of, self.vocabulary.longest
+        sums, scales = np.ones(n + 1), np.zeros(n + 1, dtype=np.int32)
+        recent, scale = [1.0], 0  # forward sums of the last places, all at one scale
+
+        def single(end: int) -> float:
+            return weights.get(own[end - 1], CHAR_WEIGHT)
+
+        for end in range(1, n + 1):
+            total = recent[-1] * single(end)
+            for size in range(2, min(longest, end) + 1):
+                w = weights.get(own[end - size : end])
+                if w:
+                    total += recent[-size] * w
+            recent.append(total)
+            del recent[:-longest]
+            if total < SMALL:
+                recent, scale = [x / SMALL for x in recent], scale + 1
+            sums[end], scales[end] = recent[-1], scale
+        draws = uniform(np.full(n + 1, key, dtype=np.uint64), np.arange(last - n, last + 1))
+        pieces, starts, end = [], [], n
+        while end:
+            edges = []
+            for size in range(min(longest, end), 0, -1):
+                w = single(end) if size == 1 else weights.get(own[end - size : end])
+                if w:
+                    # A sum that was scaled fewer times counts for more.
+                    edges.append((size, sums[end - size] * SMALL ** (int(scales[end - size]) - int(scales[end])) * w))
+            u, run, total = draws[end], 0.0, sum(x for _, x in edges)
+            for size, x in edges:
+                run += x
+                if run > u * total:
+                    break
+            end -= size
+            piece = ids.get(own[end : end + size])
+            pieces.append(-1 - self._byte_edge(chunk[end]) if piece is None else piece)
+            starts.append(end)
+        return np.array(pieces, dtype=np.int32), np.array(starts, dtype=np.int64)
+
     def _with_bytes(self, out: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece replaced by their bytes' pieces."""
         widths = np.ones(len(out), dtype=np.int64)
@@ -321,9 +377,9 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, key: str = "doc_i
 
     Forward sums over the piece lattice, then backward sampling; the draws
     come from the row's key and the seed, so equal rows get equal pieces on
-    any cluster. As in the usual encoding a space precedes the text; a null or
-    empty text has no pieces and is lossless. A null key is one more key
-    value. Columns named pieces or lossless are replaced.
+    any cluster. As in the usual encoding a space precedes the text. An empty
+    text has no pieces, a null text null ones; both are lossless. A null key is
+    one more key value. Columns named pieces or lossless are replaced.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -333,7 +389,8 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, key: str = "doc_i
         lattices = _lattices(model.value)
         for ids, texts in batches:
             keys = [row_key(k, seed) for k in ids.to_pylist()]
-            whole = [t or "" for t in texts.to_pylist()]
+            own = texts.to_pylist()
+            whole = [t or "" for t in own]
             found: list[np.ndarray] = []
             at = 0
             while at < len(whole):
@@ -345,7 +402,8 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, key: str = "doc_i
                 at = stop
             same = [decode(lattices.vocabulary, f.tolist()) == t for f, t in zip(found, whole, strict=True)]
             offsets = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
-            pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
+            pieces = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([t is None for t in own], pa.bool_()))
             yield pa.StructArray.from_arrays([pieces, pa.array(same)], fields=list(_FOUND))
 
     kept = [c for c in docs.columns if c not in ("pieces", "lossless")]
@@ -368,6 +426,6 @@ def decoded(encoded: DataFrame, model_path: str, to: str = "text") -> DataFrame:
 
 
 def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, pieces_hash (xxhash64 of the ids) and lossless."""
+    """doc_id, n_pieces (0 for null), pieces_hash (xxhash64 of the ids) and lossless."""
     out = encode(docs.select("doc_id", "text"), model_path)
-    return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")
+    return out.select("doc_id", F.coalesce(F.when(F.col("pieces").isNotNull(), F.size("pieces")), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "lossless")

@@ -12,6 +12,8 @@ SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A host goes if its shrunken failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: A document of an average host may have so large a share of its words in repeated windows; a worse host's, less.
+REPEAT_SHARE = 0.5
 
 
 def word_array(text: Column) -> Column:
@@ -53,12 +55,15 @@ def document_features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(checked: DataFrame, host: str, failed: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, n, n_failed, rate and host_kept for each host.
+    """host, n, n_failed, rate, share and host_kept for each host.
 
     The beta prior comes from the hosts themselves by the method of moments:
     mean and variance of their rates give its two weights, so a host with few
     rows is drawn to the mean and one with many keeps its own rate. Where the
     rates have no spread, or more than a beta law allows, the prior weighs one row.
+    share is what a document of the host may repeat: REPEAT_SHARE up to the
+    mean rate, and above it less, as the host's chance of a good document
+    falls below the mean's.
     """
     hosts = checked.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col(failed)).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n")
@@ -67,7 +72,8 @@ def host_verdicts(checked: DataFrame, host: str, failed: str, max_rate: float =
     weight = m * (1 - m) / v - 1 if v > 1e-9 else 1.0
     weight = min(max(weight, 1.0), 1000.0)
     rate = (F.col("n_failed") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.withColumn("rate", rate).withColumn("host_kept", F.col("rate") <= F.lit(max_rate))
+    above = F.when(F.col("rate") > F.lit(m), F.lit(REPEAT_SHARE) * (1 - F.col("rate")) / F.lit(1 - m)) if m < 1 else F.lit(None).cast("double")
+    return hosts.withColumn("rate", rate).withColumn("share", F.coalesce(above, F.lit(REPEAT_SHARE))).withColumn("host_kept", F.col("rate") <= F.lit(max_rate))
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), max_rate: float = MAX_HOST_RATE) -> DataFrame:
@@ -77,11 +83,14 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: tup
     are pre-aggregated before their shuffle, and the verdict table (one row a
     host) is joined back, null hosts to each other. Spark's own size check
     decides on a broadcast; beyond it the sort-merge join can split a hot host.
+    A document stays if it passes the base rules, its host's shrunken failure
+    rate is max_rate at most, and its repeated words keep within the share
+    that the host's rate leaves it (``host_verdicts``).
     A null text has no words and fails. An empty table gives an empty result.
     """
     thin = docs.select(*[F.col(c) for c in keep], F.col(host).alias("__gs_host"), F.col(text).alias("__gs_text"))
     checked = written(document_features(thin, "__gs_text").drop("__gs_text"), "quality")
-    verdicts = host_verdicts(checked, "__gs_host", "base_failed", max_rate).select("host", "host_kept")
+    verdicts = host_verdicts(checked, "__gs_host", "base_failed", max_rate).select("host", "host_kept", "share")
     joined = checked.join(verdicts, F.col("__gs_host").eqNullSafe(F.col("host")), "left")
-    kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)) & (F.col("n_repeat_words") <= F.col("share") * F.col("n_words"))
     return joined.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

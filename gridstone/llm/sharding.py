@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.tables import written
 
+#: Logical partitions; beyond so many, each holds more rows than asked for, and a task's sort of them may spill. The driver
+#: draws MAX_PARTS * n_shards numbers at most, whatever the input.
+MIN_PARTS, MAX_PARTS = 64, 1 << 14
 #: The matrix is broadcast up to this many bytes, joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -83,7 +86,7 @@ def shard(df: DataFrame, keys: list[str], n_shards: int = 24, seed: int = 7, row
     permutation), and after the exchange a second random order gives its slot.
     Both orders come from seeded hashes of the keys, so a task that runs again
     yields the same rows. Logical partitions, and blocks of a shard, hold about
-    rows_per_block rows, so no task sorts a whole shard.
+    rows_per_block rows (more above MAX_PARTS of them), so no task sorts a whole shard.
 
     Nulls count as a key value of their own; rows equal in all keys are
     interchangeable; equal texts are dealt independently, as a uniform shuffle
@@ -92,7 +95,7 @@ def shard(df: DataFrame, keys: list[str], n_shards: int = 24, seed: int = 7, row
     """
     df = df.drop("shard", "slot")
     n = df.count()
-    parts = max(64, math.ceil(n / rows_per_block))
+    parts = min(MAX_PARTS, max(MIN_PARTS, math.ceil(n / rows_per_block)))
     keyed = df.withColumn("__gs_k", F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)))
     keyed = keyed.withColumn("__gs_part", F.pmod(F.xxhash64("__gs_k", F.lit(1)), F.lit(parts)).cast("int"))
     counts = {r[0]: r[1] for r in keyed.groupBy("__gs_part").count().collect()}

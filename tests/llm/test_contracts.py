@@ -104,6 +104,18 @@ def test_host_verdicts(spark):
     assert got["one"].rate < 1
 
 
+def test_quality_by_host(spark):
+    """Planted hosts: a bad one loses all, a dubious one its repetitive documents, and an average one nothing that passes."""
+    fine, dense = " ".join(f"w{k}" for k in range(60)), " ".join(["a b c d e f g h i j k l m n"] * 2 + [f"w{k}" for k in range(32)])
+    rows = [(f"{h}{k}", h, "short" if k < bad else dense if k % 2 else fine) for h, n, bad in (("bad", 60, 50), ("dubious", 60, 26), ("good", 200, 4), ("plain", 200, 6)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    got = quality.quality(docs, keep=("doc_id", "source"))
+    passed = {(r.source, r.n_repeat_words > 0): r for r in got.filter("not base_failed").groupBy("source", "n_repeat_words").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert all(r.kept == 0 for (h, _), r in passed.items() if h == "bad")
+    assert passed["dubious", True].kept == 0 and passed["dubious", False].kept == passed["dubious", False].n > 0
+    assert all(r.kept == r.n for (h, _), r in passed.items() if h in ("good", "plain"))
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [(900, "A b c"), (901, "one"), (902, ""), (903, None), (None, "lost")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -147,7 +159,22 @@ def test_personal_added():
     kinds = {k: text[a:b] for k, a, b in personal.personal_spans(text, AUTOMATON)[1]}
     assert kinds["url"] == "https://a.example.com/x?y=1"
     assert kinds["secret"] == "abcdef0123456789abcd"
-    assert kinds["account"].startswith("DE12")
+    assert kinds["account"] == "DE12 3456 7890"
+    assert kinds["address"] == "12 Long Hill road"
+
+
+@pytest.mark.parametrize("before", ["", "İ", "ß İ ", "x" * 100_000 + " "])
+def test_personal_cues_everywhere(before):
+    text = before + "PASSWORD: hunter2hunter2hunter2, IBAN DE12 3456 7890; 7 Elm Street. averylongschemename-indeed+x://host/a, 1://y"
+    kinds = {k: text[a:b] for k, a, b in personal.personal_spans(text, AUTOMATON)[1]}
+    assert kinds["secret"] == "hunter2hunter2hunter2" and kinds["account"] == "DE12 3456 7890"
+    assert kinds["address"] == "7 Elm Street" and kinds["url"] == "averylongschemename-indeed+x://host/a"
+
+
+def test_personal_counts(spark):
+    docs = spark.createDataFrame([(1, "a@b.co token: abcdef0123456789abcd"), (2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in personal.personal_digest(docs).collect()}
+    assert (got[1].n_email, got[1].n_secret, got[1].n_url, got[1].n_spans) == (1, 1, 0, 2) and got[2].n_spans == 0
 
 
 def test_sharding(docs, rows):

@@ -79,12 +79,45 @@ def test_encode(spark):
     assert out.columns == ["doc_id", "text", "x", "pieces", "lossless"]
     found = out.collect()
     assert all(r.lossless for r in found)
-    assert [len(r.pieces) for r in found if not r.text] == [0, 0]
+    assert sorted((r.pieces for r in found if not r.text), key=str) == [None, []]
     one = [tuple(r.pieces) for r in found if r.doc_id == 1]
     assert one[0] == one[1]
     again = pieces.encode(docs.repartition(3), str(MODEL)).collect()
-    key = lambda r: (str(r.doc_id), str(r.text), tuple(r.pieces))
+    key = lambda r: (str(r.doc_id), str(r.text), str(r.pieces))
     assert sorted(map(key, again)) == sorted(map(key, found))
     back = pieces.decoded(out.drop("text"), str(MODEL)).collect()
-    assert Counter((r.doc_id, r.text) for r in back) == Counter((d, t or "") for d, t in rows)
+    assert Counter((r.doc_id, r.text) for r in back) == Counter(rows)
     assert pieces.encode_digest(docs.filter("false"), str(MODEL)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aehilnorst\n▁é文\0"), max_size=30), min_size=1, max_size=6).map(" ".join))
+def test_long_chunks_follow_the_same_law(lattices, text):
+    """One by one or all at once, the same draws give the same pieces."""
+    want = lattices.sample([text] * 3, [1, 2, 3])
+    lattices.clear()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pieces, "CHUNK_CHARS", 2)
+        got = lattices.sample([text] * 3, [1, 2, 3])
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_very_long_chunks(lattices):
+    """Words of 300 to 3000 characters against an uncut lattice; sums far below the smallest number; boundaries fall evenly."""
+    words = [("thequickbrownfox文" * 200)[: n] for n in (300, 1000, 3000)]
+    texts = [" ".join([w, "a", w[::-1]]) for w in words]
+    got = lattices.sample(texts, [5, 6, 7])
+    lattices.clear()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pieces, "CHUNK_CHARS", 1 << 13)
+        want = lattices.sample(texts, [5, 6, 7])
+    lattices.clear()
+    assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert [pieces.decode(lattices.vocabulary, x.tolist()) for x in got] == texts
+
+
+def test_null_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pieces.decoded(pieces.encode(docs, str(MODEL)).withColumnRenamed("text", "own"), str(MODEL)).collect()}
+    assert got[1].pieces is None and got[1].text is None and got[2].pieces == [] and all(r.lossless and r.text == r.own for r in got.values())
+    assert [r.n_pieces for r in pieces.encode_digest(docs, str(MODEL)).orderBy("doc_id").collect()][:2] == [0, 0]
