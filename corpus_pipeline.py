@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm import decontaminate, lines, pieces, simhash, toxicity
 from gridstone.llm.queries import PIECE_MODEL
-from gridstone.llm.tables import written
+from gridstone.llm.tables import discard, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's result is written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        last, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
