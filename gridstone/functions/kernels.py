@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridstone.operators.halo import sliding_map
 from gridstone.operators.ndarray import NdArray
 from gridstone.operators.vector import Vec, div, zipped
-from gridstone.sources.shared import written
+from gridstone.sources.shared import discard, written
 
 # STREAM
 
@@ -84,10 +84,14 @@ def stencil1d(vec: Vec, size: int, steps: int = 1, radius: int = 1, block: int =
 
 def iterate(state: NdArray, step: Callable[[NdArray], NdArray], steps: int, every: int = 2) -> NdArray:
     """The state after so many steps; every few of them it is written to the shared folder, so that plans stay small."""
+    held = None
     for k in range(1, steps + 1):
         state = step(state)
         if k % every == 0 and k < steps:
-            state = NdArray(written(state.df, "state"), state.shape, state.cols)
+            old, held = held, written(state.df, "state")
+            state = NdArray(held, state.shape, state.cols)
+            if old is not None:
+                discard(old)
     return state
 
 

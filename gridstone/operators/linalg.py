@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridstone.operators.vector import IDX, Vec, div
@@ -13,6 +15,11 @@ from gridstone.operators.vector import IDX, Vec, div
 BLOCK_SIDE = 64
 
 
+def _numbers(df: DataFrame, n: int, name: str) -> DataFrame:
+    """The numbers from 0 to n - 1 as one column."""
+    return df.sparkSession.range(n).select(F.col("id").alias(name))
+
+
 class Mat:
     """``df`` has i, j (BIGINT, from 0) and v; cells that are missing are zero."""
 
@@ -24,28 +31,40 @@ class Mat:
         """Values of equal coordinates are added."""
         return Mat(rows.groupBy("i", "j").agg(F.sum("v").alias("v")), shape)
 
+    @staticmethod
+    def from_rows(rows: DataFrame, shape: tuple[int, int]) -> Mat:
+        """From one row (i, cells) for each row of the matrix, cells being an array of (j, v)."""
+        cells = rows.select("i", F.explode("cells").alias("c"))
+        return Mat(cells.select("i", F.col("c.j").alias("j"), F.col("c.v").alias("v")), shape)
+
     # Products
 
     def spmv(self, x: Vec, y: Vec | None = None, name: str = "v") -> Vec:
-        """A x, or y + A x; rows without cells give 0 only where y has them.
+        """A x, or y + A x, with an element for every row; rows without cells give 0.
 
         The vector is joined by column; Spark broadcasts it if its size is
         below the session's limit and shuffles both sides otherwise. Products
         are added up before they are dealt by row.
         """
-        col = x.cols[0]
+        col, zero = x.cols[0], F.lit(0)
         pairs = self.df.join(x.df.select(F.col(IDX).alias("j"), F.col(col).alias("x")), "j")
-        found = pairs.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+        found = pairs.groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s")).withColumnRenamed("i", IDX)
         if y is None:
-            return Vec(found.select(F.col("i").alias(IDX), F.col("s").alias(name)))
-        both = y.df.select(IDX, F.col(y.cols[0]).alias("y")).join(found.withColumnRenamed("i", IDX), IDX, "full")
-        zero = F.lit(0)
+            return Vec(_numbers(self.df, self.shape[0], IDX).join(found, IDX, "left").select(IDX, F.coalesce("s", zero).alias(name)))
+        both = y.df.select(IDX, F.col(y.cols[0]).alias("y")).join(found, IDX, "full")
         return Vec(both.select(IDX, (F.coalesce("y", zero) + F.coalesce("s", zero)).alias(name)))
 
-    def spmm(self, b: DataFrame) -> DataFrame:
-        """(i, col, v) of the product with a slim dense matrix b (idx, col, x)."""
+    def spmm(self, b: DataFrame, n_cols: int | None = None) -> DataFrame:
+        """(i, col, v) of the product with a slim dense matrix b (idx, col, x), with a cell for every row and column.
+
+        ``n_cols`` is b's width; without it one aggregate finds it.
+        """
+        if n_cols is None:
+            n_cols = (b.agg(F.max("col")).first()[0] or 0) + 1
         pairs = self.df.join(b.select(F.col(IDX).alias("j"), "col", "x"), "j")
-        return pairs.groupBy("i", "col").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        found = pairs.groupBy("i", "col").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        cells = _numbers(self.df, self.shape[0], "i").select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))).alias("col"))
+        return cells.join(found, ["i", "col"], "left").select("i", "col", F.coalesce("v", F.lit(0)).alias("v"))
 
     def gemm(self, b: Mat, c: Mat | None = None) -> Mat:
         """A B, or C + A B: a join on the inner index and an aggregate with partial sums."""
@@ -87,10 +106,16 @@ class Mat:
     # Parts
 
     def row(self, i: int) -> Vec:
-        return Vec(self.df.filter(F.col("i") == i).select(F.col("j").alias(IDX), "v"))
+        """Row i with its zeros."""
+        return self._line(F.col("i") == i, "j", self.shape[1])
 
     def column(self, j: int) -> Vec:
-        return Vec(self.df.filter(F.col("j") == j).select(F.col("i").alias(IDX), "v"))
+        """Column j with its zeros."""
+        return self._line(F.col("j") == j, "i", self.shape[0])
+
+    def _line(self, kept: Column, along: str, n: int) -> Vec:
+        cells = self.df.filter(kept).select(F.col(along).alias(IDX), "v")
+        return Vec(_numbers(self.df, n, IDX).join(cells, IDX, "left").select(IDX, F.coalesce("v", F.lit(0)).alias("v")))
 
     def submatrix(self, rows: tuple[int, int], cols: tuple[int, int]) -> Mat:
         """The cells of [start, end) rows and columns, from (0, 0)."""
@@ -119,6 +144,10 @@ class Mat:
 
     # Changes
 
+    def for_each(self, fn: Callable[..., Column]) -> Mat:
+        """The cells with fn(i, j, v) for v; cells that are missing stay so."""
+        return Mat(self.df.select("i", "j", fn(F.col("i"), F.col("j"), F.col("v")).alias("v")), self.shape)
+
     def insert(self, new: Mat) -> Mat:
         """New cells are added; cells that exist stay."""
         return Mat(self.df.unionByName(new.df.join(self.df.select("i", "j"), ["i", "j"], "left_anti")), self.shape)

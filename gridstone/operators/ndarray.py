@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.operators.vector import IDX, Vec, div
+from gridstone.operators.vector import IDX, Vec, div, printed
 
 DIMS = ("i", "j", "k")
 
@@ -72,6 +72,18 @@ class NdArray:
     def extent(self, dim: int) -> int:
         return self.shape[dim]
 
+    def equal(self, other: NdArray) -> bool:
+        """Whether shapes and the first components agree, in one full join."""
+        if self.shape != other.shape:
+            return False
+        a = self.df.select(*self.dims, F.lit(True).alias("__a"), F.col(self.cols[0]).alias("__x"))
+        b = other.df.select(*self.dims, F.lit(True).alias("__b"), F.col(other.cols[0]).alias("__y"))
+        both = a.join(b, self.dims, "full")
+        return both.filter(F.col("__a").isNull() | F.col("__b").isNull() | ~F.col("__x").eqNullSafe(F.col("__y"))).isEmpty()
+
+    def __str__(self) -> str:
+        return printed(self.df.orderBy(*self.dims).select(self.cols[0]), self.shape)
+
     def permute(self, order: tuple[int, ...]) -> NdArray:
         """Dimension ``order[d]`` becomes dimension d: a renaming of columns, without any exchange."""
         named = [F.col(self.dims[o]).alias(d) for d, o in zip(self.dims, order, strict=True)]

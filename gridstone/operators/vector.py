@@ -94,6 +94,10 @@ class Vec:
             kept = kept & (F.col(IDX) < stop)
         return self.over(self.df.filter(kept).withColumn(IDX, F.col(IDX) - F.lit(max(0, start)).cast("bigint")))
 
+    def all(self) -> Vec:
+        """The whole vector as a view."""
+        return self
+
     def enumerate(self, name: str = "i") -> Vec:
         return Vec(self.base, [name, *self.cols], self.base, {name: F.col(IDX), **self.exprs})
 
@@ -105,6 +109,24 @@ class Vec:
         """Dealt to contiguous ranges of the index."""
         return self.over(self.df.repartitionByRange(parts, IDX))
 
+    def segmented_by(self, lengths: list[int], name: str = "segment") -> Vec:
+        """With the number of the segment that holds each element; segments have the given lengths, the last takes the rest.
+
+        One length for each segment: as many as another range has partitions.
+        """
+        starts, at = [], 0
+        for n in lengths[:-1]:
+            at += n
+            starts.append(at)
+        number = F.lit(0).cast("bigint")
+        for k, start in enumerate(starts, 1):
+            number = F.when(F.col(IDX) >= start, F.lit(k).cast("bigint")).otherwise(number)
+        return Vec(self.df.withColumn(name, number), [*self.cols, name])
+
+    def segmented_like(self, other: Vec, name: str = "segment") -> Vec:
+        """Segmented at the places where other's partitions begin; its rows must lie in ranges of the index."""
+        return self.segmented_by([r.n for r in other.segments().orderBy("first").collect()], name)
+
     def segments(self) -> DataFrame:
         """How many rows each partition holds, and from where to where."""
         return self.df.groupBy(F.spark_partition_id().alias("segment")).agg(F.count("*").alias("n"), F.min(IDX).alias("first"), F.max(IDX).alias("last"))
@@ -176,6 +198,35 @@ class Vec:
         return self.df.orderBy(IDX).toPandas()
 
 
+    def to_root(self) -> list:
+        """The first component's values in order, on the driver; for small vectors."""
+        return [r[0] for r in self.df.orderBy(IDX).select(self.cols[0]).collect()]
+
+    @staticmethod
+    def from_root(spark: SparkSession, values: list, kind: str = "double", name: str = "v") -> Vec:
+        """A vector from values on the driver."""
+        return Vec(spark.createDataFrame(list(enumerate(values)), f"{IDX} bigint, {name} {kind}"), [name])
+
+    def write_text(self, path: str) -> None:
+        """The first component as a folder of text, a line an element; parts and lines follow the index."""
+        self.df.repartitionByRange(IDX).sortWithinPartitions(IDX).select(F.col(self.cols[0]).cast("string")).write.text(path)
+
+    def __str__(self) -> str:
+        return printed(self.df.orderBy(IDX).select(self.cols[0]), ())
+
+
+#: Elements that printing shows.
+PRINTED = 100
+
+
+def printed(ordered: DataFrame, shape: tuple[int, ...]) -> str:
+    """``{ 1, 2 }`` of the first PRINTED values; with a shape, a line for each of its innermost rows."""
+    some = [str(r[0]) for r in ordered.limit(PRINTED + 1).collect()]
+    width = shape[-1] if len(shape) > 1 else PRINTED
+    lines = [", ".join(some[:PRINTED][k : k + width]) for k in range(0, min(len(some), PRINTED), width)]
+    return "{ " + ",\n  ".join(lines) + (", ..." if len(some) > PRINTED else "") + " }"
+
+
 def zipped(*vecs: Vec, names: list[str] | None = None) -> Vec:
     """Elementwise tuples; as long as the shortest. Vectors of one base need no join."""
     if names is None:

@@ -6,6 +6,7 @@ not depend on order, and returned as doubles.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from gridstone.operators import halo, reductions, scans, sorting
 from gridstone.operators.linalg import Mat
 from gridstone.operators.ndarray import NdArray
 from gridstone.operators.vector import IDX, Vec, div, zipped
-from gridstone.sources import generators
+from gridstone.sources import generators, matrix_market, shared
+from gridstone.streaming import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -561,7 +563,7 @@ def _(spark, d):
 # Sparse and dense matrices
 
 
-@register("spmv", SPARSE + "SELECT i AS idx, CAST(sum(v * x) AS DOUBLE) AS v FROM a JOIN x ON j = idx GROUP BY i")
+@register("spmv", SPARSE + "SELECT p_partkey AS idx, CAST(coalesce(sum(v * x), 0) AS DOUBLE) AS v FROM part LEFT JOIN (SELECT i, v, x FROM a JOIN x ON j = idx) ON i = p_partkey GROUP BY p_partkey")
 def _(spark, d):
     return doubles(sparse(spark, d).spmv(balances(spark, d)).df)
 
@@ -571,7 +573,7 @@ def _(spark, d):
     return doubles(sparse(spark, d).spmv(balances(spark, d), parts(spark, d)).df)
 
 
-@register("spmm_slim", SPARSE + "SELECT i, col, CAST(sum(v * x * (col + 1)) AS DOUBLE) AS v FROM a JOIN x ON j = idx, range(8) t(col) GROUP BY i, col")
+@register("spmm_slim", SPARSE + "SELECT p_partkey AS i, col, CAST(coalesce(sum(v * x * (col + 1)), 0) AS DOUBLE) AS v FROM range(8) t(col), part LEFT JOIN (SELECT i, v, x FROM a JOIN x ON j = idx) ON i = p_partkey GROUP BY p_partkey, col")
 def _(spark, d):
     cols = F.explode(F.sequence(F.lit(0), F.lit(7)))
     b = balances(spark, d).df.select(IDX, "x", cols.alias("col"))
@@ -620,6 +622,116 @@ def _(spark, d):
     return doubles(sparse(spark, d).entries(True))
 
 
+def _thinned(spark: SparkSession, d: str) -> Mat:
+    """Two rows in three have no cell."""
+    own = sparse(spark, d)
+    return Mat(own.df.filter("i % 3 = 0"), own.shape)
+
+
+THIN = SPARSE + ", h AS (SELECT i, v, x FROM a JOIN x ON j = idx WHERE i % 3 = 0) "
+
+
+@register("spmv_empty_rows", THIN + "SELECT p_partkey AS idx, CAST(coalesce(sum(v * x), 0) AS DOUBLE) AS v FROM part LEFT JOIN h ON i = p_partkey GROUP BY p_partkey")
+def _(spark, d):
+    return doubles(_thinned(spark, d).spmv(balances(spark, d)).df)
+
+
+@register("spmm_empty_rows", THIN + "SELECT p_partkey AS i, col, CAST(coalesce(sum(v * x * (col + 1)), 0) AS DOUBLE) AS v FROM range(3) t(col), part LEFT JOIN h ON i = p_partkey GROUP BY p_partkey, col")
+def _(spark, d):
+    x = balances(spark, d)
+    b = x.df.select(IDX, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("col"), F.col("x").alias("own"))
+    return doubles(_thinned(spark, d).spmm(b.select(IDX, "col", (F.col("own") * (F.col("col") + 1)).alias("x")), 3))
+
+
+@register("sparse_row_dense", SPARSE + "SELECT s_suppkey AS idx, CAST(coalesce(v, 0) AS DOUBLE) AS v FROM supplier LEFT JOIN a ON j = s_suppkey AND i = 7")
+def _(spark, d):
+    return doubles(sparse(spark, d).row(7).df)
+
+
+@register("sparse_for_each", SPARSE + "SELECT i, j, CAST(v * 2 + i AS DOUBLE) AS v FROM a")
+def _(spark, d):
+    return doubles(sparse(spark, d).for_each(lambda i, j, v: v * 2 + i).df)
+
+
+@register("sparse_from_rows", SPARSE + "SELECT i, j, CAST(v AS DOUBLE) AS v FROM a")
+def _(spark, d):
+    own = sparse(spark, d)
+    return doubles(Mat.from_rows(own.df.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells")), own.shape).df)
+
+
+@register("matrix_market_roundtrip", SPARSE + "SELECT i, j, CAST(v AS DOUBLE) AS v FROM a")
+def _(spark, d):
+    at = f"{shared.shared_dir(spark)}/gridstone/{uuid.uuid4().hex}/matrix"
+    matrix_market.write(sparse(spark, d), at)
+    return matrix_market.read(spark, at).df
+
+
+@register("matrix_market_tiles", SPARSE + "SELECT i // 32 AS bi, j // 4 AS bj, count(*) AS n FROM a GROUP BY ALL")
+def _(spark, d):
+    at = f"{shared.shared_dir(spark)}/gridstone/{uuid.uuid4().hex}/matrix"
+    matrix_market.write(sparse(spark, d), at)
+    return matrix_market.distributed(matrix_market.read(spark, at), (32, 4), 8).groupBy("bi", "bj").agg(F.count("*").alias("n"))
+
+
+@register("sink_text", EV + "SELECT v::DOUBLE AS v FROM ev")
+def _(spark, d):
+    at = f"{shared.shared_dir(spark)}/gridstone/{uuid.uuid4().hex}/vector"
+    events(spark, d).write_text(at)
+    return spark.read.text(at).select(F.col("value").cast("double").alias("v"))
+
+
+@register("view_all", EV + "SELECT idx, CAST(v AS DOUBLE) AS v FROM ev")
+def _(spark, d):
+    return doubles(events(spark, d).all().df)
+
+
+@register("view_ranked", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM events")
+def _(spark, d):
+    ranked = events(spark, d).ranked().df
+    return ranked.agg(F.count("*").alias("n"), F.count_if(F.col("rank").isNull() | (F.col("rank") < 0)).alias("wrong"))
+
+
+@register("view_segmented_by", EV + "SELECT idx, CAST(v AS DOUBLE) AS v, CASE WHEN idx < 40 THEN 0 WHEN idx < 100 THEN 1 ELSE 2 END::BIGINT AS segment FROM ev")
+def _(spark, d):
+    return doubles(events(spark, d).segmented_by([40, 60, 1]).df)
+
+
+@register("vec_get", EV + "SELECT CAST(v AS DOUBLE) AS v FROM ev WHERE idx = 5")
+def _(spark, d):
+    return spark.createDataFrame([(float(events(spark, d).get(5)),)], "v double")
+
+
+@register("rooted_copy", "SELECT n_nationkey AS idx, CAST(n_regionkey AS DOUBLE) AS v FROM nation")
+def _(spark, d):
+    held = Vec.from_table(table(spark, d, "nation"), "n_nationkey", v=F.col("n_regionkey").cast("double"))
+    return Vec.from_root(spark, held.to_root()).df
+
+
+@register("running_reduce_batch", EV + "SELECT CAST(sum(v) AS DOUBLE) AS value, count(*) AS n FROM ev")
+def _(spark, d):
+    return doubles(running.running_reduce(events(spark, d).df, "v"))
+
+
+@register("md_equal", "SELECT true AS same, false AS other")
+def _(spark, d):
+    own = grid(spark, d)
+    return spark.createDataFrame([(own.equal(grid(spark, d)), own.equal(own.for_each(lambda v: v + 1)))], "same boolean, other boolean")
+
+
+@register("md_row_stencil", GRID + "SELECT g.i, g.j, CAST(CASE WHEN p.v IS NULL OR q.v IS NULL THEN g.v ELSE p.v + g.v + q.v END AS DOUBLE) AS v FROM g LEFT JOIN g p ON p.i = g.i - 1 AND p.j = g.j LEFT JOIN g q ON q.i = g.i + 1 AND q.j = g.j")
+def _(spark, d):
+    own = grid(spark, d)
+    own = NdArray(own.df.withColumn("v", F.col("v").cast("double")), own.shape)
+    return own.stencil(lambda a, b, c: F.round(a + b + c, 6), [(-1, 0), (0, 0), (1, 0)], (1, 0), (own.shape[0] - 1, own.shape[1])).df
+
+
+@register("gen_random_sparse_law", "SELECT CAST(2400 AS BIGINT) AS n, CAST(2400 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS outside")
+def _(spark, d):
+    cells = generators.random_sparse(spark, (300, 400), 0.02, 5).df
+    outside = ~(F.col("i").between(0, 299) & F.col("j").between(0, 399) & (F.col("v") >= 0) & (F.col("v") < 1))
+    return cells.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
+
+
 NEW = ", b AS (SELECT r AS i, c AS j, CAST(1 AS DECIMAL(18,2)) AS v FROM range(50) t(r), range(3) u(c)) "
 
 

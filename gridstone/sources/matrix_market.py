@@ -11,13 +11,15 @@ from gridstone.operators.linalg import Mat
 def read(spark: SparkSession, path: str, one_indexed: bool = True) -> Mat:
     """A real, integer or pattern matrix, general or symmetric, as coordinates from 0.
 
-    The file is read as text by Spark, so it is split like any text file.
+    The file is read as text by Spark, so it is split like any text file; a
+    folder counts as one file, in which the banner and the size line stand
+    together at the top of some part.
     Cells of a symmetric matrix come with their mirror images, those of a
     pattern have value 1. A wrong banner, another kind or symmetry, a
     coordinate out of bounds and a wrong number of cells are ValueErrors.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    banner = lines.filter("block = 0").orderBy("at").limit(1).collect()
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    banner = lines.filter("block = 0 and lower(line) like '\\%\\%matrixmarket%'").orderBy("at").limit(1).collect()
     words = banner[0].line.lower().split() if banner else []
     if words[:1] != ["%%matrixmarket"] or len(words) != 5:
         raise ValueError("no Matrix Market banner")
@@ -26,7 +28,8 @@ def read(spark: SparkSession, path: str, one_indexed: bool = True) -> Mat:
     if words[4] not in ("general", "symmetric"):
         raise ValueError(f"unsupported symmetry: {words[4]}")
     body = lines.filter("line != '' and not startswith(line, '%')")
-    head = body.filter("block = 0").orderBy("at").limit(1).collect()
+    own = (F.col("block") == 0) & (F.col("file") == banner[0].file)
+    head = body.filter(own).orderBy("at").limit(1).collect()
     sizes = head[0].line.split() if head else []
     if len(sizes) != 3:
         raise ValueError("no size line")
@@ -34,7 +37,7 @@ def read(spark: SparkSession, path: str, one_indexed: bool = True) -> Mat:
     fields = F.split("line", "\\s+")
     base = 1 if one_indexed else 0
     value = F.lit(1.0) if words[3] == "pattern" else fields[2].cast("double")
-    cells = body.filter(~((F.col("block") == 0) & (F.col("at") == head[0].at))).select((fields[0].cast("bigint") - base).alias("i"), (fields[1].cast("bigint") - base).alias("j"), value.alias("v"))
+    cells = body.filter(~(own & (F.col("at") == head[0].at))).select((fields[0].cast("bigint") - base).alias("i"), (fields[1].cast("bigint") - base).alias("j"), value.alias("v"))
     _check(cells, m, n, nnz)
     if words[4] == "symmetric":
         cells = cells.unionByName(cells.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
@@ -50,6 +53,13 @@ def _check(cells: DataFrame, m: int, n: int, nnz: int) -> None:
         raise ValueError(f"{count} cells, {nnz} announced")
 
 
+def write(mat: Mat, path: str) -> None:
+    """The matrix as a folder of text: a part with the banner and the sizes, and parts of cells, which tasks write on their own."""
+    head = f"%%MatrixMarket matrix coordinate real general\n{mat.shape[0]} {mat.shape[1]} {mat.df.count()}"
+    mat.df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(path)
+    mat.df.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("double"))).write.mode("append").text(path)
+
+
 def distributed(mat: Mat, side: tuple[int, int], parts: int) -> DataFrame:
     """The cells with their tile, dealt by tile."""
     return mat.tiled(side).repartition(parts, "bi", "bj")

@@ -197,7 +197,10 @@ def test_matrices(spark):
     csr = ma.csr().orderBy("i").collect()
     assert [[c.j for c in r.cells] for r in csr] == [np.flatnonzero(a[k]).tolist() for k in range(5)]
     none = matrix(spark, np.zeros((3, 3)))
-    assert none.spmv(vec([1, 2, 3])).df.count() == 0 and full(none.gemm(matrix(spark, np.ones((3, 2))))).sum() == 0
+    assert sorted(map(tuple, none.spmv(vec([1, 2, 3])).df.collect())) == [(0, 0.0), (1, 0.0), (2, 0.0)]
+    assert none.spmm(spark.range(3).selectExpr("id as idx", "id % 2 as col", "1.0D as x")).filter("v = 0").count() == 6
+    assert none.row(1).to_root() == [0, 0, 0] and np.allclose(ma.column(2).to_root(), a[:, 2])
+    assert full(none.gemm(matrix(spark, np.ones((3, 2))))).sum() == 0
     assert [tuple(r)[:2] for r in ma.entries(True).collect()] == sorted(zip(*map(list, np.nonzero(a)), strict=True), reverse=True)
 
 
