@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import Union, in_buckets
-from gridstone.llm.line_words import SIMILARITY, edit_similarity, line_key, mixed, normalised, normalised_lines, spaced, word_hashes
+from gridstone.llm.line_words import SIMILARITY, Lines, edit_similarity, mixed
 from gridstone.llm.tables import discard, written
 from gridstone.llm.url_filter import BlockedBloom
 
-#: Words are ordered by how many of one in ORDER_SAMPLE lines hold them, counted in 2 ** SLOT_BITS slots; the order only
+#: Words are ordered by how often one in ORDER_SAMPLE lines hold them, counted in 2 ** SLOT_BITS slots; the order only
 #: shapes buckets.
 ORDER_SAMPLE, SLOT_BITS = 16, 22
 #: Bits of a word pair's hash, and lines ordered at once.
@@ -31,20 +30,13 @@ SEEN = 1 << 18
 VERIFY_ROWS, SIGNATURE = 1 << 13, 8
 
 
-def tokens_of(words: list[bytes]) -> np.ndarray:
-    """32 bits of each word."""
-    out = [mixed(word_hashes(words[at : at + (1 << 16)]), 0x9E3779B97F4A7C15) >> np.uint64(32) for at in range(0, len(words), 1 << 16)]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many of one in ORDER_SAMPLE lines each slot's words stand."""
+    """How often one in ORDER_SAMPLE lines hold each slot's words."""
     counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            some = [set(line.split()) for line in normalised_lines(spaced(text)) if xxhash.xxh64_intdigest(line) % ORDER_SAMPLE == 0]
-            if some:
-                np.add.at(counts, (tokens_of(list(chain.from_iterable(some))) >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
+        lines = Lines.of(batch.column(0).cast(pa.binary()).to_pylist())
+        tokens, _ = lines.pick(np.flatnonzero(lines.keys[:, 0] % np.uint64(ORDER_SAMPLE) == 0))
+        np.add.at(counts, (tokens >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
     slots = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int64))], names=["slot", "c"])
 
@@ -62,47 +54,39 @@ def lost_pairs(sizes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return (2 * (1 - similarity) * sizes + 1e-9).astype(np.int64)
 
 
-def line_keys(lines: list[list[bytes]], classes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def line_keys(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """(line, 48-bit key) arrays in order of line; any two lines with an edit similarity of ``similarity`` or more share a key.
 
-    A line's keys are its first lost_pairs + 1 distinct pairs of adjacent
-    words, in one order of all pairs, rarest words first. Of two alike lines
-    each loses lost_pairs of its pairs at most, so the first pair that both
-    hold is among the keys of either (pigeonhole).
+    ``tokens`` are 32 bits of each word, of lines of the given sizes. A line's
+    keys are its first lost_pairs + 1 distinct pairs of adjacent words, in one
+    order of all pairs, rarest words first. Of two alike lines each loses
+    lost_pairs of its pairs at most, so the first pair that both hold is among
+    the keys of either (pigeonhole).
     """
-    where, keys = [], []
-    for at in range(0, len(lines), SLICE_LINES):
-        some = lines[at : at + SLICE_LINES]
-        sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
-        tokens = tokens_of(list(chain.from_iterable(some)))
-        if len(tokens) < 2:
-            continue
-        owner = np.repeat(np.arange(len(some), dtype=np.uint64), sizes)
-        level = classes[(tokens >> np.uint64(32 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+    where, keys = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    ends = np.append(0, np.cumsum(sizes))
+    for at in range(0, len(sizes), SLICE_LINES):
+        n = sizes[at : at + SLICE_LINES]
+        some = tokens[ends[at] : ends[at + len(n)]]
+        owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        level = classes[(some >> np.uint64(32 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
         inside = owner[1:] == owner[:-1]
-        pair = mixed(tokens[:-1] << np.uint64(32) | tokens[1:], 0xD6E8FEB86659FD93) >> np.uint64(64 - PAIR_BITS)
+        pair = mixed(some[:-1] << np.uint64(32) | some[1:], 0xD6E8FEB86659FD93) >> np.uint64(64 - PAIR_BITS)
         own = np.unique((owner[:-1] << np.uint64(PAIR_BITS + 7) | (level[:-1] + level[1:]) << np.uint64(PAIR_BITS) | pair)[inside])
         line = (own >> np.uint64(PAIR_BITS + 7)).astype(np.int64)
-        counts = np.bincount(line, minlength=len(some))
-        first = np.arange(len(own)) - (np.cumsum(counts) - counts)[line] <= lost_pairs(sizes, similarity)[line]
+        counts = np.bincount(line, minlength=len(n))
+        first = np.arange(len(own)) - (np.cumsum(counts) - counts)[line] <= lost_pairs(n, similarity)[line]
         where.append(line[first] + at)
         keys.append(mixed(own[first] & np.uint64((1 << PAIR_BITS + 7) - 1), 0x94D049BB133111EB) >> np.uint64(16))
-    if not where:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     return np.concatenate(where), np.concatenate(keys)
 
 
-def word_bits(lines: list[list[bytes]], width: int = 2) -> np.ndarray:
+def token_bits(tokens: np.ndarray, sizes: np.ndarray, width: int = 2) -> np.ndarray:
     """For each line ``width`` words of 64 bits, with a bit set for each of its words."""
-    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    return token_bits(tokens_of(list(chain.from_iterable(lines))), sizes, width)
-
-
-def token_bits(tokens: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(sizes), width), dtype=np.uint64)
-    at = (tokens % np.uint64(64 * width)).astype(np.int64)
-    np.bitwise_or.at(out, (np.repeat(np.arange(len(sizes)), sizes), at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    return out
+    out = np.zeros(len(sizes) * width, dtype=np.uint64)
+    at = (tokens & np.uint64(64 * width - 1)).astype(np.int64)
+    np.bitwise_or.at(out, np.repeat(np.arange(len(sizes)) * width, sizes) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.reshape(-1, width)
 
 
 def by_bits(bits: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -127,18 +111,18 @@ def by_bits(bits: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: floa
         back += 1
 
 
-def _new_lines(texts: list[bytes | None], min_words: int, seen: set[int]) -> Iterator[tuple[list[bytes], bytes, int]]:
-    """(words, key, id) of lines that the task has not seen; the id is Spark's xxhash64 of the key."""
-    for text in texts:
-        for words in normalised(spaced(text)):
-            if len(words) >= min_words:
-                key = line_key(words)
-                own = xxhash.xxh64_intdigest(key, 42)
-                if own not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(own)
-                    yield words, key, own
+def _new_lines(lines: Lines, min_words: int, seen: set[int]) -> np.ndarray:
+    """Which lines are long enough and not known to the task."""
+    kept = np.flatnonzero(lines.sizes >= min_words)
+    fresh = np.ones(len(kept), dtype=bool)
+    for k, own in enumerate(lines.keys[kept, 0].tolist()):
+        if own in seen:
+            fresh[k] = False
+        else:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(own)
+    return kept[fresh]
 
 
 def _packed(classes, min_words: int, similarity: float, bits: int):
@@ -149,11 +133,11 @@ def _packed(classes, min_words: int, similarity: float, bits: int):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
         for batch in batches:
-            own = list(_new_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_words, seen))
-            lines = [w for w, _, _ in own]
-            line, keys = line_keys(lines, classes.value, similarity)
-            sizes = np.minimum(np.fromiter(map(len, lines), dtype=np.uint64, count=len(lines)), 0xFFFF)
-            held.append((keys << np.uint64(16) | sizes[line], np.fromiter((k for _, _, k in own), dtype=np.uint64, count=len(own))[line]))
+            lines = Lines.of(batch.column(0).cast(pa.binary()).to_pylist())
+            kept = _new_lines(lines, min_words, seen)
+            tokens, sizes = lines.pick(kept)
+            line, keys = line_keys(tokens, sizes, classes.value, similarity)
+            held.append((keys << np.uint64(16) | np.minimum(sizes, 0xFFFF).astype(np.uint64)[line], lines.keys[kept, 0][line]))
             count += len(keys)
             if count >= PACK_KEYS:
                 yield pack(held)
@@ -225,22 +209,24 @@ def _paired(similarity: float):
 
 
 def _tokens(lanes, min_words: int):
-    """Key, id and words (as 32-bit hashes) of the lines whose id a Bloom filter may hold; all where there is none."""
+    """Id, key and words (as 32-bit hashes) of the lines whose id a Bloom filter may hold; all where there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = BlockedBloom(lanes.value) if lanes else None
         seen: set[int] = set()
         for batch in batches:
-            own = list(_new_lines(batch.column(0).cast(pa.binary()).to_pylist(), min_words, seen))
+            lines = Lines.of(batch.column(0).cast(pa.binary()).to_pylist())
+            kept = _new_lines(lines, min_words, seen)
+            ids = lines.keys[kept, 0]
             if bloom:
-                # The filter's keys are ids as bigint; Spark's xxhash64 of one is XXH64 of its eight bytes with seed 42.
-                probes = np.fromiter((xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for _, _, k in own), dtype=np.uint64, count=len(own))
-                own = [x for x, hit in zip(own, bloom.contains(probes).tolist(), strict=True) if hit]
-            tokens = tokens_of(list(chain.from_iterable(w for w, _, _ in own))).astype(np.uint32)
-            ends = np.cumsum([0, *[len(w) for w, _, _ in own]]).tolist()
-            packed = [tokens[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            ids = np.fromiter((k for _, _, k in own), dtype=np.uint64, count=len(own))
-            yield pa.RecordBatch.from_arrays([pa.array([k for _, k, _ in own], pa.binary()), pa.array(ids.view(np.int64)), pa.array(packed, pa.binary())], names=["key", "id", "words"])
+                # Spark's xxhash64 of a bigint is XXH64 of its eight bytes with seed 42.
+                probes = np.fromiter((xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) for k in ids.tolist()), dtype=np.uint64, count=len(ids))
+                hit = bloom.contains(probes)
+                kept, ids = kept[hit], ids[hit]
+            tokens, sizes = lines.pick(kept)
+            ends = np.append(0, np.cumsum(sizes) * 4).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(ends), pa.py_buffer(tokens.astype(np.uint32))])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.ascontiguousarray(lines.keys[kept, 1]).view(np.int64)), packed], names=["id", "id2", "words"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -253,7 +239,7 @@ def _bucketed(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between keys of ``distinct`` (key, n, b0, b1) that connect just what chains of alike lines connect.
+    """Links (u, u2, v, v2) between keys (id, id2) of ``distinct`` (id, id2, n, b0, b1) that connect just what chains of alike lines connect.
 
     Alike are lines of min_words words or more with a word-level edit
     similarity of ``similarity`` or more; no such pair is lost. Lines meet by
@@ -289,17 +275,17 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
         if met.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(least[label][met])], names=["id", "root"])
 
-    sketches = distinct.filter(own).select(F.xxhash64("key").alias("id"), "n", "b0", "b1")
+    sketches = distinct.filter(own).select("id", "n", "b0", "b1")
     rows = entries.join(sketches, "id").select(F.lit(0).cast("smallint").alias("t"), "fp", "id", "n", "b0", "b1")
     met = written(in_buckets(rows, [0xFFFFFFFFFFFF0000], meet, "id bigint, root bigint").distinct(), "met")
     discard(entries)
     found = BlockedBloom.build(met.select("id").distinct(), "id")
     lanes = spark.sparkContext.broadcast(found.lanes) if found else None
-    words = texts.mapInArrow(_tokens(lanes, min_words), "key binary, id bigint, words binary").dropDuplicates(["key"])
+    words = texts.mapInArrow(_tokens(lanes, min_words), "id bigint, id2 bigint, words binary").dropDuplicates(["id", "id2"])
     grouped = _bucketed(met.join(words, "id"), "root")
 
     def verify(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = table["key"].to_pylist()
+        id1, id2 = table["id"].to_numpy(), table["id2"].to_numpy()
         flat = [np.frombuffer(w, dtype=np.uint32) for w in table["words"].to_pylist()]
         n = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
         signatures = token_bits(np.concatenate(flat).astype(np.uint64), n, SIGNATURE)
@@ -323,11 +309,11 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
             if a:
                 union.join(np.array(a), np.array(b))
         # Each line hangs on the first that links lead to in this group, so that paths stay short.
-        hung = np.flatnonzero(union.label != np.arange(len(fp))).tolist()
-        if hung:
-            roots = union.label[hung].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in hung], pa.binary()), pa.array([keys[y] for y in roots], pa.binary())], names=["u", "v"])
+        hung = np.flatnonzero(union.label != np.arange(len(fp)))
+        if len(hung):
+            roots = union.label[hung]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id1[hung], id2[hung], id1[roots], id2[roots])], names=["u", "u2", "v", "v2"])
 
-    links = written(in_buckets(grouped, [0xFFFFFFFFFFFF0000], verify, "u binary, v binary", VERIFY_ROWS).distinct(), "links")
+    links = written(in_buckets(grouped, [0xFFFFFFFFFFFF0000], verify, "u bigint, u2 bigint, v bigint, v2 bigint", VERIFY_ROWS).distinct(), "links")
     discard(met)
     return links

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -61,6 +62,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def _slice_hashes(words: list[bytes]) -> np.ndarray:
     joined = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    ends = np.append(np.flatnonzero(joined == 0x20), len(joined))
+    return _hashes(joined, np.append(0, ends[:-1] + 1), ends)
+
+
+def _hashes(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word [start, end) of the bytes."""
     n = len(joined)
     if len(_POWERS[0]) < n + 1:
         for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
@@ -69,8 +76,6 @@ def _slice_hashes(words: list[bytes]) -> np.ndarray:
             _POWERS[k] = np.multiply.accumulate(powers)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(joined * _POWERS[0][:n], out=sums[1:])
-    ends = np.append(np.flatnonzero(joined == 0x20), n)
-    starts = np.append(0, ends[:-1] + 1)
     return (sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64)
 
 
@@ -131,3 +136,62 @@ def _distance(a: Sequence, b: Sequence, most: int) -> int:
         up = mh | ~(xv | ph) & full
         down = ph & xv
     return score
+
+
+@dataclass
+class Lines:
+    """The lines with words of some texts, as arrays."""
+
+    text: np.ndarray  # of each line: the number of its text
+    number: np.ndarray  # of each line: its number in the text
+    sizes: np.ndarray  # of each line: its words
+    first: np.ndarray  # of each line: its first word
+    words: np.ndarray  # of each word: 64 bits
+    keys: np.ndarray  # of each line: two numbers of 64 bits that stand for its words in order
+
+    @staticmethod
+    def of(texts: list[bytes | None]) -> Lines:
+        """Lines parted by ``\\n``, normalised, with characters of scripts without spaces as words; none for null.
+
+        No object is made for a word or a line: words are found and hashed in
+        the joined bytes of all texts.
+        """
+        own = [spaced(t) or b"" for t in texts]
+        joined = b"\n".join(own).translate(_TABLE)
+        buffer = np.frombuffer(joined, dtype=np.uint8)
+        inside = (buffer != 0x20) & (buffer != 0x0A)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        breaks = np.flatnonzero(buffer == 0x0A)
+        line = np.searchsorted(breaks, starts)
+        words = np.zeros(len(starts), dtype=np.uint64)
+        long = np.flatnonzero(ends - starts > LONG_WORD)
+        at = 0
+        for stop in [*long.tolist(), len(starts)]:  # runs of words between very long ones, in slices of bounded bytes
+            while at < stop:
+                end = max(at + 1, int(np.searchsorted(ends[:stop], starts[at] + SLICE_BYTES, side="right")))
+                low = int(starts[at])
+                words[at:end] = _hashes(buffer[low : int(ends[end - 1])], starts[at:end] - low, ends[at:end] - low)
+                at = end
+            if stop < len(starts):
+                words[stop] = xxhash.xxh3_64_intdigest(joined[int(starts[stop]) : int(ends[stop])])
+                at = stop + 1
+        head = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(np.append(head, len(line)))
+        place = (np.arange(len(line)) - np.repeat(head, sizes)).astype(np.uint64) + np.uint64(1)
+        keys = np.zeros((len(head), 2), dtype=np.uint64)
+        if len(head):
+            for k, factor in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+                spread = mixed(words + place * np.uint64(factor), factor)
+                keys[:, k] = mixed(np.add.reduceat(spread, head) + sizes.astype(np.uint64), 0x94D049BB133111EB)
+        # The break before each text, to tell texts and numbers of lines.
+        begin = np.cumsum([0, *[len(t) + 1 for t in own[:-1]]]) if own else np.zeros(0, dtype=np.int64)
+        first_line = np.searchsorted(breaks, begin)
+        text = np.searchsorted(begin, starts[head], side="right") - 1 if len(head) else np.zeros(0, dtype=np.int64)
+        return Lines(text, line[head] - first_line[text], sizes, head, words, keys)
+
+    def pick(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, sizes) of the lines at ``kept``: 32 bits of each word."""
+        sizes = self.sizes[kept]
+        at = np.repeat(self.first[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return mixed(self.words[at], 0x9E3779B97F4A7C15) >> np.uint64(32), sizes

@@ -8,13 +8,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import Union, combined, exploded, first_met, in_buckets, matches
 from gridstone.llm.components import components
-from gridstone.llm.line_grams import alike_lines, word_bits
-from gridstone.llm.line_words import SIMILARITY, edit_similarity, line_key, mixed, normalised, normalised_lines, spaced, word_hashes
+from gridstone.llm.line_grams import alike_lines, token_bits
+from gridstone.llm.line_words import SIMILARITY, Lines, edit_similarity, line_key, mixed, normalised, normalised_lines, word_hashes
 from gridstone.llm.tables import discard, prepare, written
 from gridstone.llm.url_filter import BlockedBloom
 
@@ -77,8 +77,17 @@ def _counted(own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total >= len(own), bitorder="little").view("<u8")
 
 
-LINES = "array<struct<line:int,key:binary,fp:bigint,fp2:bigint,n:int>>"
-_LINES = pa.list_(pa.struct([("line", pa.int32()), ("key", pa.binary()), ("fp", pa.int64()), ("fp2", pa.int64()), ("n", pa.int32())]))
+LINES = "array<struct<line:int,id:bigint,id2:bigint,fp:bigint,fp2:bigint,n:int>>"
+_LINES = pa.list_(pa.struct([("line", pa.int32()), *[(c, pa.int64()) for c in ("id", "id2", "fp", "fp2")], ("n", pa.int32())]))
+
+
+def _sketched(texts: list[bytes | None], min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, line number, keys, SimHashes, words) of lines of min_words words or more."""
+    found = [(t, k, w) for t, text in enumerate(texts) for k, w in enumerate(normalised(text)) if len(w) >= min_words]
+    flat = [w for _, _, w in found]
+    keys = np.frombuffer(b"".join(map(line_key, flat)), dtype="<u8").reshape(-1, 2)
+    fps = simhashes(flat) if flat else np.zeros((0, 2), dtype=np.uint64)
+    return np.array([x[0] for x in found], dtype=np.int64), np.array([x[1] for x in found], dtype=np.int64), keys, fps, np.array(list(map(len, flat)), dtype=np.int64)
 
 
 def _line_rows(min_words: int, exact: bool):
@@ -88,13 +97,14 @@ def _line_rows(min_words: int, exact: bool):
         for texts in batches:
             bodies = texts.cast(pa.binary()).to_pylist()
             if exact:
-                found = [[(k, w) for k, w in enumerate(normalised(spaced(text))) if w] for text in bodies]
+                own = Lines.of(bodies)
+                tokens, sizes = own.pick(np.arange(len(own.sizes)))
+                text, number, keys, fps = own.text, own.number, own.keys, token_bits(tokens, sizes)
             else:
-                found = [[(k, w) for k, w in enumerate(normalised(text)) if len(w) >= min_words] for text in bodies]
-            flat = [w for own in found for _, w in own]
-            fps = (word_bits(flat) if exact else simhashes(flat) if flat else np.zeros((0, 2), dtype=np.uint64)).view(np.int64)
-            columns = [pa.array([k for own in found for k, _ in own], pa.int32()), pa.array(list(map(line_key, flat)), pa.binary()), pa.array(fps[:, 0]), pa.array(fps[:, 1]), pa.array(list(map(len, flat)), pa.int32())]
-            offsets = np.append(0, np.cumsum([len(own) for own in found])).astype(np.int32)
+                text, number, keys, fps, sizes = _sketched(bodies, min_words)
+            numbers = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (keys[:, 0], keys[:, 1], fps[:, 0], fps[:, 1])]
+            columns = [pa.array(number.astype(np.int32)), *numbers, pa.array(sizes.astype(np.int32))]
+            offsets = np.append(0, np.cumsum(np.bincount(text, minlength=len(bodies)))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_LINES.value_type)))
         pa.default_memory_pool().release_unused()
 
@@ -119,7 +129,7 @@ def _line_texts(lanes):
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between keys of ``distinct`` (key, fp, fp2, n, first) of lines whose SimHashes meet and which are alike.
+    """Links (u, u2, v, v2) between keys of ``distinct`` (id, id2, fp, fp2, n, first) of lines whose SimHashes meet and which are alike.
 
     SimHashes must agree on some AGREE blocks and differ by radius bits at
     most, and the words' edit similarity must suffice. A first pass over
@@ -151,16 +161,16 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, simil
     sketch = ["fp", "fp2", "n"]
     met = in_buckets(exploded(distinct.select(*sketch), masks), masks, flag, "t smallint, fp bigint, fp2 bigint, n int")
     flagged = written(met.distinct(), "flagged")
-    near = written(distinct.select("key", *sketch, F.col("first.d").alias("d"), F.col("first.line").alias("line")).join(flagged, sketch), "near")
+    near = written(distinct.select("id", "id2", *sketch, F.col("first.d").alias("d"), F.col("first.line").alias("line")).join(flagged, sketch), "near")
     discard(flagged)
     places = near.select("d", "line").distinct().select(F.concat_ws(":", F.col("d").cast("string"), F.col("line").cast("string")).alias("place"))
     found = BlockedBloom.build(places, "place")
     lanes = docs.sparkSession.sparkContext.broadcast(found.lanes) if found else None
     texts = docs.filter("text is not null").select(F.xxhash64("doc_id", "text").alias("d"), "text").mapInArrow(_line_texts(lanes), "d bigint, line int, body string")
-    rows = written(near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select("t", "key", *sketch, "body"), "candidates")
+    rows = written(near.join(texts.dropDuplicates(["d", "line"]), ["d", "line"]).select("t", "id", "id2", *sketch, "body"), "candidates")
 
     def verify(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, bodies = table["key"].to_pylist(), [b.split(" ") for b in table["body"].to_pylist()]
+        id1, id2, bodies = table["id"].to_numpy(), table["id2"].to_numpy(), [b.split(" ") for b in table["body"].to_pylist()]
         union = Union(len(fp))
         for i, j in candidates(table, fp, start):
             apart = union.label[i] != union.label[j]
@@ -168,30 +178,26 @@ def near_lines(distinct: DataFrame, docs: DataFrame, radius: int = RADIUS, simil
             if linked:
                 union.join(*np.array(linked).T)
         # Each line hangs on the first that verified links lead to in this bucket, so that paths stay short.
-        hung = np.flatnonzero(union.label != np.arange(len(fp))).tolist()
-        if hung:
-            roots = union.label[hung].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in hung], pa.binary()), pa.array([keys[y] for y in roots], pa.binary())], names=["u", "v"])
+        hung = np.flatnonzero(union.label != np.arange(len(fp)))
+        if len(hung):
+            roots = union.label[hung]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id1[hung], id2[hung], id1[roots], id2[roots])], names=["u", "u2", "v", "v2"])
 
-    links = written(in_buckets(rows, masks, verify, "u binary, v binary", VERIFY_ROWS).distinct(), "links")
+    links = written(in_buckets(rows, masks, verify, "u bigint, u2 bigint, v bigint, v2 bigint", VERIFY_ROWS).distinct(), "links")
     discard(near)
     discard(rows)
     return links
 
 
-def _node(key: str) -> Column:
-    return F.xxhash64(key)
-
-
 def _roots(links: DataFrame) -> DataFrame:
-    """(key, root) of the linked keys, for a written table of links; roots are 64-bit hashes, or keys if two linked keys share a hash."""
-    nodes = written(links.select(F.col("u").alias("key")).union(links.select("v")).distinct().withColumn("node", _node("key")), "nodes")
-    n, hashes = nodes.agg(F.count("*"), F.count_distinct("node")).first()
-    if n == hashes:
-        roots = components(links.select(_node("u").alias("u"), _node("v").alias("v")))
-        out = written(nodes.join(roots, "node").select("key", "root"), "roots")
+    """(id, id2, root) of the linked keys, for a written table of links; roots are of the type (id) or, if two linked keys share one, (id, id2)."""
+    nodes = written(links.select(F.col("u").alias("id"), F.col("u2").alias("id2")).union(links.select("v", "v2")).distinct(), "nodes")
+    n, ids = nodes.agg(F.count("*"), F.count_distinct("id")).first()
+    if n == ids:
+        out = written(nodes.join(components(links.select("u", "v")), F.col("id") == F.col("node")).select("id", "id2", "root"), "roots")
     else:
-        out = written(components(links).withColumnRenamed("node", "key"), "roots")
+        roots = components(links.select(*[F.struct(F.col(c).alias("id"), F.col(f"{c}2").alias("id2")).alias(c) for c in ("u", "v")]))
+        out = written(roots.select(F.col("node.id").alias("id"), F.col("node.id2").alias("id2"), "root"), "roots")
     discard(nodes)
     return out
 
@@ -220,21 +226,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped", "dropped")
     identity = F.xxhash64("doc_id", "text").alias("d")
+    key = ["id", "id2"]
     found = docs.select("doc_id", identity, F.explode(_line_rows(min_words, radius is None)("text")).alias("l"))
-    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.key", "l.fp", "l.fp2", "l.n"), "lines")
-    distinct = written(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
+    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.id", "l.id2", "l.fp", "l.fp2", "l.n"), "lines")
+    distinct = written(lines.groupBy(*key).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
     if radius is None:
-        links = alike_lines(distinct.select("key", "n", F.col("fp").alias("b0"), F.col("fp2").alias("b1")), docs, min_words, similarity)
+        links = alike_lines(distinct.select(*key, "n", F.col("fp").alias("b0"), F.col("fp2").alias("b1")), docs, min_words, similarity)
     else:
         links = near_lines(distinct, docs, radius, similarity)
     roots = _roots(links)
-    rooted = distinct.select("key", "first", "c").join(roots, "key", "left").filter("c > 1 or root is not null")
-    repeated = written(rooted.select("key", "first", "root"), "repeated")
+    rooted = distinct.select(*key, "first", "c").join(roots, key, "left").filter("c > 1 or root is not null")
+    repeated = written(rooted.select(*key, "first", "root"), "repeated")
     # Written, so that the join with a large group's lines can be split.
     kept = written(repeated.filter("root is not null").groupBy("root").agg(F.min("first").alias("kept")), "kept")
-    linked = repeated.filter("root is not null").join(kept, "root").select("key", "kept")
-    firsts = linked.union(repeated.filter("root is null").select("key", "first"))
-    drops = lines.select("key", "place").join(firsts, "key").filter("place != kept")
+    linked = repeated.filter("root is not null").join(kept, "root").select(*key, "kept")
+    firsts = linked.union(repeated.filter("root is null").select(*key, "first"))
+    drops = lines.select(*key, "place").join(firsts, key).filter("place != kept")
     by_doc = written(drops.groupBy(F.col("place.d").alias("__gs_e")).agg(F.sort_array(F.collect_set("place.line")).alias("__gs_drop")), "drops")
     for table in (lines, distinct, links, roots, repeated, kept):
         discard(table)

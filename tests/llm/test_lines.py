@@ -154,13 +154,15 @@ def test_line_keys_lose_no_pair(order):
         if len(b) >= 5 and lines.edit_similarity(a, b) >= 0.8:
             pairs.append(([w.encode() for w in a], [w.encode() for w in b]))
     flat = [x for p in pairs for x in p]
-    line, key = line_grams.line_keys(flat, classes)
+    found = line_words.Lines.of([b" ".join(x) for x in flat])
+    tokens, n = found.pick(np.arange(len(flat)))
+    assert n.tolist() == list(map(len, flat))
+    line, key = line_grams.line_keys(tokens, n, classes)
     own = [set() for _ in flat]
     for k, x in zip(line.tolist(), key.tolist(), strict=True):
         own[k].add(x)
     assert len(pairs) > 300 and all(own[2 * k] & own[2 * k + 1] for k in range(len(pairs)))
-    n = np.array(list(map(len, flat)))
-    met = {(min(i), max(i)) for a, b in line_grams.by_bits(line_grams.word_bits(flat), n, np.zeros(len(n), dtype=np.int64), 0.8) for i in zip(a.tolist(), b.tolist(), strict=True)}
+    met = {(min(i), max(i)) for a, b in line_grams.by_bits(line_grams.token_bits(tokens, n), n, np.zeros(len(n), dtype=np.int64), 0.8) for i in zip(a.tolist(), b.tolist(), strict=True)}
     assert {(2 * k, 2 * k + 1) for k in range(len(pairs))} <= met
 
 
@@ -168,6 +170,9 @@ def test_word_hashes_of_long_words():
     words = [b"a", b"b" * 70_000, b"c" * 70_000, b"", b"a", b"x" * 600_000, b"b" * 70_000]
     got = line_words.word_hashes(words).tolist()
     assert got[0] == got[4] and got[1] == got[6] and len(set(got)) == 5
+    texts = [b" ".join(words), b"a " + b"b" * 70_000]
+    own = line_words.Lines.of(texts).words.tolist()
+    assert len(own) == 8 and own[0] == own[3] == own[6] and own[1] == own[5] == own[7]
     assert got[:1] == line_words.word_hashes([b"a"]).tolist() and max(map(len, line_words._POWERS)) < 4 * line_words.SLICE_BYTES
 
 
@@ -198,12 +203,32 @@ def test_whole_similarity(spark, monkeypatch, small):
     assert {r.doc_id: r.dropped for r in lines.dedup_lines(docs).collect()} == want
 
 
-def test_hashes_that_clash(spark, monkeypatch):
-    """Groups are named by keys where two linked keys share a hash."""
-    monkeypatch.setattr(lines, "_node", lambda c: F.lit(7).cast("bigint"))
-    rows = [(1, "a b c d e\nf g h i j"), (2, "a b c d x\nf g h i y")]
-    got = {r.doc_id: r.dropped for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {1: [], 2: [0, 1]}
+def test_keys_that_clash(spark):
+    """Groups are named by both halves of a key where two linked keys share one."""
+    links = spark.createDataFrame([(1, 5, 2, 6), (1, 7, 3, 8), (3, 8, 4, 9)], "u bigint, u2 bigint, v bigint, v2 bigint")
+    got = {}
+    for r in lines._roots(links).collect():
+        got.setdefault(tuple(r.root), set()).add((r.id, r.id2))
+    assert sorted(map(sorted, got.values())) == [[(1, 5), (2, 6)], [(1, 7), (3, 8), (4, 9)]]
+    one = lines._roots(links.filter("u2 != 7 and u != 3")).collect()
+    assert {(r.id, r.id2, r.root) for r in one} == {(1, 5, 1), (2, 6, 1)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab,Z é\n本ย", max_size=30)), max_size=5), st.sampled_from([(1 << 19, 1 << 16), (4, 3)]))
+def test_lines_as_arrays(texts, bounds):
+    """The same lines as by splitting; equal keys just for equal lines."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_words, "SLICE_BYTES", bounds[0])
+        patch.setattr(line_words, "LONG_WORD", bounds[1])
+        own = [t.encode() if t is not None else None for t in texts]
+        got = line_words.Lines.of(own)
+    want = [(t, k, tuple(w)) for t, x in enumerate(own) for k, w in enumerate(line_words.normalised(line_words.spaced(x))) if w]
+    assert list(zip(got.text.tolist(), got.number.tolist(), got.sizes.tolist(), strict=True)) == [(t, k, len(w)) for t, k, w in want]
+    keys = list(map(tuple, got.keys.tolist()))
+    assert all((keys[a] == keys[b]) == (want[a][2] == want[b][2]) for a in range(len(want)) for b in range(a))
+    tokens, n = got.pick(np.arange(len(want))[::-1])
+    assert len(tokens) == sum(len(w) for _, _, w in want) and n.tolist() == [len(w) for _, _, w in want][::-1]
 
 
 def test_short_and_spaceless_lines(spark):
