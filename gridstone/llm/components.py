@@ -34,7 +34,8 @@ def _is_star(links: DataFrame) -> bool:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v): root is the least node of its component.
+    """(node, root) for every node of ``links`` (u, v): root is one node of its component, the
+    same for all: the least, or the centre where the links are stars already.
 
     Rounds of stars shrink the links until each node hangs on its root; rounds
     grow with the logarithm of the longest path. Each round is written to the

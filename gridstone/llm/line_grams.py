@@ -26,8 +26,10 @@ RANGE_KEYS, MAX_PARTITIONS, PACK_KEYS = 1 << 20, 20_000, 1 << 19
 HELD_KEYS = 1 << 22
 #: Distinct lines that a task remembers, so that it sends the keys of a very frequent line once.
 SEEN = 1 << 18
-#: Lines that a task verifies at once, and 64-bit words of their signatures.
-VERIFY_ROWS, SIGNATURE = 1 << 13, 8
+#: Lines that a task verifies at once.
+VERIFY_ROWS = 1 << 13
+#: A sketch has 64 bits for so many words of its line at most, and a power of two of them; finer ones serve verification.
+COARSE, FINE, LEAST = 32, 8, 2
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,12 +83,43 @@ def line_keys(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, simila
     return np.concatenate(where), np.concatenate(keys)
 
 
-def token_bits(tokens: np.ndarray, sizes: np.ndarray, width: int = 2) -> np.ndarray:
-    """For each line ``width`` words of 64 bits, with a bit set for each of its words."""
-    out = np.zeros(len(sizes) * width, dtype=np.uint64)
-    at = (tokens & np.uint64(64 * width - 1)).astype(np.int64)
-    np.bitwise_or.at(out, np.repeat(np.arange(len(sizes)) * width, sizes) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-    return out.reshape(-1, width)
+def widths(sizes: np.ndarray, grain: int) -> np.ndarray:
+    """64-bit words of the sketch of a line of so many words."""
+    return LEAST << np.ceil(np.log2(np.maximum(1, sizes / (LEAST * grain)))).astype(np.int64)
+
+
+def sketches(tokens: np.ndarray, sizes: np.ndarray, grain: int = COARSE) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits, first word of each line and the end): a bit for each word of a line, at its hash modulo the sketch's bits."""
+    width = widths(sizes, grain)
+    first = np.append(0, np.cumsum(width))
+    out = np.zeros(int(first[-1]), dtype=np.uint64)
+    at = (tokens & (np.repeat(width, sizes) * 64 - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, np.repeat(first[:-1], sizes) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out, first
+
+
+def by_sketches(bits: np.ndarray, first: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: float, grain: int = COARSE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of one bucket whose lengths and sketches do not rule ``similarity`` out.
+
+    Lines are compared at the narrower sketch's width; the wider one, twice as
+    wide at most, is folded to it by joining its halves.
+    """
+    width = widths(n, grain)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        wider = np.flatnonzero((width == 2 * w) & (n * similarity <= w * grain + 1e-9))
+        at = np.concatenate([own, wider])
+        if len(at) < 2:
+            continue
+        rows = np.concatenate([bits[first[own][:, None] + np.arange(w)], np.bitwise_or.reduce(bits[first[wider][:, None] + np.arange(2 * w)].reshape(-1, 2, w), axis=1)])
+        order = np.argsort(start[at], kind="stable")
+        at, rows = at[order], rows[order]
+        new = np.append(True, start[at][1:] != start[at][:-1])
+        heads = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        folded = width[at] > w
+        for i, j in by_bits(rows, n[at], heads, similarity):
+            keep = ~(folded[i] & folded[j])
+            yield at[i[keep]], at[j[keep]]
 
 
 def by_bits(bits: np.ndarray, n: np.ndarray, start: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,12 +272,12 @@ def _bucketed(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, u2, v, v2) between keys (id, id2) of ``distinct`` (id, id2, n, b0, b1) that connect just what chains of alike lines connect.
+    """Links (u, u2, v, v2) between keys (id, id2) of ``distinct`` (id, id2, n, sketch) that connect just what chains of alike lines connect.
 
     Alike are lines of min_words words or more with a word-level edit
     similarity of ``similarity`` or more; no such pair is lost. Lines meet by
     ``line_keys``. The keys travel packed, and only those that two lines of
-    fitting lengths share become rows. In each key's bucket word bits rule
+    fitting lengths share become rows. In each key's bucket sketches rule
     most pairs out; what the rest connects gets one group, named by its least
     line, so that lines which share many keys still meet in one or two groups.
     Then the words of those lines alone are fetched (behind a Bloom filter of
@@ -266,7 +299,9 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
 
     def meet(table: pa.Table, fp: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
         union = Union(len(fp))
-        for i, j in by_bits(np.stack([table["b0"].to_numpy(), table["b1"].to_numpy()], axis=1).view(np.uint64), table["n"].to_numpy().astype(np.int64), start, similarity):
+        packed = table["sketch"].to_pylist()
+        first = np.append(0, np.cumsum(np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 8))
+        for i, j in by_sketches(np.frombuffer(b"".join(packed), dtype=np.uint64), first, table["n"].to_numpy().astype(np.int64), start, similarity):
             union.join(i, j)
         ids, label = table["id"].to_numpy(), union.label
         met = np.bincount(label, minlength=len(label))[label] > 1
@@ -275,8 +310,8 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
         if met.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(least[label][met])], names=["id", "root"])
 
-    sketches = distinct.filter(own).select("id", "n", "b0", "b1")
-    rows = entries.join(sketches, "id").select(F.lit(0).cast("smallint").alias("t"), "fp", "id", "n", "b0", "b1")
+    known = distinct.filter(own).select("id", "n", "sketch")
+    rows = entries.join(known, "id").select(F.lit(0).cast("smallint").alias("t"), "fp", "id", "n", "sketch")
     met = written(in_buckets(rows, [0xFFFFFFFFFFFF0000], meet, "id bigint, root bigint").distinct(), "met")
     discard(entries)
     found = BlockedBloom.build(met.select("id").distinct(), "id")
@@ -288,7 +323,7 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
         id1, id2 = table["id"].to_numpy(), table["id2"].to_numpy()
         flat = [np.frombuffer(w, dtype=np.uint32) for w in table["words"].to_pylist()]
         n = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-        signatures = token_bits(np.concatenate(flat).astype(np.uint64), n, SIGNATURE)
+        signatures, first = sketches(np.concatenate(flat).astype(np.uint64), n, FINE)
         union = Union(len(fp))
         up = list(range(len(fp)))
 
@@ -298,7 +333,7 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
                 x = up[x]
             return x
 
-        for i, j in by_bits(signatures, n, start, similarity):
+        for i, j in by_sketches(signatures, first, n, start, similarity, FINE):
             apart = union.label[i] != union.label[j]
             a, b = [], []
             for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import Union, combined, exploded, first_met, in_buckets, matches
 from gridstone.llm.components import components
-from gridstone.llm.line_grams import alike_lines, token_bits
+from gridstone.llm.line_grams import alike_lines, sketches
 from gridstone.llm.line_words import SIMILARITY, Lines, edit_similarity, line_key, mixed, normalised, normalised_lines, word_hashes
 from gridstone.llm.tables import discard, prepare, written
 from gridstone.llm.url_filter import BlockedBloom
@@ -77,8 +77,8 @@ def _counted(own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total >= len(own), bitorder="little").view("<u8")
 
 
-LINES = "array<struct<line:int,id:bigint,id2:bigint,fp:bigint,fp2:bigint,n:int>>"
-_LINES = pa.list_(pa.struct([("line", pa.int32()), *[(c, pa.int64()) for c in ("id", "id2", "fp", "fp2")], ("n", pa.int32())]))
+LINES = "array<struct<line:int,id:bigint,id2:bigint,fp:bigint,fp2:bigint,n:int,sketch:binary>>"
+_LINES = pa.list_(pa.struct([("line", pa.int32()), *[(c, pa.int64()) for c in ("id", "id2", "fp", "fp2")], ("n", pa.int32()), ("sketch", pa.binary())]))
 
 
 def _sketched(texts: list[bytes | None], min_words: int) -> tuple[np.ndarray, ...]:
@@ -91,7 +91,7 @@ def _sketched(texts: list[bytes | None], min_words: int) -> tuple[np.ndarray, ..
 
 
 def _line_rows(min_words: int, exact: bool):
-    """Number, key, sketch (word bits or SimHash) and length of each line of min_words words or more, or where exact of each line with words."""
+    """Number, key, SimHash and length of each line of min_words words or more, or where exact a sketch instead, of each line with words."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -99,11 +99,15 @@ def _line_rows(min_words: int, exact: bool):
             if exact:
                 own = Lines.of(bodies)
                 tokens, sizes = own.pick(np.arange(len(own.sizes)))
-                text, number, keys, fps = own.text, own.number, own.keys, token_bits(tokens, sizes)
+                text, number, keys = own.text, own.number, own.keys
+                bits, first = sketches(tokens, sizes)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((8 * first).astype(np.int32)), pa.py_buffer(bits)])
+                simhash = [pa.nulls(len(sizes), pa.int64())] * 2
             else:
                 text, number, keys, fps, sizes = _sketched(bodies, min_words)
-            numbers = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (keys[:, 0], keys[:, 1], fps[:, 0], fps[:, 1])]
-            columns = [pa.array(number.astype(np.int32)), *numbers, pa.array(sizes.astype(np.int32))]
+                packed, simhash = pa.nulls(len(sizes), pa.binary()), [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in fps.T]
+            halves = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in keys.T]
+            columns = [pa.array(number.astype(np.int32)), *halves, *simhash, pa.array(sizes.astype(np.int32)), packed]
             offsets = np.append(0, np.cumsum(np.bincount(text, minlength=len(bodies)))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, fields=list(_LINES.value_type)))
         pa.default_memory_pool().release_unused()
@@ -228,10 +232,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int | None
     identity = F.xxhash64("doc_id", "text").alias("d")
     key = ["id", "id2"]
     found = docs.select("doc_id", identity, F.explode(_line_rows(min_words, radius is None)("text")).alias("l"))
-    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.id", "l.id2", "l.fp", "l.fp2", "l.n"), "lines")
-    distinct = written(lines.groupBy(*key).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
+    lines = written(found.select(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "d", F.col("l.line").alias("line")).alias("place"), "l.id", "l.id2", "l.fp", "l.fp2", "l.n", "l.sketch"), "lines")
+    distinct = written(lines.groupBy(*key).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("place").alias("first"), F.count("*").alias("c")), "distinct")
     if radius is None:
-        links = alike_lines(distinct.select(*key, "n", F.col("fp").alias("b0"), F.col("fp2").alias("b1")), docs, min_words, similarity)
+        links = alike_lines(distinct.select(*key, "n", "sketch"), docs, min_words, similarity)
     else:
         links = near_lines(distinct, docs, radius, similarity)
     roots = _roots(links)
