@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridstone.llm.bitsliced import Union, in_buckets
-from gridstone.llm.line_words import SIMILARITY, Lines, edit_similarity, mixed
+from gridstone.llm.line_words import SIMILARITY, Lines, alike, mixed
 from gridstone.llm.tables import discard, written
 from gridstone.llm.url_filter import BlockedBloom
 
@@ -26,8 +26,8 @@ RANGE_KEYS, MAX_PARTITIONS, PACK_KEYS = 1 << 20, 20_000, 1 << 19
 HELD_KEYS = 1 << 22
 #: Distinct lines that a task remembers, so that it sends the keys of a very frequent line once.
 SEEN = 1 << 18
-#: Lines that a task verifies at once.
-VERIFY_ROWS = 1 << 13
+#: Lines that a task verifies at once, and pairs between two looks at what is connected.
+VERIFY_ROWS, VERIFY_PAIRS = 1 << 13, 1 << 11
 #: A sketch has 64 bits for so many words of its line at most, and a power of two of them; finer ones serve verification.
 COARSE, FINE, LEAST = 32, 8, 2
 
@@ -323,26 +323,16 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
         id1, id2 = table["id"].to_numpy(), table["id2"].to_numpy()
         flat = [np.frombuffer(w, dtype=np.uint32) for w in table["words"].to_pylist()]
         n = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-        signatures, first = sketches(np.concatenate(flat).astype(np.uint64), n, FINE)
-        union = Union(len(fp))
-        up = list(range(len(fp)))
-
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
+        tokens = np.concatenate(flat)
+        signatures, first = sketches(tokens.astype(np.uint64), n, FINE)
+        begin, union = np.cumsum(n) - n, Union(len(fp))
         for i, j in by_sketches(signatures, first, n, start, similarity, FINE):
-            apart = union.label[i] != union.label[j]
-            a, b = [], []
-            for x, y in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                if (p := top(x)) != (q := top(y)) and edit_similarity(flat[x].tolist(), flat[y].tolist(), similarity) >= similarity:
-                    up[max(p, q)] = min(p, q)
-                    a.append(x)
-                    b.append(y)
-            if a:
-                union.join(np.array(a), np.array(b))
+            for at in range(0, len(i), VERIFY_PAIRS):
+                x, y = i[at : at + VERIFY_PAIRS], j[at : at + VERIFY_PAIRS]
+                apart = union.label[x] != union.label[y]
+                x, y = x[apart], y[apart]
+                hit = alike(tokens, begin, n, x, y, similarity)
+                union.join(x[hit], y[hit])
         # Each line hangs on the first that links lead to in this group, so that paths stay short.
         hung = np.flatnonzero(union.label != np.arange(len(fp)))
         if len(hung):

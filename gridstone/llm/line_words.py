@@ -138,6 +138,60 @@ def _distance(a: Sequence, b: Sequence, most: int) -> int:
     return score
 
 
+#: Cells of a band computed at once, and words from which lines are compared one pair at a time.
+BAND_CELLS, BAND_WORDS = 1 << 17, 4000
+
+
+def alike(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the edit similarity of lines i and j is ``similarity`` or more, for many pairs at once.
+
+    ``tokens`` holds all lines' words end to end, ``first`` where each line
+    begins, ``n`` its words. Only the band of the distance table that so few
+    edits can reach is filled, row by row for all pairs of a batch.
+    """
+    out = np.zeros(len(i), dtype=bool)
+    longer = np.maximum(n[i], n[j])
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    for k in np.flatnonzero(longer > BAND_WORDS).tolist():
+        a, b = (tokens[first[x] : first[x] + n[x]].tolist() for x in (i[k], j[k]))
+        out[k] = edit_similarity(a, b, similarity) >= similarity
+    order = np.argsort(longer, kind="stable")
+    order = order[(longer <= BAND_WORDS)[order] & (np.abs(n[i] - n[j]) <= most)[order]]
+    at = 0
+    while at < len(order):
+        stop = at + max(1, BAND_CELLS // (2 * int(most[order[min(len(order) - 1, at + 1024)]]) + 1))
+        own = order[at:stop]
+        out[own] = _banded(tokens, first, n, i[own], j[own], int(most[own].max())) <= most[own]
+        at = stop
+    return out
+
+
+def _banded(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, reach: int) -> np.ndarray:
+    """Edit distances of pairs whose lengths differ by ``reach`` at most, exact up to that."""
+    rows, width, pairs = int(n[i].max()), 2 * reach + 1, np.arange(len(i))
+    last = len(tokens) - 1
+    # Pairs lie side by side. What stands beyond a line's ends only enters cells that are not read.
+    a = tokens[np.minimum(first[i] + np.arange(rows)[:, None], last)]
+    b = tokens[np.clip(first[j] + np.arange(-reach, rows + reach)[:, None], 0, last)]
+    steps = np.arange(width, dtype=np.int16)[:, None]
+    # Cell k of row r stands for the first r words of i and r + k - reach of j.
+    cells = np.repeat(np.where(steps >= reach, steps - reach, 9999).astype(np.int16), len(i), axis=1)
+    out = np.where(n[i] == 0, n[j], 9999)
+    found = np.empty_like(cells)
+    for r in range(rows):
+        np.add(cells, a[r] != b[r : r + width], out=found)
+        cells += np.int16(1)
+        np.minimum(found[:-1], cells[1:], out=found[:-1])
+        found -= steps
+        np.minimum.accumulate(found, axis=0, out=found)
+        found += steps
+        np.minimum(found, np.int16(9999), out=cells)
+        done = pairs[n[i] == r + 1]
+        if len(done):
+            out[done] = cells[(n[j] - n[i])[done] + reach, done]
+    return out
+
+
 @dataclass
 class Lines:
     """The lines with words of some texts, as arrays."""

@@ -33,6 +33,20 @@ def test_edit_similarity(a, b):
     assert got == pytest.approx(want) if want >= 0.8 else got < 0.8
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=2, max_size=6), st.sampled_from([(1 << 19, 4000), (40, 4000), (1 << 19, 12)]))
+def test_alike(rows, bounds):
+    rows = [*rows, rows[0] * 2, rows[0] + [1], rows[1][:-1] + [0]]
+    n = np.array(list(map(len, rows)))
+    tokens = np.array([x for r in rows for x in r] + [0], dtype=np.uint32)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if max(n[i], n[j])]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_words, "BAND_CELLS", bounds[0])
+        patch.setattr(line_words, "BAND_WORDS", bounds[1])
+        got = line_words.alike(tokens, np.cumsum(n) - n, n, np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.int64))
+    assert got.tolist() == [1 - levenshtein(rows[i], rows[j]) / max(n[i], n[j]) >= 0.8 - 1e-9 for i, j in pairs]
+
+
 def norm(line):
     out = "".join(c.lower() if "A" <= c <= "Z" else c if c.isalnum() or ord(c) > 127 else " " for c in line)
     return [w for w in out.split(" ") if w]
