@@ -27,7 +27,7 @@ HELD_KEYS = 1 << 22
 #: Distinct lines that a task remembers, so that it sends the keys of a very frequent line once.
 SEEN = 1 << 18
 #: Lines that a task verifies at once, and pairs between two looks at what is connected.
-VERIFY_ROWS, VERIFY_PAIRS = 1 << 13, 1 << 11
+VERIFY_ROWS, VERIFY_PAIRS = 1 << 13, 1 << 12
 #: A sketch has 64 bits for so many words of its line at most, and a power of two of them; finer ones serve verification.
 COARSE, FINE, LEAST = 32, 8, 2
 
@@ -326,13 +326,29 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
         tokens = np.concatenate(flat)
         signatures, first = sketches(tokens.astype(np.uint64), n, FINE)
         begin, union = np.cumsum(n) - n, Union(len(fp))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def compare() -> None:
+            x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held.clear()
+            for at in range(0, len(x), VERIFY_PAIRS):
+                i, j = x[at : at + VERIFY_PAIRS], y[at : at + VERIFY_PAIRS]
+                apart = union.label[i] != union.label[j]
+                i, j = i[apart], j[apart]
+                hit = alike(tokens, begin, n, i, j, similarity)
+                union.join(i[hit], j[hit])
+
+        # Pairs are gathered, as many are compared at the price of a few.
+        count = 0
         for i, j in by_sketches(signatures, first, n, start, similarity, FINE):
-            for at in range(0, len(i), VERIFY_PAIRS):
-                x, y = i[at : at + VERIFY_PAIRS], j[at : at + VERIFY_PAIRS]
-                apart = union.label[x] != union.label[y]
-                x, y = x[apart], y[apart]
-                hit = alike(tokens, begin, n, x, y, similarity)
-                union.join(x[hit], y[hit])
+            apart = union.label[i] != union.label[j]
+            held.append((i[apart], j[apart]))
+            count += int(apart.sum())
+            if count >= VERIFY_PAIRS:
+                compare()
+                count = 0
+        if count:
+            compare()
         # Each line hangs on the first that links lead to in this group, so that paths stay short.
         hung = np.flatnonzero(union.label != np.arange(len(fp)))
         if len(hung):

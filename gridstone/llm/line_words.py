@@ -139,7 +139,7 @@ def _distance(a: Sequence, b: Sequence, most: int) -> int:
 
 
 #: Cells of a band computed at once, and words from which lines are compared one pair at a time.
-BAND_CELLS, BAND_WORDS = 1 << 17, 4000
+BAND_CELLS, BAND_WORDS = 1 << 18, 1000
 
 
 def alike(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -157,9 +157,11 @@ def alike(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j
         out[k] = edit_similarity(a, b, similarity) >= similarity
     order = np.argsort(longer, kind="stable")
     order = order[(longer <= BAND_WORDS)[order] & (np.abs(n[i] - n[j]) <= most)[order]]
-    at = 0
+    at, ordered = 0, longer[order]
     while at < len(order):
-        stop = at + max(1, BAND_CELLS // (2 * int(most[order[min(len(order) - 1, at + 1024)]]) + 1))
+        # Lines of a batch have similar lengths, as all take as long as the longest.
+        stop = int(np.searchsorted(ordered, ordered[at] * 1.2 + 4, side="right"))
+        stop = min(stop, at + max(1, BAND_CELLS // (2 * int(most[order[stop - 1]]) + 1)))
         own = order[at:stop]
         out[own] = _banded(tokens, first, n, i[own], j[own], int(most[own].max())) <= most[own]
         at = stop
