@@ -160,20 +160,20 @@ def exploded(rows: DataFrame, own: list[int]) -> DataFrame:
     return rows.withColumn("t", F.explode(F.array(*[F.lit(t).cast("smallint") for t in range(len(own))])))
 
 
-def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str, gather: int = GATHER_ROWS) -> DataFrame:
+def in_buckets(rows: DataFrame, own: list[int], work: Callable, schema: str, gather: int = GATHER_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """What ``work(table, fp, start)`` yields for tables of whole buckets of ``rows`` (with t and a bigint fp).
 
     A bucket holds the rows of one mask that agree on its bits. Sizes of
     buckets are estimated from one in SAMPLE fingerprints; a bucket of over
-    CHUNK_ROWS rows is cut into chunks by hash, and each pair of its chunks
+    ``chunk_rows`` rows is cut into chunks by hash, and each pair of its chunks
     becomes a bucket of its own, so that no task has to hold more than two
     chunks of it. The estimate only shapes tasks: every pair meets either way.
     ``gather`` rows are handed to work at once, or more where a bucket is larger.
     """
     bits = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(_signed(m)).cast("bigint") for m in own]), F.col("t") + 1))
     some = rows.filter(F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(SAMPLE)) == 0).select("t", bits.alias("k"))
-    large = some.groupBy("t", "k").count().filter(F.col("count") * SAMPLE > CHUNK_ROWS)
-    large = large.select(F.col("t").alias("__gs_t"), F.col("k").alias("__gs_k"), F.ceil(F.col("count") * SAMPLE / CHUNK_ROWS).cast("int").alias("__gs_n"))
+    large = some.groupBy("t", "k").count().filter(F.col("count") * SAMPLE > chunk_rows)
+    large = large.select(F.col("t").alias("__gs_t"), F.col("k").alias("__gs_k"), F.ceil(F.col("count") * SAMPLE / chunk_rows).cast("int").alias("__gs_n"))
     if large.isEmpty():
         tiled = rows.withColumn("__gs_tile", F.lit(0).cast("bigint"))
     else:

@@ -15,29 +15,32 @@ from gridstone.llm.line_words import SIMILARITY, Lines, alike, mixed
 from gridstone.llm.tables import discard, written
 from gridstone.llm.url_filter import BlockedBloom
 
-#: Words are ordered by how often one in ORDER_SAMPLE lines hold them, counted in 2 ** SLOT_BITS slots; the order only
-#: shapes buckets.
+#: Words are ordered by how often one in ORDER_SAMPLE texts (by hash) hold them, counted in 2 ** SLOT_BITS slots; the
+#: order only shapes buckets.
 ORDER_SAMPLE, SLOT_BITS = 16, 22
 #: Bits of a word pair's hash, and lines ordered at once.
 PAIR_BITS, SLICE_LINES = 40, 1 << 16
 #: Keys are dealt in ranges of about RANGE_KEYS, by at most MAX_PARTITIONS partitions, in packs of PACK_KEYS a task.
 RANGE_KEYS, MAX_PARTITIONS, PACK_KEYS = 1 << 20, 20_000, 1 << 19
+#: Low bits of keys by which those that are alone are told.
+KEY_SLOTS = 22
 #: Keys of a range held at once; beyond them, those already paired are kept once for each length.
 HELD_KEYS = 1 << 22
 #: Distinct lines that a task remembers, so that it sends the keys of a very frequent line once.
 SEEN = 1 << 18
-#: Lines that a task verifies at once, and pairs between two looks at what is connected.
-VERIFY_ROWS, VERIFY_PAIRS = 1 << 13, 1 << 12
+#: Lines that a task verifies at once, and pairs between two looks at what is connected. Groups of more than VERIFY_CHUNK
+#: lines are cut over several tasks.
+VERIFY_ROWS, VERIFY_PAIRS, VERIFY_CHUNK = 1 << 13, 1 << 12, 1 << 13
 #: A sketch has 64 bits for so many words of its line at most, and a power of two of them; finer ones serve verification.
 COARSE, FINE, LEAST = 32, 8, 2
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often one in ORDER_SAMPLE lines hold each slot's words."""
+    """How often each slot's words occur."""
     counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
     for batch in batches:
         lines = Lines.of(batch.column(0).cast(pa.binary()).to_pylist())
-        tokens, _ = lines.pick(np.flatnonzero(lines.keys[:, 0] % np.uint64(ORDER_SAMPLE) == 0))
+        tokens, _ = lines.pick(np.arange(len(lines.sizes)))
         np.add.at(counts, (tokens >> np.uint64(32 - SLOT_BITS)).astype(np.int64), 1)
     slots = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(counts[slots].astype(np.int64))], names=["slot", "c"])
@@ -45,7 +48,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_classes(docs: DataFrame) -> np.ndarray:
     """The class of each slot's words (thirds of an octave, 63 at most), higher for more common ones; 4 MB, whatever the input."""
-    found = docs.filter("text is not null").select("text").mapInArrow(_word_counts, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).filter("c > 1").toArrow()
+    some = docs.filter((F.pmod(F.xxhash64("text"), F.lit(ORDER_SAMPLE)) == 0) & F.col("text").isNotNull()).select("text")
+    found = some.mapInArrow(_word_counts, "slot int, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).filter("c > 1").toArrow()
     out = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
     out[found["slot"].to_numpy()] = np.minimum(63, 1 + 3 * np.log2(found["c"].to_numpy()))
     return out
@@ -74,7 +78,8 @@ def line_keys(tokens: np.ndarray, sizes: np.ndarray, classes: np.ndarray, simila
         level = classes[(some >> np.uint64(32 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
         inside = owner[1:] == owner[:-1]
         pair = mixed(some[:-1] << np.uint64(32) | some[1:], 0xD6E8FEB86659FD93) >> np.uint64(64 - PAIR_BITS)
-        own = np.unique((owner[:-1] << np.uint64(PAIR_BITS + 7) | (level[:-1] + level[1:]) << np.uint64(PAIR_BITS) | pair)[inside])
+        own = np.sort((owner[:-1] << np.uint64(PAIR_BITS + 7) | (level[:-1] + level[1:]) << np.uint64(PAIR_BITS) | pair)[inside])
+        own = own[np.append(True, own[1:] != own[:-1])] if len(own) else own
         line = (own >> np.uint64(PAIR_BITS + 7)).astype(np.int64)
         counts = np.bincount(line, minlength=len(n))
         first = np.arange(len(own)) - (np.cumsum(counts) - counts)[line] <= lost_pairs(n, similarity)[line]
@@ -89,11 +94,21 @@ def widths(sizes: np.ndarray, grain: int) -> np.ndarray:
 
 
 def sketches(tokens: np.ndarray, sizes: np.ndarray, grain: int = COARSE) -> tuple[np.ndarray, np.ndarray]:
-    """(words of 64 bits, first word of each line and the end): a bit for each word of a line, at its hash modulo the sketch's bits."""
+    """(words of 64 bits, first word of each line and the end): a bit for each word of a line, at its hash modulo the sketch's bits.
+
+    The second, third, ... occurrence of a word in its line count as words of
+    their own, so that lines of few words said often differ as well.
+    """
     width = widths(sizes, grain)
     first = np.append(0, np.cumsum(width))
     out = np.zeros(int(first[-1]), dtype=np.uint64)
-    at = (tokens & (np.repeat(width, sizes) * 64 - 1).astype(np.uint64)).astype(np.int64)
+    if not len(tokens):
+        return out, first
+    own = np.sort(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | tokens)
+    place = np.arange(len(own))
+    again = place - np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), place, 0))
+    own = mixed((own & np.uint64(0xFFFFFFFF)) + (again.astype(np.uint64) << np.uint64(32)), 0xC2B2AE3D27D4EB4F)
+    at = (own & (np.repeat(width, sizes) * 64 - 1).astype(np.uint64)).astype(np.int64)
     np.bitwise_or.at(out, np.repeat(first[:-1], sizes) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
     return out, first
 
@@ -181,9 +196,9 @@ def _packed(classes, min_words: int, similarity: float, bits: int):
 
     def pack(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         entries, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        order = np.argsort(entries)
-        entries, ids = entries[order], ids[order]
-        ranges = entries >> np.uint64(64 - bits)
+        ranges = (entries >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(ranges, kind="stable")
+        entries, ids, ranges = entries[order], ids[order], ranges[order]
         cuts = np.append(np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])), len(entries)).tolist()
         packs = [entries[a:b].tobytes() + ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(ranges[cuts[:-1]].astype(np.int32)), pa.array(packs, pa.binary())], names=["range", "pack"])
@@ -197,17 +212,26 @@ def _paired(similarity: float):
     def fits(entries: np.ndarray) -> np.ndarray:
         """Which entries, sorted, fit the one before."""
         n = (entries & np.uint64(0xFFFF)).astype(np.int64)
+        if not len(n):
+            return np.zeros(0, dtype=bool)
         near = (n[1:] - n[:-1] <= (1 - similarity) * n[1:] + 1e-9) | (n[1:] == 0xFFFF)
         return np.append(False, near & (entries[1:] >> np.uint64(16) == entries[:-1] >> np.uint64(16)))
 
-    def ordered(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ordered(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(entries, ids, whether they fit a neighbour) in order without repeats, and the entries and ids whose key is alone."""
         entries, ids = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        # Most keys are alone: counts by some of their bits spare them the sort.
+        slots = (entries >> np.uint64(16) & np.uint64((1 << KEY_SLOTS) - 1)).astype(np.int64)
+        shared = np.bincount(slots, minlength=1 << KEY_SLOTS)[slots] > 1
+        alone = entries[~shared], ids[~shared]
+        entries, ids = entries[shared], ids[shared]
         order = np.lexsort((ids, entries))
         entries, ids = entries[order], ids[order]
-        new = np.append(True, (entries[1:] != entries[:-1]) | (ids[1:] != ids[:-1]))
-        entries, ids = entries[new], ids[new]
+        if len(entries):
+            new = np.append(True, (entries[1:] != entries[:-1]) | (ids[1:] != ids[:-1]))
+            entries, ids = entries[new], ids[new]
         near = fits(entries)
-        return entries, ids, near | np.append(near[1:], False)
+        return entries, ids, near | np.append(near[1:], False)[: len(near)], alone
 
     def rows(entries: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         fp = entries & np.uint64(0xFFFFFFFFFFFF0000) | ids & np.uint64(0xFFFF)
@@ -219,7 +243,7 @@ def _paired(similarity: float):
         for batch in batches:
             for key, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key != at and held:
-                    entries, ids, keep = ordered(held)
+                    entries, ids, keep, _ = ordered(held)
                     yield rows(entries[keep], ids[keep])
                     held, count = [], 0
                 at = key
@@ -228,13 +252,13 @@ def _paired(similarity: float):
                 count += both.shape[1]
                 if count >= HELD_KEYS:
                     # One line of each key and length stands for those that are sent on already.
-                    entries, ids, keep = ordered(held)
+                    entries, ids, keep, alone = ordered(held)
                     yield rows(entries[keep], ids[keep])
-                    left = ~keep | np.append(True, entries[1:] != entries[:-1])
-                    held = [(entries[left], ids[left])]
-                    count = min(int(left.sum()), HELD_KEYS // 2)
+                    left = ~keep | np.append(True, entries[1:] != entries[:-1])[: len(keep)]
+                    held = [(entries[left], ids[left]), alone]
+                    count = min(int(left.sum()) + len(alone[0]), HELD_KEYS // 2)
         if held:
-            entries, ids, keep = ordered(held)
+            entries, ids, keep, _ = ordered(held)
             yield rows(entries[keep], ids[keep])
         pa.default_memory_pool().release_unused()
 
@@ -355,6 +379,6 @@ def alike_lines(distinct: DataFrame, docs: DataFrame, min_words: int, similarity
             roots = union.label[hung]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (id1[hung], id2[hung], id1[roots], id2[roots])], names=["u", "u2", "v", "v2"])
 
-    links = written(in_buckets(grouped, [0xFFFFFFFFFFFF0000], verify, "u bigint, u2 bigint, v bigint, v2 bigint", VERIFY_ROWS).distinct(), "links")
+    links = written(in_buckets(grouped, [0xFFFFFFFFFFFF0000], verify, "u bigint, u2 bigint, v bigint, v2 bigint", VERIFY_ROWS, VERIFY_CHUNK).distinct(), "links")
     discard(met)
     return links

@@ -163,13 +163,15 @@ def alike(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j
         stop = int(np.searchsorted(ordered, ordered[at] * 1.2 + 4, side="right"))
         stop = min(stop, at + max(1, BAND_CELLS // (2 * int(most[order[stop - 1]]) + 1)))
         own = order[at:stop]
-        out[own] = _banded(tokens, first, n, i[own], j[own], int(most[own].max())) <= most[own]
+        # A path of so few edits strays from both ends' diagonals by half of what their lengths leave.
+        reach = (most + np.abs(n[i] - n[j]))[own].max() // 2
+        out[own] = _banded(tokens, first, n, i[own], j[own], int(reach)) <= most[own]
         at = stop
     return out
 
 
 def _banded(tokens: np.ndarray, first: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, reach: int) -> np.ndarray:
-    """Edit distances of pairs whose lengths differ by ``reach`` at most, exact up to that."""
+    """Edit distances of pairs whose lengths differ by ``reach`` at most, by paths within ``reach`` of the diagonal."""
     rows, width, pairs = int(n[i].max()), 2 * reach + 1, np.arange(len(i))
     last = len(tokens) - 1
     # Pairs lie side by side. What stands beyond a line's ends only enters cells that are not read.
