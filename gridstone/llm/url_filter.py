@@ -105,7 +105,8 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     distinct URL looks up its canonical form there, and in the rules each
     suffix of its host with each prefix of its path that is as long as some
     rule's. A Bloom filter of all keys, of bounded size, removes nearly every
-    lookup before the exact join. The longest fitting rule decides (equal
+    lookup before the exact join; where the keys would overfill it, the join
+    sees all lookups. The longest fitting rule decides (equal
     lengths: the longer host); without a rule a listed URL is blocked and any
     other allowed.
 
@@ -121,8 +122,8 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     own = spark.createDataFrame([("r" + host + path, host + path, verdict, len(host + path) * 4096 + len(host)) for host, path, verdict in rules], "key string, rule string, verdict string, weight int")
     theirs = listed.filter("key is not null").select(F.concat(F.lit("u"), "key").alias("key")).distinct()
     keys = own.unionByName(theirs.select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(0).alias("weight")))
-    lanes = BlockedBloom.build(keys.select("key"), "key").lanes
-    shared = spark.sparkContext.broadcast(lanes)
+    bloom = BlockedBloom.build(keys.select("key"), "key")
+    shared = spark.sparkContext.broadcast(bloom.lanes) if bloom else None
 
     def may_hold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bloom = BlockedBloom(shared.value)
@@ -134,11 +135,13 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     urls = pages.filter(F.instr(col, "://") > 0).select(col.alias("url")).distinct()
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical_url(F.col("url")).alias("own"))
     labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # No suffix of more labels than some rule's host can fit, so a host of very many labels costs no more than its length.
+    most = max((host.count(".") + 1 for host, _, _ in rules), default=1)
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (most - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit("r"), s, p))))
     looked = parts.select("url", F.explode(F.array_union(F.array(F.concat(F.lit("u"), "own")), pairs)).alias("key"))
-    hits = looked.filter(probe(F.xxhash64("key")))
+    hits = looked.filter(probe(F.xxhash64("key"))) if bloom else looked
     best = F.max_by(F.struct("rule", "verdict"), "weight")
     found = hits.join(keys, "key").groupBy("url").agg(best.alias("best")).select(F.col("url").alias("__gs_url"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     base = pages.select(*kept, host_of(col).alias("host"), path_of(col).alias("path"))

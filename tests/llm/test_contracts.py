@@ -226,8 +226,10 @@ def _judge(url, listed, canonical):
     return host, path, None, "block" if canonical in listed else "allow"
 
 
-def test_urls(spark):
-    urls = ["http://a.org/x", "HTTP://A.Example.ORG/es/1?q#f", "x://example.org/en/12", "x://example.org/en/2", "b.com/fr/", "http://b.com/fr/?a", "http://com/de/x", "http://zcom/de/x", "http://a.org", "http://a.org?x=/", "http://h/p://q", "://", None, "", "http://bad.net/p.html?utm_source=1&b=2&a=1", "https://www.bad.net/p/?a=1&b=2#z", "http://bad.net/q", "http://bad.net/q"]
+@pytest.mark.parametrize("blocks", [1 << 20, 0])
+def test_urls(spark, monkeypatch, blocks):
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", blocks)  # 0: too many keys for a filter
+    urls = ["http://a.org/x", "HTTP://A.Example.ORG/es/1?q#f", "x://example.org/en/12", "x://example.org/en/2", "b.com/fr/", "http://b.com/fr/?a", "http://com/de/x", "http://zcom/de/x", "http://a.org", "http://a.org?x=/", "http://h/p://q", "://", None, "", "http://bad.net/p.html?utm_source=1&b=2&a=1", "https://www.bad.net/p/?a=1&b=2#z", "http://bad.net/q", "http://bad.net/q", "http://" + "x." * 500 + "example.org/es/1", "http://" + "x." * 500 + "com/de/"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id int, url string").withColumn("rule", F.lit("old")).withColumn("key", F.lit("k"))
     listed = spark.createDataFrame([("bad.net/p?a=1&b=2",), (None,)], "key string")
     canon = dict(pages.select("url", url_filter.canonical_url(F.col("url"))).collect())
