@@ -58,3 +58,30 @@ ids AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN ids ON ids.r = d.r"""
+
+
+OP12 = r"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+e AS (SELECT *, concat(%s) AS head, concat(%s) AS tail FROM d),
+c AS (SELECT *, concat(%s) AS same, concat(%s) AS more, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS crc FROM e),
+l AS (SELECT doc_id, lang, idx, n, sha256(head || same || tail) AS leaf, CASE WHEN xor(crc, 4294967295) %% 7 = 0 THEN sha256(head || more || tail) ELSE sha256(head || same || tail) END AS moved FROM c),
+t AS (SELECT 0 AS k, coalesce('=' || lang, '') AS g, idx, n, leaf AS node FROM l UNION ALL
+  SELECT k + 1, g, idx // 2, (n + 1) // 2, sha256(node || coalesce(other, '')) FROM (SELECT *, lead(node) OVER (PARTITION BY g ORDER BY idx) AS other FROM t) WHERE n > 1 AND idx %% 2 = 0),
+s AS (SELECT g, node FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n, node FROM s UNION ALL
+  SELECT k + 1, idx // 2, (n + 1) // 2, sha256(node || coalesce(other, '')) FROM (SELECT *, lead(node) OVER (ORDER BY idx) AS other FROM u) WHERE n > 1 AND idx %% 2 = 0),
+gs AS (SELECT g, node, row_number() OVER (ORDER BY g) - 1 AS idx FROM s),
+low AS (SELECT l.doc_id, l.idx AS leaf_idx, a.g, a.k, (l.idx >> a.k) %% 2 AS slot, b.node AS sib FROM l JOIN t a ON a.g = coalesce('=' || l.lang, '') AND a.idx = l.idx >> a.k AND a.n > 1
+  LEFT JOIN t b ON b.g = a.g AND b.k = a.k AND b.idx = xor(a.idx, 1)),
+high AS (SELECT gs.g, 1000 + a.k AS k, (gs.idx >> a.k) %% 2 AS slot, b.node AS sib FROM gs JOIN u a ON a.idx = gs.idx >> a.k AND a.n > 1 LEFT JOIN u b ON b.k = a.k AND b.idx = xor(a.idx, 1)),
+steps AS (SELECT doc_id, leaf_idx, g, k, slot, sib FROM low UNION ALL SELECT l.doc_id, l.idx, high.g, k, slot, sib FROM l JOIN high ON high.g = coalesce('=' || l.lang, '')),
+paths AS (SELECT g, leaf_idx, list({'slot': slot, 'sib': sib} ORDER BY k) AS path FROM steps GROUP BY ALL),
+f AS (SELECT l.*, coalesce('=' || lang, '') AS g, coalesce(path, []) AS path FROM l LEFT JOIN paths ON paths.g = coalesce('=' || lang, '') AND leaf_idx = l.idx),
+w AS (SELECT g, idx, 1 AS pos, moved AS v, path FROM f UNION ALL
+  SELECT g, idx, pos + 1, sha256(CASE WHEN path[pos].slot = 1 THEN path[pos].sib || v ELSE v || coalesce(path[pos].sib, '') END), path FROM w WHERE pos <= len(path)),
+top AS (SELECT node AS root FROM u WHERE n = 1)
+SELECT f.doc_id, f.leaf, s.node AS subroot, root, sha256(coalesce(array_to_string(list_filter(list_transform(f.path, lambda x: x.sib), lambda x: x IS NOT NULL), ''), '')) AS proof_sha256, w.v AS folded_root, w.v = root AS verified
+FROM f JOIN s ON s.g = f.g JOIN w ON w.g = f.g AND w.idx = f.idx AND w.pos = len(f.path) + 1, top""" % tuple(
+    ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in part) for part in (("doc_id", "source", "lang"), ("text",), ("n_chars",), ("n_chars + 1",))
+)
