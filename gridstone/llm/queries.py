@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, lines, manifest, oracles, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, language, lines, manifest, oracles, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -60,12 +60,16 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_digest(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judged(documents(spark, sf_dir))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_manifest(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op6_passages, op7_simhash, op8_quality, op9_decontaminate, op10_personal, op12_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op6_passages, op7_simhash, op8_quality, op9_decontaminate, op10_personal, op11_language, op12_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
