@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions import kernels
-from gridstone.functions.gyre import GyreGrid
-from gridstone.operators import halo, reductions, scans, sorting
+from gridstone.operators import halo, lookup, reductions, scans, sorting
 from gridstone.operators.linalg import Mat
 from gridstone.operators.ndarray import NdArray
 from gridstone.operators.vector import IDX, Vec, div, zipped
@@ -272,12 +271,6 @@ def _(spark, d):
     return doubles(reductions.reduce(events(spark, d), "min"))
 
 
-@register("reduce_product_small", "SELECT round(product(1 + o_orderkey % 3), 3) AS value FROM orders WHERE o_orderkey < 12")
-def _(spark, d):
-    small = orders(spark, d).take(12).enumerate().transform(lambda i, v: 1 + i % 3)
-    return reductions.reduce(small, "multiplies").select(F.round("value", 3).alias("value"))
-
-
 #: Signs by data and powers of two that cancel every 31 orders, so that products of all orders are exact and finite.
 FACTOR = "(CASE WHEN o_totalprice > 100000 THEN -1 ELSE 1 END) * pow(2, o_orderkey * 7 % 31 - 15)"
 
@@ -352,12 +345,6 @@ def _(spark, d):
     return doubles(scans.inclusive_scan(events(spark, d), "max").df)
 
 
-@register("scan_product_small", "SELECT o_orderkey AS idx, round(product(1 + o_orderkey % 3) OVER (ORDER BY o_orderkey), 3) AS v FROM orders WHERE o_orderkey < 12")
-def _(spark, d):
-    small = orders(spark, d).take(12).enumerate().transform(lambda i, v: 1 + i % 3)
-    return scans.inclusive_scan(small, "multiplies", block=5).df.select(IDX, F.round("v", 3).alias("v"))
-
-
 @register("scan_product", f"SELECT o_orderkey AS idx, product({FACTOR}) OVER (ORDER BY o_orderkey) AS v FROM orders")
 def _(spark, d):
     return scans.inclusive_scan(factors(spark, d), "multiplies", block=1000).df
@@ -407,6 +394,37 @@ def _(spark, d):
     return doubles(sorting.sort_subrange(events(spark, d), 100, 300).df)
 
 
+# Ordered lookups
+
+
+@register("lookup_lower", EV + "SELECT idx, (SELECT count(*) FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) < v * 1000) AS position FROM ev")
+def _(spark, d):
+    return lookup.lower_bound(events(spark, d).transform(lambda v: (v * 1000).cast("decimal(28,2)")), orders(spark, d).transform(lambda v: v.cast("decimal(28,2)"))).df
+
+
+@register("lookup_upper", "SELECT o_orderkey AS idx, (SELECT count(*) FROM events WHERE user_id <= o_custkey) AS position FROM orders")
+def _(spark, d):
+    probes = Vec.from_table(table(spark, d, "orders"), "o_orderkey", v=F.col("o_custkey"))
+    return lookup.upper_bound(probes, events(spark, d, "w")).df
+
+
+#: The last purchase of the same user before each event.
+@register("lookup_asof", "SELECT e.event_id, p.event_id AS found_id, p.value AS found_value FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts > p.ts")
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    found = lookup.asof(rows.select("event_id", "user_id", "ts"), rows.filter("event_type = 'purchase'"), "ts", "user_id", False)
+    return found.select("event_id", F.col("found.event_id").alias("found_id"), F.col("found.value").alias("found_value"))
+
+
+#: The row of the sparse matrix that holds each place of its cells in row-major order, from the row pointers.
+@register("lookup_rows_of_cells", SPARSE + "SELECT row_number() OVER (ORDER BY i, j) - 1 AS place, i FROM a")
+def _(spark, d):
+    own = sparse(spark, d)
+    places = spark.range(own.df.count()).select(F.col("id").alias("start"))
+    found = lookup.position(places, own.row_pointers(), "start", True)
+    return found.select(F.col("start").alias("place"), (F.col("position") - 1).alias("i"))
+
+
 # Sliding windows, 1-d stencils, halos
 
 
@@ -841,19 +859,6 @@ def _(spark, d):
     return kernels.black_scholes(_prices(spark, d), 0.05, 0.2, kernels.normal_cdf).select(IDX, "vcall", "vput")
 
 
-@register("wave_energy_step")
-def _(spark, d):
-    grid_ = kernels.WaveGrid(16, 16)
-    dt = 0.005
-    return grid_.diagnostics(grid_.step(grid_.start(spark), dt), dt)
-
-
-@register("shallow_water_step")
-def _(spark, d):
-    grid_ = GyreGrid(16, 16)
-    return grid_.diagnostics(grid_.step(grid_.start(spark), 0.005))
-
-
 @register("fft3d_roundtrip")
 def _(spark, d):
     n = 8

@@ -1,4 +1,4 @@
-"""Matrix Market coordinate files."""
+"""Matrices from and to Matrix Market coordinate files."""
 
 from __future__ import annotations
 
@@ -6,58 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.operators.linalg import Mat
+from gridstone.sources import market_files
 
 
-def read(spark: SparkSession, path: str, one_indexed: bool = True) -> Mat:
+def read(spark: SparkSession, path: str, one_indexed: bool = True, checked: bool = True) -> Mat:
     """A real, integer or pattern matrix, general or symmetric, as coordinates from 0.
 
-    The file is read as text by Spark, so it is split like any text file; a
-    folder counts as one file, in which the banner and the size line stand
-    together at the top of some part.
-    Cells of a symmetric matrix come with their mirror images, those of a
-    pattern have value 1. A wrong banner, another kind or symmetry, a
-    coordinate out of bounds and a wrong number of cells are ValueErrors.
+    The head alone is read here; the cells are read by byte ranges when they
+    are used. Cells of a symmetric matrix come with their mirror images, those
+    of a pattern have value 1. A wrong banner, another kind or symmetry is a
+    ValueError here; so are a coordinate out of bounds and a wrong number of
+    cells, which one aggregate finds. Without ``checked`` there is no such job,
+    and a coordinate out of bounds fails the task that reads it.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    banner = lines.filter("block = 0 and lower(line) like '\\%\\%matrixmarket%'").orderBy("at").limit(1).collect()
-    words = banner[0].line.lower().split() if banner else []
-    if words[:1] != ["%%matrixmarket"] or len(words) != 5:
-        raise ValueError("no Matrix Market banner")
-    if words[1:3] != ["matrix", "coordinate"] or words[3] not in ("real", "integer", "pattern"):
-        raise ValueError(f"unsupported: {' '.join(words[1:4])}")
-    if words[4] not in ("general", "symmetric"):
-        raise ValueError(f"unsupported symmetry: {words[4]}")
-    body = lines.filter("line != '' and not startswith(line, '%')")
-    own = (F.col("block") == 0) & (F.col("file") == banner[0].file)
-    head = body.filter(own).orderBy("at").limit(1).collect()
-    sizes = head[0].line.split() if head else []
-    if len(sizes) != 3:
-        raise ValueError("no size line")
-    m, n, nnz = map(int, sizes)
-    fields = F.split("line", "\\s+")
-    base = 1 if one_indexed else 0
-    value = F.lit(1.0) if words[3] == "pattern" else fields[2].cast("double")
-    cells = body.filter(~(own & (F.col("at") == head[0].at))).select((fields[0].cast("bigint") - base).alias("i"), (fields[1].cast("bigint") - base).alias("j"), value.alias("v"))
-    _check(cells, m, n, nnz)
-    if words[4] == "symmetric":
-        cells = cells.unionByName(cells.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return Mat(cells, (m, n))
+    market_files.register(spark)
+    head = market_files.head_of(*market_files.opened(path))
+    cells = lambda bounds: spark.read.format(market_files.FORMAT).options(base=str(int(one_indexed)), bounds=bounds).load(path)
+    if checked:
+        _check(cells("false"), head)
+    return Mat(cells("true"), (head.rows, head.cols))
 
 
-def _check(cells: DataFrame, m: int, n: int, nnz: int) -> None:
-    outside = F.count_if((F.col("i") < 0) | (F.col("i") >= m) | (F.col("j") < 0) | (F.col("j") >= n))
-    count, wrong = cells.agg(F.count("*"), outside).first()
+def _check(cells: DataFrame, head: market_files.Head) -> None:
+    outside = F.count_if((F.col("i") < 0) | (F.col("i") >= head.rows) | (F.col("j") < 0) | (F.col("j") >= head.cols))
+    count, wrong, diagonal = cells.agg(F.count("*"), outside, F.count_if(F.col("i") == F.col("j"))).first()
     if wrong:
         raise ValueError(f"{wrong} coordinates out of bounds")
-    if count != nnz:
-        raise ValueError(f"{count} cells, {nnz} announced")
+    count = (count + diagonal) // 2 if head.symmetric else count
+    if count != head.cells:
+        raise ValueError(f"{count} cells, {head.cells} announced")
 
 
-def write(mat: Mat, path: str) -> None:
-    """The matrix as a folder of text: a part with the banner and the sizes, and parts of cells, which tasks write on their own."""
-    head = f"%%MatrixMarket matrix coordinate real general\n{mat.shape[0]} {mat.shape[1]} {mat.df.count()}"
-    mat.df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(path)
-    mat.df.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("double"))).write.mode("append").text(path)
+def write(mat: Mat, path: str, mode: str = "append") -> None:
+    """The matrix as a folder of Matrix Market text; it is there whole, with the count of its cells, or not at all."""
+    market_files.register(mat.df.sparkSession)
+    cells = mat.df.select("i", "j", F.col("v").cast("double").alias("v"))
+    cells.write.format(market_files.FORMAT).options(rows=str(mat.shape[0]), cols=str(mat.shape[1])).mode(mode).save(path)
 
 
 def distributed(mat: Mat, side: tuple[int, int], parts: int) -> DataFrame:

@@ -101,58 +101,6 @@ def test_waves(spark):
     assert abs(d1.volume - d0.volume) < 1e-9 and abs(d1.energy / d0.energy - 1) < 1e-3
 
 
-def gyre_rates(e, u, v, nx, ny, dt):
-    """Cell by cell, in plain loops."""
-    g, f, dx, dy = 9.81, 10.0, 2 / nx, 2 / ny
-    q, hu, hv, ke = (np.zeros((nx + 1, ny + 1)) for _ in range(4))
-    for i in range(nx + 1):
-        for j in range(ny + 1):
-            cells = [e[a, b] for a in (i, i + 1) for b in (j - 1, j) if 1 <= a <= nx and 0 <= b < ny]
-            dudy = (u[i, j] - u[i, j - 1]) / dy if 1 <= j < ny else 0
-            dvdx = (v[i + 1, j] - v[i, j]) / dx if 1 <= i < nx else 0
-            q[i, j] = (f - dudy + dvdx) / (1 + np.mean(cells))
-            if 1 <= i < nx and j < ny:
-                hu[i, j] = (1 + (e[i, j] + e[i + 1, j]) / 2) * u[i, j]
-            if i >= 1 and 1 <= j < ny:
-                hv[i, j] = (1 + (e[i, j] + e[i, j - 1]) / 2) * v[i, j]
-            if i >= 1 and j < ny:
-                ke[i, j] = (u[i, j] ** 2 + u[i - 1, j] ** 2 + v[i, j] ** 2 + v[i, j + 1] ** 2) / 4
-    qa, qb, qg, qd = (np.zeros((nx + 1, ny)) for _ in range(4))
-    for i in range(1, nx + 1):
-        for j in range(ny):
-            qa[i, j] = (q[i - 1, j + 1] + q[i - 1, j] + q[i, j + 1]) / 12
-            qb[i, j] = (q[i - 1, j + 1] + q[i, j] + q[i, j + 1]) / 12
-            qg[i, j] = (q[i - 1, j] + q[i, j] + q[i, j + 1]) / 12
-            qd[i, j] = (q[i - 1, j] + q[i, j] + q[i - 1, j + 1]) / 12
-    de, du, dv = np.zeros_like(e), np.zeros_like(e), np.zeros_like(e)
-    for i in range(1, nx + 1):
-        for j in range(ny):
-            de[i, j] = -dt * ((hu[i, j] - hu[i - 1, j]) / dx + (hv[i, j + 1] - hv[i, j]) / dy)
-            if i < nx:
-                turn = qa[i + 1, j] * hv[i + 1, j + 1] + qb[i, j] * hv[i, j + 1] + qg[i, j] * hv[i, j] + qd[i + 1, j] * hv[i + 1, j]
-                du[i, j] = dt * (-(g * (e[i + 1, j] - e[i, j]) + ke[i + 1, j] - ke[i, j]) / dx + turn)
-            if j >= 1:
-                turn = qg[i, j] * hu[i, j] + qd[i, j] * hu[i - 1, j] + qa[i, j - 1] * hu[i - 1, j - 1] + qb[i, j - 1] * hu[i, j - 1]
-                dv[i, j] = dt * (-(g * (e[i, j] - e[i, j - 1]) + ke[i, j] - ke[i, j - 1]) / dy - turn)
-    return de, du, dv
-
-
-def test_gyre(spark):
-    from gridstone.functions.gyre import GyreGrid
-
-    n, dt = 10, 0.004
-    grid = GyreGrid(n, n)
-    start = NdArray(grid.start(spark).df.persist(), (n + 1, n + 1), ["e", "u", "v"])
-    first = s = tuple(dense(start, f) for f in "euv")
-    for old, new in ((0, 1), (0.75, 0.25), (1 / 3, 2 / 3)):
-        s = tuple(old * a + new * (b + r) for a, b, r in zip(first, s, gyre_rates(*s, n, n, dt), strict=True))
-    state = NdArray(grid.step(start, dt).df.persist(), start.shape, ["e", "u", "v"])
-    for f, want in zip("euv", s, strict=True):
-        assert np.allclose(dense(state, f), want, atol=1e-13)
-    a, b = grid.diagnostics(start).first(), grid.diagnostics(state).first()
-    assert a.l2 < 1e-15 and b.l2 < 1e-3 and abs(a.volume - b.volume) < 1e-12 and abs(a.energy / b.energy - 1) < 1e-4
-
-
 def test_fft(spark):
     rng = np.random.default_rng(3)
     x = rng.random((2, 3, 4)) + 1j * rng.random((2, 3, 4))
