@@ -143,13 +143,14 @@ def training_rows(docs: DataFrame, fold: Column, max_rows: int = MAX_ROWS, max_b
     """(lang, rank, part) of the sample: per language about max_rows rows with the least hashes, of the rows that ``fold`` leaves.
 
     A count by language sets the hash below which rows are kept, so that no
-    sort gathers a language; ``tree_of`` drops what is over the bound.
+    sort gathers a language; ``tree_of`` drops what is over the bound. The
+    counts come to the driver, one row a language as the trees do later.
     """
     own = docs.filter(fold & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "__gs_lang")
     # rank is uniform over 64 bits: 1.5 max_rows are expected below the limit.
-    share = F.least(F.lit(1.0), F.lit(1.5 * max_rows) / F.col("n"))
-    kept = own.join(sizes, F.col("lang") == F.col("__gs_lang")).filter(F.shiftrightunsigned("rank", 11) <= share * float(1 << 53))
+    limits = [(r[0], min(1.0, 1.5 * max_rows / r[1]) * float(1 << 53)) for r in own.groupBy("lang").count().collect()]
+    table = docs.sparkSession.createDataFrame(limits, "__gs_lang string, __gs_limit double")
+    kept = own.join(F.broadcast(table), F.col("lang") == F.col("__gs_lang")).filter(F.shiftrightunsigned("rank", 11) <= F.col("__gs_limit"))
     data = F.col("text").cast("binary")
     span = F.octet_length("text") - max_bytes
     at = F.when(span > 0, F.pmod("rank", span) + 1).otherwise(F.lit(1)).cast("int")

@@ -85,3 +85,25 @@ SELECT f.doc_id, f.leaf, s.node AS subroot, root, sha256(coalesce(array_to_strin
 FROM f JOIN s ON s.g = f.g JOIN w ON w.g = f.g AND w.idx = f.idx AND w.pos = len(f.path) + 1, top""" % tuple(
     ", ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in part) for part in (("doc_id", "source", "lang"), ("text",), ("n_chars",), ("n_chars + 1",))
 )
+
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT r, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS nr FROM d),
+q AS (SELECT r, lang, nr, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+k AS (SELECT r, lang, nr, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM q),
+x AS (SELECT lang, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM k WINDOW o AS (PARTITION BY r, nr ORDER BY i)),
+one AS (SELECT lang, a AS w, count(*) AS f FROM x GROUP BY ALL),
+two AS (SELECT lang, a, b, a || ' ' || b AS w, count(*) AS f FROM x WHERE b IS NOT NULL GROUP BY ALL HAVING f >= 10),
+three AS (SELECT lang, a, b, c, a || ' ' || b || ' ' || c AS w, a || ' ' || b AS ab, b || ' ' || c AS bc, count(*) AS f FROM x WHERE c IS NOT NULL GROUP BY ALL HAVING f >= 10),
+part AS (SELECT lang, w, f FROM one WHERE f >= 10 UNION ALL SELECT lang, w, f FROM two),
+cut AS (SELECT lang, w, f, 1 AS k, a AS first, b AS rest FROM two UNION ALL SELECT lang, w, f, 1, a, bc FROM three UNION ALL SELECT lang, w, f, 2, ab, c FROM three),
+s AS (SELECT cut.lang, cut.w, cut.f AS a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * cut.f * cut.f) // (l.f::HUGEINT * r.f) AS score
+  FROM cut JOIN part l ON l.lang = cut.lang AND l.w = first JOIN part r ON r.lang = cut.lang AND r.w = rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS nth FROM s),
+around AS (SELECT lang, w, max(f) AS longer FROM (SELECT lang, ab AS w, f FROM three UNION ALL SELECT lang, bc, f FROM three) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN around o ON o.lang = best.lang AND o.w = best.w WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, w) AS rank FROM kept),
+n AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang)
+SELECT ranked.lang, rank, w AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""

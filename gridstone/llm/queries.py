@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm import decontaminate, language, lines, manifest, oracles, passages, personal, pieces, quality, sharding, simhash, toxicity, url_filter
+from gridstone.llm import decontaminate, language, lines, manifest, oracles, passages, personal, phrases, pieces, quality, sharding, simhash, toxicity, url_filter
 from gridstone.llm.tables import documents
 
 #: The contract's rules: (host, path, verdict).
@@ -68,10 +68,14 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_manifest(documents(spark, sf_dir))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op6_passages, op7_simhash, op8_quality, op9_decontaminate, op10_personal, op11_language, op12_manifest)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_sharding, op4_url_filter, op5_lines, op6_passages, op7_simhash, op8_quality, op9_decontaminate, op10_personal, op11_language, op12_manifest, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; hashes, learned scores, sampling and fuzzy links are tested against plain versions instead."""
-    return {"op4_url_filter": oracles.op4(RULES, SPAM_HOSTS), "op8_quality": oracles.OP8, "op9_decontaminate": oracles.OP9, "op12_manifest": oracles.OP12}
+    return {"op4_url_filter": oracles.op4(RULES, SPAM_HOSTS), "op8_quality": oracles.OP8, "op9_decontaminate": oracles.OP9, "op12_manifest": oracles.OP12, "op13_phrases": oracles.OP13}
