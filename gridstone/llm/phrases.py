@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ LEAST, SHARE = 10, 50
 TOP = 2000
 #: One document in so many proposes phrases, those that occur in the sample so often. Neither bears on the result.
 SAMPLE, SAMPLE_LEAST = 8, 2
-#: Each of the two filters of proposed words and word pairs has 2 ** BITS bits (16 MB), whatever the input. Where they fill
-#: up they let more through, and more is counted exactly.
-BITS = 27
+#: The two filters of proposed words and word pairs have FILL bits or more for each proposal of the sample, and 2 ** BITS (16 MB)
+#: at most, whatever the input. Where they fill up they let more through, and more is counted exactly.
+BITS, FILL = 27, 32
 #: Bytes of text that a task counts at once; longer texts are cut.
 CHUNK = 8 << 20
 
@@ -167,10 +168,8 @@ def counted(parts: list[tuple[bytes, int]], langs: np.ndarray, names: list[str],
         yield rows([two // n, two % n, found % n], lang_of[two // n], np.bincount(number))
 
 
-def counts(docs: DataFrame, proposed: Proposed | None, chunk: int = CHUNK) -> DataFrame:
+def counts(docs: DataFrame, shared: Broadcast | None, chunk: int = CHUNK) -> DataFrame:
     """(lang, phrase, words, n) over all of docs (lang, text); the row of words 0 has the number of a language's words."""
-    spark = docs.sparkSession
-    shared = None if proposed is None else spark.sparkContext.broadcast(proposed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if shared is None else shared.value
@@ -228,11 +227,15 @@ def frequent(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, sample_l
     prepare(docs.sparkSession)
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
     seen = written(counts(chosen.select("lang", "text"), None, chunk).filter((F.col("n") >= sample_least) & F.col("words").between(1, 2)), "proposed")
+    most = max([r["count"] for r in seen.groupBy("words").count().collect()], default=0)
+    bits = min(bits, max(6, (FILL * most).bit_length()))
     proposed = Proposed(filter_bits(seen, 1, bits), filter_bits(seen, 2, bits))
     discard(seen)
     out = None
     while True:
-        new = written(counts(docs.select("lang", "text"), proposed, chunk).filter((F.col("n") >= least) | (F.col("words") == 0)), "frequent")
+        shared = docs.sparkSession.sparkContext.broadcast(proposed)
+        new = written(counts(docs.select("lang", "text"), shared, chunk).filter((F.col("n") >= least) | (F.col("words") == 0)), "frequent")
+        shared.destroy()
         out = new if out is None else out.unionByName(new)
         grown = Proposed(proposed.words | filter_bits(new, 1, bits), proposed.pairs | filter_bits(new, 2, bits))
         if np.array_equal(grown.words, proposed.words) and np.array_equal(grown.pairs, proposed.pairs):
