@@ -25,8 +25,8 @@ SAMPLE, SAMPLE_LEAST = 8, 2
 #: The two filters of proposed words and word pairs have FILL bits or more for each proposal of the sample, and 2 ** BITS (16 MB)
 #: at most, whatever the input. Where they fill up they let more through, and more is counted exactly.
 BITS, FILL = 27, 32
-#: Bytes of text that a task counts at once; longer texts are cut.
-CHUNK = 8 << 20
+#: Bytes of text that a task counts at once, longer texts being cut, and rows that it hands on at once.
+CHUNK, BATCH_ROWS = 4 << 20, 1 << 16
 
 UNKNOWN = "und"
 COUNTS = "lang string, phrase string, words int, n long"
@@ -114,7 +114,8 @@ def counted(parts: list[tuple[bytes, int]], langs: np.ndarray, names: list[str],
         return
     part = np.searchsorted(begins, starts, "right") - 1
     own = starts - begins[part] < np.array([g for _, g in parts])[part]
-    piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+    # Piece numbers need telling apart neighbours only.
+    piece = np.add.accumulate(kind == 2, dtype=np.int32)[starts]
     offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[buf[inside]])])
     del kind, inside, edge, buf
@@ -168,6 +169,12 @@ def counted(parts: list[tuple[bytes, int]], langs: np.ndarray, names: list[str],
         yield rows([two // n, two % n, found % n], lang_of[two // n], np.bincount(number))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def counts(docs: DataFrame, shared: Broadcast | None, chunk: int = CHUNK) -> DataFrame:
     """(lang, phrase, words, n) over all of docs (lang, text); the row of words 0 has the number of a language's words."""
 
@@ -181,13 +188,13 @@ def counts(docs: DataFrame, shared: Broadcast | None, chunk: int = CHUNK) -> Dat
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 for part in segments(text, chunk):
                     if held and held + len(part[0]) > chunk:
-                        yield from counted(parts, np.array(langs), list(names), own)
+                        yield from sliced(counted(parts, np.array(langs), list(names), own))
                         parts, langs, names, held = [], [], {}, 0
                     parts.append(part)
                     langs.append(names.setdefault(lang, len(names)))
                     held += len(part[0]) + 1
         if parts:
-            yield from counted(parts, np.array(langs), list(names), own)
+            yield from sliced(counted(parts, np.array(langs), list(names), own))
         pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, COUNTS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
