@@ -18,8 +18,8 @@ from gridstone.llm.tables import discard, prepare, written
 
 #: A phrase counts from so many occurrences, and is dropped inside a longer one that has this share (percent) of them.
 LEAST, SHARE = 10, 50
-#: Phrases reported of each language.
-TOP = 2000
+#: Phrases reported of each language, and parts of a language that are ranked apart first.
+TOP, PARTS = 2000, 16
 #: One document in so many proposes phrases, those that occur in the sample so often. Neither bears on the result.
 SAMPLE, SAMPLE_LEAST = 8, 2
 #: The two filters of proposed words and word pairs have FILL bits or more for each proposal of the sample, and 2 ** BITS (16 MB)
@@ -291,7 +291,9 @@ def mined(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found = frequent(rows, least)
     totals = found.filter("words = 0").select("lang", "n")
-    order = "OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)"
-    # A limit on a row number is applied before the exchange too, so a language sends its first rows of each task only.
-    ranked = scored(found).selectExpr("*", f"row_number() {order} AS rank").filter(F.col("rank") <= top)
+    order = "ORDER BY score DESC, a DESC, phrase"
+    # Of each of PARTS parts of a language the first rows go on, so that however many phrases it has, PARTS * top rows meet.
+    parted = scored(found).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    first = parted.selectExpr("*", f"row_number() OVER (PARTITION BY lang, part {order}) AS nth").filter(F.col("nth") <= top)
+    ranked = first.selectExpr("*", f"row_number() OVER (PARTITION BY lang {order}) AS rank").filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
