@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridstone.operators.halo import sliding_map
 from gridstone.operators.ndarray import NdArray
+from gridstone.operators.tiles import Tiles, iterated
 from gridstone.operators.vector import Vec, div, zipped
 from gridstone.sources.shared import discard, written
 
@@ -76,10 +77,8 @@ def black_scholes(prices: DataFrame, rate: float, sigma: float, cdf=normal_cdf_p
 
 
 def stencil1d(vec: Vec, size: int, steps: int = 1, radius: int = 1, block: int = 1 << 20) -> Vec:
-    """Interior elements become the sum of their 2 radius + 1 neighbours; repeated."""
-    for _ in range(steps):
-        vec = sliding_map(vec, radius, radius, lambda near: sum(near[1:], near[0]), size, block=block)
-    return vec
+    """Interior elements become the sum of their 2 radius + 1 neighbours; repeated, in one exchange."""
+    return sliding_map(vec, radius, radius, lambda near: sum(near[1:], near[0]), size, block=block, steps=steps)
 
 
 def iterate(state: NdArray, step: Callable[[NdArray], NdArray], steps: int, every: int = 2) -> NdArray:
@@ -99,9 +98,9 @@ CROSS = [(-1, 0), (0, -1), (0, 0), (0, 1), (1, 0)]
 
 
 def stencil2d(arr: NdArray, steps: int = 1) -> NdArray:
-    """Interior cells become a quarter of the sum of the five cells of the cross; repeated."""
+    """Interior cells become a quarter of the sum of the five cells of the cross; repeated over tiles."""
     m, n = arr.shape
-    return iterate(arr, lambda a: a.stencil(lambda *near: sum(near[1:], near[0]) / 4, CROSS, (1, 1), (m - 1, n - 1)), steps, 4)
+    return iterated(Tiles.of(arr), lambda *near: sum(near[1:], near[0]) / 4, CROSS, (1, 1), (m - 1, n - 1), steps).cells()
 
 
 # Linear waves on a staggered grid
@@ -181,20 +180,17 @@ class WaveGrid:
 # Fourier transform of a cube
 
 
-def _along(n: int, inverse: bool):
-    """Transform of one line of complex numbers given as (place, re, im)."""
+def _along(n: int, inverse: bool) -> Callable[..., Column]:
+    """Transform of whole lines of complex numbers, given as arrays of (re, im) in order; all lines of a batch at once."""
 
     def run(lines: pa.Array) -> pa.Array:
-        out = []
-        for cells in lines.to_pylist():
-            line = np.zeros(n, dtype=complex)
-            for c in cells:
-                line[c["k"]] = complex(c["re"], c["im"])
-            found = np.fft.ifft(line) if inverse else np.fft.fft(line)
-            out.append([{"k": k, "re": z.real, "im": z.imag} for k, z in enumerate(found.tolist())])
-        return pa.array(out, pa.list_(pa.struct([("k", pa.int64()), ("re", pa.float64()), ("im", pa.float64())])))
+        flat = lines.values.slice(lines.offsets[0].as_py(), n * len(lines))
+        z = (flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()).reshape(-1, n)
+        found = (np.fft.ifft(z, axis=1) if inverse else np.fft.fft(z, axis=1)).ravel()
+        cells = pa.StructArray.from_arrays([pa.array(found.real.copy()), pa.array(found.imag.copy())], ["re", "im"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * n), cells)
 
-    return F.arrow_udf(run, "array<struct<k:bigint,re:double,im:double>>")
+    return F.arrow_udf(run, "array<struct<re:double,im:double>>")
 
 
 def fft3d(cube: NdArray, inverse: bool = False) -> NdArray:
@@ -203,10 +199,10 @@ def fft3d(cube: NdArray, inverse: bool = False) -> NdArray:
     No task holds more than one line at a time; the transpositions rename columns.
     """
     for _ in range(3):
-        line = F.collect_list(F.struct("k", "re", "im"))
+        line = F.transform(F.sort_array(F.collect_list(F.struct("k", "re", "im"))), lambda c: F.struct(c["re"].alias("re"), c["im"].alias("im")))
         lines = cube.df.groupBy("i", "j").agg(line.alias("line"))
-        done = lines.select("i", "j", F.explode(_along(cube.shape[2], inverse)("line")).alias("c"))
-        cube = NdArray(done.select("i", "j", F.col("c.k").alias("k"), F.col("c.re").alias("re"), F.col("c.im").alias("im")), cube.shape, ["re", "im"])
+        done = lines.select("i", "j", F.posexplode(_along(cube.shape[2], inverse)("line")).alias("k", "c"))
+        cube = NdArray(done.select("i", "j", F.col("k").cast("bigint").alias("k"), F.col("c.re").alias("re"), F.col("c.im").alias("im")), cube.shape, ["re", "im"])
         cube = cube.transpose(False)
     return cube
 

@@ -19,16 +19,25 @@ def sliding(vec: Vec, n: int, size: int, block: int = BLOCK_ROWS) -> DataFrame:
     return found.filter(F.col("own") & (F.col(IDX) <= size - n)).select(IDX, "window")
 
 
-def sliding_map(vec: Vec, before: int, after: int, fn: Callable[[list[Column]], Column], size: int, periodic: bool = False, block: int = BLOCK_ROWS) -> Vec:
-    """Each element with all its neighbours becomes fn of [-before .. after]; elements near an end stay, unless periodic."""
+def sliding_map(vec: Vec, before: int, after: int, fn: Callable[[list[Column]], Column], size: int, periodic: bool = False, block: int = BLOCK_ROWS, steps: int = 1) -> Vec:
+    """Each element with all its neighbours becomes fn of [-before .. after], so many times; elements near an end stay, unless periodic.
+
+    All steps share one exchange: blocks get a halo for every step, and its
+    outer rows, wrong after a step, are no longer looked at. With several
+    steps values keep the element's type.
+    """
     col = vec.cols[0]
-    block = max(block, before, after)
-    spread = with_halo(vec.df.select(IDX, col), before, after, block, size if periodic else None)
+    wide = (before * steps, after * steps)
+    block = max(block, *wide)
+    spread = with_halo(vec.df.select(IDX, col), *wide, block, size if periodic else None)
     w = Window.partitionBy("blk").orderBy(IDX)
+    kind = vec.df.schema[col].dataType
     near = [F.lag(col, -d).over(w) if d < 0 else F.lead(col, d).over(w) if d else F.col(col) for d in range(-before, after + 1)]
     inside = F.lit(True) if periodic else (F.col(IDX) >= before) & (F.col(IDX) < size - after)
-    found = spread.withColumn("__new", F.when(inside, fn(near)).otherwise(F.col(col)))
-    return Vec(found.filter("own").select(IDX, F.col("__new").alias(col)))
+    for _ in range(steps):
+        new = fn(near) if steps == 1 else fn(near).cast(kind)
+        spread = spread.withColumn("__new", F.when(inside, new).otherwise(F.col(col))).drop(col).withColumnRenamed("__new", col)
+    return Vec(spread.filter("own").select(IDX, col))
 
 
 def moving_sum(vec: Vec, before: int, after: int, size: int, block: int = BLOCK_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridstone.operators.vector import IDX, Vec, div
 
-#: Side of the square blocks of the blocked product.
-BLOCK_SIDE = 64
+#: Side of the result panels of the blocked product, how deep its blocks are, and cells of the inner index that one layer may have.
+PANEL_SIDE, PANEL_DEPTH, LAYER_DEPTH = 512, 512, 1 << 17
 
 
 def _numbers(df: DataFrame, n: int, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def _numbers(df: DataFrame, n: int, name: str) -> DataFrame:
     return df.sparkSession.range(n).select(F.col("id").alias(name))
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal rows of keys stand together."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True))
+
+
 class Mat:
     """``df`` has i, j (BIGINT, from 0) and v; cells that are missing are zero."""
 
@@ -63,8 +71,13 @@ class Mat:
             n_cols = (b.agg(F.max("col")).first()[0] or 0) + 1
         pairs = self.df.join(b.select(F.col(IDX).alias("j"), "col", "x"), "j")
         found = pairs.groupBy("i", "col").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        cells = _numbers(self.df, self.shape[0], "i").select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))).alias("col"))
-        return cells.join(found, ["i", "col"], "left").select("i", "col", F.coalesce("v", F.lit(0)).alias("v"))
+        # One array a row, so that zeros are filled by row and not by cell.
+        whole = found.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("own"))
+        rows = _numbers(self.df, self.shape[0], "i").join(whole, "i", "left")
+        cols = F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))
+        zero = F.lit(0).cast(found.schema["v"].dataType)
+        cells = rows.select("i", F.posexplode(F.transform(cols, lambda c: F.coalesce(F.try_element_at("own", c), zero))).alias("col", "v"))
+        return cells.select("i", F.col("col").cast("bigint").alias("col"), "v")
 
     def gemm(self, b: Mat, c: Mat | None = None) -> Mat:
         """A B, or C + A B: a join on the inner index and an aggregate with partial sums."""
@@ -75,33 +88,71 @@ class Mat:
             product = product.unionByName(c.df).groupBy("i", "j").agg(F.sum("v").alias("v"))
         return Mat(product, (self.shape[0], b.shape[1]))
 
-    def gemm_blocked(self, b: Mat, side: int = BLOCK_SIDE) -> Mat:
-        """A B by dense square blocks: blocks meet on the inner block index, NumPy multiplies each pair."""
-
-        def dense(cells: pa.Array) -> pa.Array:
-            out = []
-            for rows in cells.to_pylist():
-                block = np.zeros((side, side))
-                for r in rows:
-                    block[r["p"], r["q"]] = r["v"]
-                out.append(block.ravel())
-            return pa.array(out, pa.list_(pa.float64()))
-
-        def product(x: pa.Array, y: pa.Array) -> pa.Array:
-            pairs = zip(x.to_pylist(), y.to_pylist(), strict=True)
-            return pa.array([(np.reshape(p, (side, side)) @ np.reshape(q, (side, side))).ravel() for p, q in pairs], pa.list_(pa.float64()))
-
-        def blocks(m: Mat, first: str, second: str, name: str) -> DataFrame:
-            cell = F.struct((F.col("i") % side).alias("p"), (F.col("j") % side).alias("q"), F.col("v").cast("double").alias("v"))
-            keys = [div(F.col("i"), side).alias(first), div(F.col("j"), side).alias(second)]
-            return m.df.groupBy(*keys).agg(F.collect_list(cell).alias("cells")).select(first, second, F.arrow_udf(dense, "array<double>")("cells").alias(name))
-
-        met = blocks(self, "bi", "bk", "x").join(blocks(b, "bk", "bj", "y"), "bk")
-        parts = met.select("bi", "bj", F.posexplode(F.arrow_udf(product, "array<double>")("x", "y")).alias("at", "v"))
-        cells = parts.groupBy("bi", "bj", "at").agg(F.sum("v").alias("v"))
-        i, j = F.col("bi") * side + div(F.col("at"), side), F.col("bj") * side + F.col("at") % side
-        found = cells.select(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), "v")
-        return Mat(found.filter((F.col("i") < self.shape[0]) & (F.col("j") < b.shape[1])), (self.shape[0], b.shape[1]))
+    def gemm_blocked(self, b: Mat, side: int = PANEL_SIDE, depth: int = PANEL_DEPTH, layers: int | None = None) -> Mat:
+        """A B on a grid of result panels of side x side cells.
+
+        Cells of A go to every panel of their rows, cells of B to every panel
+        of their columns, and each panel is worked by one task, which reads its
+        cells in order of the inner index and adds up the products of blocks
+        ``depth`` deep; so it holds one panel and one block of each factor, and
+        no products of parts are exchanged. A long inner index with few panels
+        is cut into ``layers``, as many as LAYER_DEPTH makes of it without one
+        given; their panels are then added. Cells that come out as zero are
+        left out. Values are doubles.
+        """
+        (m, inner), n = self.shape, b.shape[1]
+        down, across = -(-m // side), -(-n // side)
+        if layers is None:
+            layers = -(-inner // LAYER_DEPTH) if down * across < inner // LAYER_DEPTH else 1
+        span = -(-inner // layers)
+        to = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        layer = lambda k: div(F.col(k), span).cast("int").alias("layer")
+        value = F.col("v").cast("double").alias("v")
+        left = self.df.select(div(F.col("i"), side).cast("int").alias("r"), to(across).alias("c"), layer("j"), F.lit(False).alias("right"), F.col("j").alias("k"), (F.col("i") % side).cast("int").alias("at"), value)
+        right = b.df.select(to(down).alias("r"), div(F.col("j"), side).cast("int").alias("c"), layer("i"), F.lit(True).alias("right"), F.col("i").alias("k"), (F.col("j") % side).cast("int").alias("at"), value)
+        keys = ["r", "c", "layer"]
+        met = left.union(right).withColumn("block", div(F.col("k"), depth)).repartition(*keys).sortWithinPartitions(*keys, "block")
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            panel: tuple[int, ...] | None = None
+            total = np.zeros((side, side))
+            held: tuple[tuple[int, ...], list[np.ndarray]] | None = None
+
+            def added(parts: list[np.ndarray]) -> None:
+                side_of, k, at, v = (np.concatenate([p[c] for p in parts]) for c in range(4))
+                x, y = np.zeros((side, depth)), np.zeros((depth, side))
+                own = ~side_of
+                x[at[own], k[own] % depth] = v[own]
+                y[k[side_of] % depth, at[side_of]] = v[side_of]
+                total[:] += x @ y
+
+            def done() -> pa.RecordBatch:
+                i, j = np.nonzero(total)
+                out = pa.record_batch([pa.array(i + panel[0] * side), pa.array(j + panel[1] * side), pa.array(total[i, j])], ["i", "j", "v"])
+                total[:] = 0
+                return out
+
+            for batch in batches:
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("r", "c", "layer", "block", "right", "k", "at", "v")]
+                key = np.stack(cols[:4], 1)
+                for a, z in _runs(key):
+                    block = tuple(int(x) for x in key[a])
+                    if held is not None and held[0] != block:
+                        added(held[1])
+                        held = None
+                    if panel is not None and panel != block[:3]:
+                        yield done()
+                    panel = block[:3]
+                    held = (block, []) if held is None else held
+                    held[1].append([x[a:z] for x in cols[4:]])
+            if held is not None:
+                added(held[1])
+                yield done()
+
+        cells = met.select("r", "c", "layer", "block", "right", "k", "at", "v").mapInArrow(work, "i bigint, j bigint, v double")
+        if layers > 1:
+            cells = cells.groupBy("i", "j").agg(F.sum("v").alias("v"))
+        return Mat(cells, (m, n))
 
     # Parts
 
@@ -109,6 +160,10 @@ class Mat:
         """Row i with its zeros."""
         return self._line(F.col("i") == i, "j", self.shape[1])
 
+    def row_cells(self, i: int) -> DataFrame:
+        """(idx, v) of the cells that row i has; its zeros have none."""
+        return self.df.filter(F.col("i") == i).select(F.col("j").alias(IDX), "v")
+
     def column(self, j: int) -> Vec:
         """Column j with its zeros."""
         return self._line(F.col("j") == j, "i", self.shape[0])

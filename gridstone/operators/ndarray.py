@@ -46,6 +46,17 @@ class NdArray:
     def flatten(self) -> Vec:
         return Vec(self.df.select(index_to_linear([F.col(d) for d in self.dims], self.shape).alias(IDX), *self.cols), self.cols)
 
+    def rows(self) -> Vec:
+        """A matrix as a vector of its rows, each an array of the first component."""
+        cells = F.sort_array(F.collect_list(F.struct("j", F.col(self.cols[0]).alias("v"))))
+        return Vec(self.df.groupBy(F.col("i").cast("bigint").alias(IDX)).agg(F.transform(cells, lambda c: c["v"]).alias("row")))
+
+    @staticmethod
+    def from_rows(rows: Vec, shape: tuple[int, int], name: str = "v") -> NdArray:
+        """A matrix from a vector of arrays."""
+        flat = rows.df.select(F.col(IDX).alias("i"), F.posexplode(rows.cols[0]).alias("j", name))
+        return NdArray(flat.select("i", F.col("j").cast("bigint").alias("j"), name), shape)
+
     def inside(self, starts: tuple[int, ...], ends: tuple[int, ...]) -> Column:
         found = F.lit(True)
         for d, lo, hi in zip(self.dims, starts, ends, strict=True):

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce as fold
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,34 +34,71 @@ def reduce(vec: Vec, op: str = "plus", init: object = None, name: str = "value")
     return whole.select(F.when(F.col("__r").isNull(), first).otherwise(combine(first, F.col("__r"))).alias(name))
 
 
-def reduce_with(vec: Vec, op: Callable, init: object, kind: str = "double", block: int = BLOCK_ROWS) -> DataFrame:
-    """One row: any associative Python function, folded in order.
+def folded(x: np.ndarray, op: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """One element: x combined in order by an operator on arrays, as a tree of neighbours, in about log2(len(x)) calls."""
+    while len(x) > 1:
+        pairs = op(x[:-1:2], x[1::2])
+        x = np.append(pairs, x[-1:]) if len(x) % 2 else np.asarray(pairs)
+    return x
 
-    Blocks of the index are folded where they are dealt to, and their few
-    results in order of block. The function need not be commutative.
+
+def blocks_folded(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str, block: int) -> DataFrame:
+    """(idx, v): the elements of each block of the index combined, blocks being numbered from 0.
+
+    A block of any size reaches its task in Arrow batches, which are folded one by one.
     """
     col = vec.cols[0]
     rows = vec.df.select(div(F.col(IDX), block).alias("blk"), F.col(IDX), F.col(col).cast(kind).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value, out = None, None, []
+        at, held = None, None
         for batch in batches:
-            for blk, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if blk != at:
-                    if at is not None:
-                        out.append((at, value))
-                    at, value = blk, v
-                else:
-                    value = op(value, v)
+            blk, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(blk)) + 1).tolist(), len(blk)]
+            done = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                own = folded(v[a:b], op)
+                if blk[a] == at:
+                    own = op(held, own)
+                elif at is not None:
+                    done.append((at, held))
+                at, held = int(blk[a]), own
+            if done:
+                yield pa.record_batch([pa.array([d[0] for d in done], pa.int64()), pa.array(np.concatenate([d[1] for d in done]), batch.schema.field(1).type)], [IDX, "v"])
+            types = batch.schema.field(1).type
         if at is not None:
-            out.append((at, value))
-        if out:
-            yield pa.RecordBatch.from_pylist([{"blk": b, "v": v} for b, v in out])
+            yield pa.record_batch([pa.array([at], pa.int64()), pa.array(held, types)], [IDX, "v"])
 
     dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX).select("blk", "v")
-    totals = dealt.mapInArrow(run, f"blk bigint, v {kind}").orderBy("blk").collect()
-    value = fold(op, [r.v for r in totals], init)
-    return vec.base.sparkSession.createDataFrame([(value,)], f"value {kind}")
+    return dealt.mapInArrow(run, f"{IDX} bigint, v {kind}")
+
+
+def reduce_with(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], init: object, kind: str = "double", block: int = BLOCK_ROWS, n: int | None = None) -> DataFrame:
+    """One row: the elements combined in order by any associative operator on NumPy arrays, after init.
+
+    op gets two arrays of the same length and gives their elementwise
+    combination; it need not be commutative. Blocks of the index are folded
+    where they are dealt to; the blocks' results are a vector again, folded the
+    same way until one is left. ``n`` is the vector's length, if it is known.
+    """
+    n = vec.df.count() if n is None else n
+    if n == 0:
+        return vec.base.sparkSession.createDataFrame([(init,)], f"value {kind}")
+    state = vec
+    while True:
+        state = Vec(blocks_folded(state, op, kind, block), ["v"])
+        n = -(-n // block)
+        if n == 1:
+            break
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.record_batch([pa.array(np.asarray(op(np.array([init] * len(v), v.dtype), v)), batch.schema.field(0).type)], ["value"])
+
+    return state.df.select("v").mapInArrow(last, f"value {kind}")
 
 
 def count(vec: Vec, value: object, name: str = "n") -> DataFrame:

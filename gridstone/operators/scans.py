@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from gridstone.operators.reductions import KNOWN
+from gridstone.operators.reductions import KNOWN, blocks_folded
 from gridstone.operators.vector import BLOCK_ROWS, IDX, Vec, div
 
-#: Offsets of blocks are broadcast up to so many blocks, else joined by shuffle.
-BROADCAST_BLOCKS = 1 << 20
 
-
-def _scan(vec: Vec, op: str, init: object, inclusive: bool, block: int) -> Vec:
+def _scan(vec: Vec, op: str, init: object, inclusive: bool, block: int, size: int | None) -> Vec:
     """Scan within blocks; then combine each with all that comes before its block, in this order.
 
     Only the block totals, one row a block, are scanned in one partition. The
     vector itself is dealt by block, so no task holds more than whole blocks.
+    A vector known to fit one block is scanned by one window alone.
     """
     aggregate, combine = KNOWN[op]
     col = vec.cols[0]
+    if size is not None and size <= block:
+        frame = Window.orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        own = aggregate(F.col(col)).over(frame)
+        found = own if init is None else F.when(own.isNull(), F.lit(init)).otherwise(combine(F.lit(init), own))
+        return Vec(vec.df.select(IDX, found.alias(col)))
     rows = vec.df.withColumn("__blk", div(F.col(IDX), block))
     inside = Window.partitionBy("__blk").orderBy(IDX)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -41,14 +45,14 @@ def _scan(vec: Vec, op: str, init: object, inclusive: bool, block: int) -> Vec:
     return Vec(joined.select(IDX, found.alias(col)))
 
 
-def inclusive_scan(vec: Vec, op: str = "plus", init: object = None, block: int = BLOCK_ROWS) -> Vec:
-    """Element i: the elements up to i combined, after init if given."""
-    return _scan(vec, op, init, True, block)
+def inclusive_scan(vec: Vec, op: str = "plus", init: object = None, block: int = BLOCK_ROWS, size: int | None = None) -> Vec:
+    """Element i: the elements up to i combined, after init if given. ``size`` is the length, if it is known."""
+    return _scan(vec, op, init, True, block, size)
 
 
-def exclusive_scan(vec: Vec, init: object, op: str = "plus", block: int = BLOCK_ROWS) -> Vec:
-    """Element i: init and the elements before i combined."""
-    return _scan(vec, op, init, False, block)
+def exclusive_scan(vec: Vec, init: object, op: str = "plus", block: int = BLOCK_ROWS, size: int | None = None) -> Vec:
+    """Element i: init and the elements before i combined. ``size`` is the length, if it is known."""
+    return _scan(vec, op, init, False, block, size)
 
 
 def scan_into(vec: Vec, out: Vec, start: int, stop: int, at: int = 0, **how) -> Vec:
@@ -56,43 +60,54 @@ def scan_into(vec: Vec, out: Vec, start: int, stop: int, at: int = 0, **how) ->
     return inclusive_scan(vec.slice(start, stop), **how).copy_into(out, at)
 
 
-def scan_with(vec: Vec, op: Callable, kind: str = "double", block: int = BLOCK_ROWS) -> Vec:
-    """Inclusive scan by any associative Python function, commutative or not.
+def scanned(x: np.ndarray, op: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Inclusive scan of an array by an operator on arrays: neighbours are combined, their scan gives every second place."""
+    if len(x) < 2:
+        return x
+    half = scanned(np.asarray(op(x[:-1:2], x[1::2])), op)
+    out = np.empty_like(x, dtype=half.dtype)
+    out[0] = x[0]
+    out[1::2] = half
+    out[2::2] = op(half[: len(out[2::2])], x[2::2])
+    return out
+
+
+def scan_with(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str = "double", block: int = BLOCK_ROWS, n: int | None = None) -> Vec:
+    """Inclusive scan by any associative operator on NumPy arrays, commutative or not.
 
-    Blocks are folded once for their totals and once more from their offset;
-    both passes stream, and only totals meet on the driver, one a block.
+    op gets two arrays of the same length and gives their elementwise
+    combination. The totals of blocks are a vector again and scanned the same
+    way, so they never meet in one task unless they are one block; each block
+    then starts from the total before it.
     """
+    n = vec.df.count() if n is None else n
     col = vec.cols[0]
     rows = vec.df.select(div(F.col(IDX), block).alias("blk"), IDX, F.col(col).cast(kind).alias("v"))
-    dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX)
-
-    def walk(offsets: dict[int, object] | None) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = value = None
-            for batch in batches:
-                out = []
-                for blk, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if blk != at:
-                        if offsets is None and at is not None:
-                            out.append((at, 0, value))
-                        at = blk
-                        value = v if offsets is None or blk not in offsets else op(offsets[blk], v)
-                    else:
-                        value = op(value, v)
-                    if offsets is not None:
-                        out.append((blk, i, value))
-                if out:
-                    yield pa.RecordBatch.from_pylist([{"blk": b, "idx": i, "v": v} for b, i, v in out])
-            if offsets is None and at is not None:
-                yield pa.RecordBatch.from_pylist([{"blk": at, "idx": 0, "v": value}])
-
-        return run
-
-    schema = f"blk bigint, idx bigint, v {kind}"
-    offsets: dict[int, object] = {}
-    value = None
-    for r in dealt.mapInArrow(walk(None), schema).orderBy("blk").collect():
-        if value is not None:
-            offsets[r.blk] = value
-        value = r.v if value is None else op(value, r.v)
-    return Vec(dealt.mapInArrow(walk(offsets), schema).select(IDX, F.col("v").alias(col)))
+    if n > block:
+        totals = scan_with(Vec(blocks_folded(vec, op, kind, block), ["v"]), op, kind, block, -(-n // block))
+        offsets = totals.df.select((F.col(IDX) + 1).alias("blk"), F.col("v").alias("before"))
+        rows = rows.join(offsets, "blk", "left")
+    else:
+        rows = rows.withColumn("before", F.lit(None).cast(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            blk, v, before = batch.column("blk").to_numpy(), batch.column("v").to_numpy(zero_copy_only=False), batch.column("before")
+            cuts = [0, *(np.flatnonzero(np.diff(blk)) + 1).tolist(), len(blk)]
+            parts = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if blk[a] != at:
+                    held = before.slice(a, 1).to_numpy(zero_copy_only=False).astype(v.dtype) if before[a].is_valid else None
+                own = scanned(v[a:b], op)
+                if held is not None:
+                    own = np.asarray(op(np.repeat(held, b - a), own))
+                at, held = blk[a], own[-1:]
+                parts.append(own)
+            if parts:
+                yield pa.record_batch([batch.column(IDX), pa.array(np.concatenate(parts), batch.schema.field("v").type)], [IDX, "v"])
+
+    dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX).select("blk", IDX, "v", "before")
+    return Vec(dealt.mapInArrow(run, f"{IDX} bigint, v {kind}").select(IDX, F.col("v").alias(col)))

@@ -110,22 +110,16 @@ class Vec:
         return self.over(self.df.repartitionByRange(parts, IDX))
 
     def segmented_by(self, lengths: list[int], name: str = "segment") -> Vec:
-        """With the number of the segment that holds each element; segments have the given lengths, the last takes the rest.
-
-        One length for each segment: as many as another range has partitions.
-        """
-        starts, at = [], 0
-        for n in lengths[:-1]:
-            at += n
-            starts.append(at)
-        number = F.lit(0).cast("bigint")
-        for k, start in enumerate(starts, 1):
-            number = F.when(F.col(IDX) >= start, F.lit(k).cast("bigint")).otherwise(number)
-        return Vec(self.df.withColumn(name, number), [*self.cols, name])
+        """With the number of the segment that holds each element; segments have the given lengths, the last takes the rest."""
+        from gridstone.operators import segments
+
+        return segments.segmented_by(self, lengths, name)
 
     def segmented_like(self, other: Vec, name: str = "segment") -> Vec:
         """Segmented at the places where other's partitions begin; its rows must lie in ranges of the index."""
-        return self.segmented_by([r.n for r in other.segments().orderBy("first").collect()], name)
+        from gridstone.operators import segments
+
+        return segments.segmented_like(self, other, name)
 
     def segments(self) -> DataFrame:
         """How many rows each partition holds, and from where to where."""
@@ -197,7 +191,6 @@ class Vec:
     def to_pandas(self):
         return self.df.orderBy(IDX).toPandas()
 
-
     def to_root(self) -> list:
         """The first component's values in order, on the driver; for small vectors."""
         return [r[0] for r in self.df.orderBy(IDX).select(self.cols[0]).collect()]

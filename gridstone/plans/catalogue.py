@@ -9,13 +9,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridstone.functions import kernels
-from gridstone.operators import halo, lookup, reductions, scans, sorting
+from gridstone.operators import halo, lookup, reductions, scans, segments, sorting
+from gridstone.operators.csr import Csr
 from gridstone.operators.linalg import Mat
 from gridstone.operators.ndarray import NdArray
+from gridstone.operators.tiles import Tiles, iterated
 from gridstone.operators.vector import IDX, Vec, div, zipped
 from gridstone.sources import generators, matrix_market, shared
 from gridstone.streaming import running
@@ -292,7 +295,7 @@ def _(spark, d):
 @register("reduce_custom_fold", EV + "SELECT greatest(0, max(abs(w - 40))) AS value FROM ev")
 def _(spark, d):
     far = events(spark, d, "w").transform(lambda w: F.abs(w - 40))
-    return reductions.reduce_with(far, lambda a, b: a if a > b else b, 0, "bigint", 1000)
+    return reductions.reduce_with(far, np.maximum, 0, "bigint", 1000)
 
 
 @register("count_value", EV + "SELECT count(*) AS n FROM ev WHERE w = 5")
@@ -361,9 +364,21 @@ def _(spark, d):
     return doubles(scans.inclusive_scan(events(spark, d), block=777).df)
 
 
+#: The last element so far that is no multiple of four: an operator that does not commute.
+@register("scan_last", EV + "SELECT idx, coalesce(last_value(nullif(w % 4, 0) IGNORE NULLS) OVER (ORDER BY idx), 0) AS w FROM ev")
+def _(spark, d):
+    vec = events(spark, d, "w").transform(lambda w: w % 4, "w")
+    return scans.scan_with(vec, lambda a, b: np.where(b != 0, b, a), "bigint", 1500).df
+
+
+@register("scan_one_block", EV + f"SELECT idx, CAST(5 + {RUN} AS DOUBLE) AS v FROM ev")
+def _(spark, d):
+    return doubles(scans.inclusive_scan(events(spark, d), init=5, size=size_of(spark, d)).df)
+
+
 @register("scan_custom", EV + "SELECT idx, max(w) OVER (ORDER BY idx) AS w FROM ev")
 def _(spark, d):
-    return scans.scan_with(events(spark, d, "w"), lambda a, b: b if b > a else a, "bigint", 1000).df
+    return scans.scan_with(events(spark, d, "w"), np.maximum, "bigint", 1000).df
 
 
 # Sorts
@@ -389,6 +404,17 @@ def _(spark, d):
     return sorting.sorted_vector(events(spark, d, "w"), True).df
 
 
+def _by_digits(a, b):
+    """Even thousands first, and in each half the greater value first."""
+    x, y = int(a // 100 % 2), int(b // 100 % 2)
+    return x - y if x != y else (a < b) - (a > b)
+
+
+@register("sort_comparator", EV + "SELECT row_number() OVER (ORDER BY CAST(floor(v / 100) AS BIGINT) % 2, v DESC, idx) - 1 AS idx, CAST(v AS DOUBLE) AS v FROM ev")
+def _(spark, d):
+    return doubles(sorting.sort_by(events(spark, d), _by_digits, 2000).df)
+
+
 @register("sort_subrange", EV + ", s AS (SELECT 99 + row_number() OVER (ORDER BY v, idx) AS idx, v FROM ev WHERE idx >= 100 AND idx < 300) SELECT ev.idx, CAST(coalesce(s.v, ev.v) AS DOUBLE) AS v FROM ev LEFT JOIN s ON s.idx = ev.idx")
 def _(spark, d):
     return doubles(sorting.sort_subrange(events(spark, d), 100, 300).df)
@@ -449,9 +475,7 @@ def _stencil_sql(steps: int) -> str:
 
 def _stencil(spark, d, steps):
     vec = events(spark, d).transform(lambda v: v.cast("decimal(28,2)"))
-    for _ in range(steps):
-        vec = kernels.stencil1d(vec, size_of(spark, d), 1, 1, 512).transform(lambda v: v.cast("decimal(28,2)"))
-    return doubles(vec.df)
+    return doubles(kernels.stencil1d(vec, size_of(spark, d), steps, 1, 512).df)
 
 
 @register("stencil1d_step", _stencil_sql(1))
@@ -551,26 +575,86 @@ FIVE = GRID + "SELECT g.i, g.j, round(CASE WHEN g.i >= 1 AND g.i < g.m - 1 AND g
 
 @register("md_stencil5_step", FIVE)
 def _(spark, d):
-    own = grid(spark, d).for_each(lambda v: v.cast("double"))
-    return kernels.stencil2d(own).df.select("i", "j", F.round("v", 6).alias("v"))
+    return kernels.stencil2d(grid(spark, d)).df.select("i", "j", F.round("v", 6).alias("v"))
+
+
+def _five_sql(steps: int) -> str:
+    sql = GRID + ", s0 AS (SELECT i, j, m, CAST(v AS DOUBLE) AS v FROM g)"
+    for k in range(1, steps + 1):
+        near = "".join(f" LEFT JOIN s{k - 1} {name} ON {name}.i = c.i + {di} AND {name}.j = c.j + {dj}" for name, di, dj in (("n", -1, 0), ("w", 0, -1), ("e", 0, 1), ("s", 1, 0)))
+        sql += f", s{k} AS (SELECT c.i, c.j, c.m, CASE WHEN c.i >= 1 AND c.i < c.m - 1 AND c.j >= 1 AND c.j < 99 THEN (n.v + w.v + c.v + e.v + s.v) / 4 ELSE c.v END AS v FROM s{k - 1} c{near})"
+    # 4 ** steps v has two decimals: no ties of rounding.
+    return sql + f" SELECT i, j, round(v * {4**steps}, 2) AS v FROM s{steps}"
+
+
+@register("md_stencil5_3steps", _five_sql(3))
+def _(spark, d):
+    """Three steps on tiles of 32 x 32, stored by tile after the second: two exchanges of borders."""
+    m, n = grid(spark, d).shape
+    tiles = Tiles.of(grid(spark, d), (32, 32))
+    return iterated(tiles, lambda *near: sum(near) / 4, kernels.CROSS, (1, 1), (m - 1, n - 1), 3, 2).cells().df.select("i", "j", F.round(F.col("v") * 64, 2).alias("v"))
+
+
+SEVEN = [(0, 0, 0), (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+
+
+@register(
+    "md_stencil7_cube",
+    CUBE + "SELECT c.i, c.j, c.k, round(coalesce(CAST(sum(o.v) AS DOUBLE), 0), 6) AS v FROM c LEFT JOIN c o ON abs(o.i - c.i) + abs(o.j - c.j) + abs(o.k - c.k) <= 1 AND o.i BETWEEN c.i - 1 AND c.i + 1 "
+    "AND c.i BETWEEN 1 AND (SELECT n // 100 - 2 FROM n) AND c.j BETWEEN 1 AND 8 AND c.k BETWEEN 1 AND 8 GROUP BY ALL",
+)
+def _(spark, d):
+    m = cube(spark, d).shape[0]
+    found = Tiles.of(cube(spark, d), (8, 4, 4)).stencil(lambda *near: sum(near), SEVEN, (1, 1, 1), (m - 1, 9, 9), other=0.0)
+    return found.cells().df.select("i", "j", "k", F.round("v", 6).alias("v"))
+
+
+@register("md_tiles", GRID + "SELECT i // 32 AS i, j // 32 AS j, count(*) AS cells, CAST(sum(v) AS DOUBLE) AS total FROM g GROUP BY ALL")
+def _(spark, d):
+    tiles = Tiles.of(grid(spark, d), (32, 32)).df
+    total = F.aggregate("block", F.lit(0).cast("decimal(28,2)"), lambda a, v: (a + v.cast(MONEY)).cast("decimal(28,2)"))
+    return doubles(tiles.select("i", "j", F.size("block").cast("bigint").alias("cells"), total.alias("total")))
 
 
 @register("md_gradient_x", GRID + "SELECT g.i, g.j, round(CASE WHEN g.i >= 1 AND g.i < g.m - 1 THEN CAST(s.v - g.v AS DOUBLE) ELSE 0 END, 6) AS v FROM g " + _shift("s", 1, 0))
 def _(spark, d):
-    own = grid(spark, d).for_each(lambda v: v.cast("double"))
+    own = grid(spark, d)
     m, n = own.shape
-    zero = NdArray(own.df.withColumn("out", F.lit(0.0)), own.shape, ["v", "out"])
-    found = zero.stencil(lambda here, right: right - here, [(0, 0), (1, 0)], (1, 0), (m - 1, n), "v", "out")
-    return found.df.select("i", "j", F.round("out", 6).alias("v"))
+    found = Tiles.of(own).stencil(lambda here, right: right - here, [(0, 0), (1, 0)], (1, 0), (m - 1, n), other=0.0)
+    return found.cells().df.select("i", "j", F.round("v", 6).alias("v"))
 
 
 @register("md_divergence", GRID + "SELECT g.i, g.j, round(CASE WHEN g.i >= 1 AND g.j < 99 THEN CAST(g.v - n.v + e.v - g.v AS DOUBLE) ELSE 0 END, 6) AS v FROM g " + _shift("n", -1, 0) + _shift("e", 0, 1))
 def _(spark, d):
-    own = grid(spark, d).for_each(lambda v: v.cast("double"))
+    own = grid(spark, d)
     m, n = own.shape
-    zero = NdArray(own.df.withColumn("out", F.lit(0.0)), own.shape, ["v", "out"])
-    found = zero.stencil(lambda here, left, up: here - left + up - here, [(0, 0), (-1, 0), (0, 1)], (1, 0), (m, n - 1), "v", "out")
-    return found.df.select("i", "j", F.round("out", 6).alias("v"))
+    found = Tiles.of(own).stencil(lambda here, left, up: here - left + up - here, [(0, 0), (-1, 0), (0, 1)], (1, 0), (m, n - 1), other=0.0)
+    return found.cells().df.select("i", "j", F.round("v", 6).alias("v"))
+
+
+#: Rows of the grid as elements: an inner place becomes the sum of its cross, from three whole rows.
+@register("rows_stencil5", GRID + "SELECT g.i, g.j, CAST(CASE WHEN g.i >= 1 AND g.i < g.m - 1 AND g.j >= 1 AND g.j < 99 THEN n.v + w.v + g.v + e.v + s.v ELSE g.v END AS DOUBLE) AS v FROM g " + _shift("n", -1, 0) + _shift("w", 0, -1) + _shift("e", 0, 1) + _shift("s", 1, 0))
+def _(spark, d):
+    own = grid(spark, d)
+    rows = own.rows()
+
+    def cross(near):
+        up, here, down = near
+        sides = F.transform(here, lambda v, j: F.when((j >= 1) & (j < F.size(here) - 1), F.get(here, j - 1) + v + F.get(here, j + 1)))
+        summed = F.zip_with(F.zip_with(up, down, lambda a, b: a + b), sides, lambda a, b: a + b)
+        return F.zip_with(summed, here, lambda new, old: F.coalesce(new, old))
+
+    found = halo.sliding_map(rows, 1, 1, cross, own.shape[0], block=64)
+    return doubles(NdArray.from_rows(found, own.shape).df.select("i", "j", F.col("v").cast("double").alias("v")))
+
+
+#: Windows of three whole rows, as arrays of arrays.
+@register("rows_sliding", GRID + "SELECT g.i, g.j, CAST(g.v AS DOUBLE) AS a, CAST(p.v AS DOUBLE) AS b, CAST(q.v AS DOUBLE) AS c FROM g JOIN g p ON p.i = g.i + 1 AND p.j = g.j JOIN g q ON q.i = g.i + 2 AND q.j = g.j")
+def _(spark, d):
+    own = grid(spark, d)
+    windows = halo.sliding(own.rows(), 3, own.shape[0], 32)
+    cells = windows.select(F.col(IDX).alias("i"), F.posexplode(F.arrays_zip(*[F.col("window")[k].alias(c) for k, c in enumerate("abc")])).alias("j", "x"))
+    return doubles(cells.select("i", F.col("j").cast("bigint").alias("j"), *[F.col("x")[c].alias(c) for c in "abc"]))
 
 
 @register("md_diagnostics", GRID + "SELECT CAST(max(v) AS DOUBLE) AS peak, CAST(sum(v) AS DOUBLE) AS total, CAST(sum(v * v) AS DOUBLE) AS energy FROM g")
@@ -600,7 +684,7 @@ def _(spark, d):
 
 @register("sparse_row", SPARSE + "SELECT j AS idx, CAST(v AS DOUBLE) AS v FROM a WHERE i = 7")
 def _(spark, d):
-    return doubles(sparse(spark, d).row(7).df)
+    return doubles(sparse(spark, d).row_cells(7))
 
 
 @register("sparse_submatrix", SPARSE + "SELECT i - 5 AS i, j - 2 AS j, CAST(v AS DOUBLE) AS v FROM a WHERE i >= 5 AND i < 60 AND j >= 2 AND j < 8")
@@ -714,6 +798,30 @@ def _(spark, d):
     return doubles(events(spark, d).segmented_by([40, 60, 1]).df)
 
 
+@register("view_segmented_like", EV + "SELECT idx, CAST(v AS DOUBLE) AS v, (SELECT count(*) FROM range(1, 7) t(k) WHERE k * n // 7 <= idx) AS segment FROM ev, n")
+def _(spark, d):
+    other = Vec(spark.range(0, size_of(spark, d), 1, 7).select(F.col("id").alias(IDX), F.col("id").alias("v")))
+    return doubles(segments.segmented_like(events(spark, d), other).df)
+
+
+#: Segments that begin at the orders' places whose number is a square.
+@register("view_segmented_many", EV + "SELECT idx, CAST(v AS DOUBLE) AS v, CAST(floor(sqrt(idx)) AS BIGINT) AS segment FROM ev")
+def _(spark, d):
+    starts = table(spark, d, "orders").select((F.col("o_orderkey") * F.col("o_orderkey")).alias(IDX))
+    return doubles(segments.numbered_by(events(spark, d), starts).df)
+
+
+@register("segments_local_sort", EV + ", s AS (SELECT idx // 300 AS segment, v FROM ev) SELECT segment * 300 + row_number() OVER (PARTITION BY segment ORDER BY v) - 1 AS idx, CAST(v AS DOUBLE) AS v, segment FROM s")
+def _(spark, d):
+    lengths = [300] * -(-size_of(spark, d) // 300)
+    return segments.for_each_segment(events(spark, d).segmented_by(lengths), lambda v, start: np.sort(v)).df
+
+
+@register("segments_offsets", EV + "SELECT idx, CAST(v AS DOUBLE) + (CASE WHEN idx < 40 THEN 0 WHEN idx < 100 THEN 40 ELSE 100 END) AS v, CASE WHEN idx < 40 THEN 0 WHEN idx < 100 THEN 1 ELSE 2 END::BIGINT AS segment FROM ev")
+def _(spark, d):
+    return segments.for_each_segment(events(spark, d).segmented_by([40, 60, 1]), lambda v, start: v + start).df
+
+
 @register("vec_get", EV + "SELECT CAST(v AS DOUBLE) AS v FROM ev WHERE idx = 5")
 def _(spark, d):
     return spark.createDataFrame([(float(events(spark, d).get(5)),)], "v double")
@@ -743,11 +851,51 @@ def _(spark, d):
     return own.stencil(lambda a, b, c: F.round(a + b + c, 6), [(-1, 0), (0, 0), (1, 0)], (1, 0), (own.shape[0] - 1, own.shape[1])).df
 
 
-@register("gen_random_sparse_law", "SELECT CAST(2400 AS BIGINT) AS n, CAST(2400 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS outside")
+# Compressed blocks of rows
+
+PLACED = SPARSE + ", p AS (SELECT *, row_number() OVER (ORDER BY i, j) - 1 AS place FROM a) "
+
+
+@register("csr_cells", SPARSE + "SELECT i, j, CAST(v AS DOUBLE) AS v FROM a")
+def _(spark, d):
+    return Csr.by_rows(sparse(spark, d), 64).cells().df
+
+
+@register("csr_balanced_blocks", PLACED + "SELECT place // 500 AS blk, count(*) AS n, min(i) AS first, max(i) AS last FROM p GROUP BY ALL")
 def _(spark, d):
-    cells = generators.random_sparse(spark, (300, 400), 0.02, 5).df
-    outside = ~(F.col("i").between(0, 299) & F.col("j").between(0, 399) & (F.col("v") >= 0) & (F.col("v") < 1))
-    return cells.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
+    return Csr.balanced(sparse(spark, d), 500).df.select("blk", "n", "first", "last")
+
+
+@register("csr_row", SPARSE + "SELECT j AS idx, CAST(v AS DOUBLE) AS v FROM a WHERE i = 7")
+def _(spark, d):
+    return Csr.balanced(sparse(spark, d), 50, 4).row(7)
+
+
+@register("csr_submatrix", SPARSE + "SELECT i - 5 AS i, j - 2 AS j, CAST(v AS DOUBLE) AS v FROM a WHERE i >= 5 AND i < 60 AND j >= 2 AND j < 8")
+def _(spark, d):
+    return Csr.by_rows(sparse(spark, d), 16, 4).submatrix((5, 60), (2, 8)).df
+
+
+@register("csr_row_counts", SPARSE + "SELECT i, count(*) AS n FROM a GROUP BY i")
+def _(spark, d):
+    return Csr.balanced(sparse(spark, d), 300).row_counts()
+
+
+SPMV_ROUNDED = "SELECT p_partkey AS idx, round(CAST(coalesce(sum(v * x), 0) AS DOUBLE), 2) AS v FROM part LEFT JOIN (SELECT i, v, x FROM a JOIN x ON j = idx) ON i = p_partkey GROUP BY p_partkey"
+
+
+def _rounded(vec: Vec) -> DataFrame:
+    return vec.df.select(IDX, (F.round("v", 2) + 0.0).alias("v"))
+
+
+@register("spmv_csr", SPARSE + SPMV_ROUNDED)
+def _(spark, d):
+    return _rounded(Csr.by_rows(sparse(spark, d), 128, 64).spmv(balances(spark, d)))
+
+
+@register("spmv_balanced", SPARSE + SPMV_ROUNDED)
+def _(spark, d):
+    return _rounded(Csr.balanced(sparse(spark, d), 1000).spmv(balances(spark, d)))
 
 
 NEW = ", b AS (SELECT r AS i, c AS j, CAST(1 AS DECIMAL(18,2)) AS v FROM range(50) t(r), range(3) u(c)) "
@@ -810,21 +958,34 @@ def _(spark, d):
     return embedding(spark, d).column(5).df
 
 
-@register("gen_band", "SELECT i, j, 1.0::DOUBLE AS v FROM range(500) t(i), range(500) u(j) WHERE j >= i - 2 AND j <= i + 4")
+@register("gen_band", "SELECT a.s_suppkey AS i, b.s_suppkey AS j, 1.0::DOUBLE AS v FROM supplier a JOIN supplier b ON b.s_suppkey BETWEEN a.s_suppkey - 2 AND a.s_suppkey + 4")
 def _(spark, d):
-    return generators.band(spark, 500, 4, 2).df
+    return generators.band(spark, size_of(spark, d, "supplier"), 4, 2).df
 
 
-@register("spmm_band", "SELECT i, c AS col, CAST(sum((j + 1) * (c + 1)) AS DOUBLE) AS v FROM range(1000) t(i), range(1000) u(j), range(8) w(c) WHERE j >= i - 20 AND j <= i + 20 GROUP BY ALL")
+@register("spmm_band", "SELECT a.p_partkey AS i, c AS col, CAST(sum(CAST(b.p_retailprice AS DECIMAL(18,2)) * (c + 1)) AS DOUBLE) AS v FROM part a JOIN part b ON b.p_partkey BETWEEN a.p_partkey - 20 AND a.p_partkey + 20, range(8) w(c) GROUP BY ALL")
 def _(spark, d):
-    b = spark.range(8000).select(div(F.col("id"), 8).alias(IDX), (F.col("id") % 8).alias("col"))
-    b = b.withColumn("x", ((F.col(IDX) + 1) * (F.col("col") + 1)).cast("double"))
-    return generators.band(spark, 1000, 20, 20).spmm(b)
+    x = parts(spark, d).df
+    b = x.select(IDX, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("col"), F.col("v").alias("own")).select(IDX, "col", (F.col("own") * (F.col("col") + 1)).alias("x"))
+    band = generators.band(spark, size_of(spark, d, "part"), 20, 20)
+    return doubles(Mat(band.df.withColumn("v", F.col("v").cast("int")), band.shape).spmm(b, 8))
+
+
+def _random(spark, d) -> Mat:
+    """As many rows and columns as there are parts and suppliers."""
+    return generators.random_sparse(spark, (size_of(spark, d, "part"), size_of(spark, d, "supplier")), 0.02, 5)
 
 
 @register("gen_random_sparse")
 def _(spark, d):
-    return generators.random_sparse(spark, (300, 400), 0.02, 5).df
+    return _random(spark, d).df
+
+
+@register("gen_random_sparse_law", "SELECT CAST(floor(0.02e0 * (p * s)) AS BIGINT) AS n, CAST(floor(0.02e0 * (p * s)) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS outside FROM (SELECT (SELECT count(*) FROM part) AS p, (SELECT count(*) FROM supplier) AS s)")
+def _(spark, d):
+    own = _random(spark, d)
+    outside = ~(F.col("i").between(0, own.shape[0] - 1) & F.col("j").between(0, own.shape[1] - 1) & (F.col("v") >= 0) & (F.col("v") < 1))
+    return own.df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
 
 
 # Application kernels
@@ -859,12 +1020,22 @@ def _(spark, d):
     return kernels.black_scholes(_prices(spark, d), 0.05, 0.2, kernels.normal_cdf).select(IDX, "vcall", "vput")
 
 
-@register("fft3d_roundtrip")
+#: Forward and back again; the imaginary part is the next component of the events, so that the input is complex.
+@register("fft3d_roundtrip", EV + "SELECT idx // 100 AS i, idx // 10 % 10 AS j, idx % 10 AS k, round(CAST(v AS DOUBLE), 6) AS re, round(CAST(w AS DOUBLE), 6) AS im FROM ev")
 def _(spark, d):
-    n = 8
-    cells = spark.range(n**3).select((F.col("id") % 7).cast("double").alias("re"), (F.col("id") % 3).cast("double").alias("im"), div(F.col("id"), n * n).alias("i"), (div(F.col("id"), n) % n).cast("bigint").alias("j"), (F.col("id") % n).alias("k"))
-    there = kernels.fft3d(NdArray(cells, (n, n, n), ["re", "im"]))
-    return kernels.fft3d(there, True).df.select("i", "j", "k", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+    vec = events(spark, d, "v", "w")
+    cells = vec.df.select(IDX, F.col("v").cast("double").alias("re"), F.col("w").cast("double").alias("im"))
+    there = kernels.fft3d(NdArray.reshape(Vec(cells), (size_of(spark, d) // 100, 10, 10)))
+    return kernels.fft3d(there, True).df.select("i", "j", "k", *[(F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")])
+
+
+#: Energy is kept: the transform's, over the number of cells, is that of the input.
+@register("fft3d_energy", EV + "SELECT round(CAST(sum(v * v) AS DOUBLE), 3) AS power FROM ev")
+def _(spark, d):
+    n = size_of(spark, d)
+    cells = events(spark, d).df.select(IDX, F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+    there = kernels.fft3d(NdArray.reshape(Vec(cells), (n // 100, 10, 10)))
+    return kernels.parseval(there).select(F.round(F.col("power") / n, 3).alias("power"))
 
 
 def queries() -> dict[str, Query]:
