@@ -71,13 +71,14 @@ class Mat:
             n_cols = (b.agg(F.max("col")).first()[0] or 0) + 1
         pairs = self.df.join(b.select(F.col(IDX).alias("j"), "col", "x"), "j")
         found = pairs.groupBy("i", "col").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-        # One array a row, so that zeros are filled by row and not by cell.
-        whole = found.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("own"))
+        # One array a row, so that zeros are filled by row and not by cell; a row with all its cells is taken as it is.
+        whole = found.groupBy("i").agg(F.collect_list(F.struct("col", "v")).alias("own"))
         rows = _numbers(self.df, self.shape[0], "i").join(whole, "i", "left")
-        cols = F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))
         zero = F.lit(0).cast(found.schema["v"].dataType)
-        cells = rows.select("i", F.posexplode(F.transform(cols, lambda c: F.coalesce(F.try_element_at("own", c), zero))).alias("col", "v"))
-        return cells.select("i", F.col("col").cast("bigint").alias("col"), "v")
+        known = F.map_from_entries(F.coalesce("own", F.array().cast(whole.schema["own"].dataType)))
+        every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint")), lambda c: F.struct(c.alias("col"), F.coalesce(F.try_element_at(known, c), zero).alias("v")))
+        cells = rows.select("i", F.explode(F.when(F.size("own") == n_cols, F.col("own")).otherwise(every)).alias("c"))
+        return cells.select("i", "c.col", "c.v")
 
     def gemm(self, b: Mat, c: Mat | None = None) -> Mat:
         """A B, or C + A B: a join on the inner index and an aggregate with partial sums."""

@@ -101,6 +101,16 @@ def test_waves(spark):
     assert abs(d1.volume - d0.volume) < 1e-9 and abs(d1.energy / d0.energy - 1) < 1e-3
 
 
+def test_erfc():
+    import math
+
+    x = np.concatenate([np.linspace(-9, 9, 4001), np.linspace(1.99, 2.01, 101), [0.0, -0.0, 40.0, -40.0]])
+    want = np.array([math.erfc(v) for v in x])
+    assert np.abs(kernels.erfc(x) - want).max() < 4e-15
+    big = x[(x > 2) & (x < 9)]
+    assert np.allclose(kernels.erfc(big), [math.erfc(v) for v in big], rtol=1e-12, atol=0)
+
+
 def test_fft(spark):
     rng = np.random.default_rng(3)
     x = rng.random((2, 3, 4)) + 1j * rng.random((2, 3, 4))
