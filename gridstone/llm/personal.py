@@ -26,13 +26,22 @@ DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 SCHEME = LETTERS | DIGITS | frozenset("+.-")
 
-#: Cues and what follows them (fixed values).
-ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport")
-SECRET_CUES = ("token", "password", "secret", "api_key", "apikey")
-STREET_CUES = ("street", "avenue", "road", "lane", "boulevard", "drive")
-ACCOUNT = re.compile(r"(?:\s+(?:no|number|nr)\b\.?)?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9 -]{3,32}[0-9])", re.I)
+#: Cues in English, German, French and Spanish, and what stands around them (fixed values).
+ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "kontonummer", "reisepass", "compte", "passeport", "cuenta", "pasaporte")
+SECRET_CUES = ("token", "password", "secret", "api_key", "apikey", "passwort", "kennwort", "mot de passe", "contraseña", "clave")
+STREET_CUES = ("street", "avenue", "road", "lane", "boulevard", "drive", "straße", "strasse", "weg", "platz", "allee", "gasse", "rue", "place", "chemin", "calle", "avenida", "plaza", "paseo")
+#: Groups of letters and digits, each with a digit and parted by one space or hyphen: a word without a digit ends the number.
+ACCOUNT = re.compile(r"(?:\s+(?:no|number|nr|nummer|num|numéro|número)\b\.?)?\s*[:=#]?\s*([A-Za-z]{0,4}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z]{0,4}[0-9][A-Za-z0-9]*)*)", re.I)
+ACCOUNT_DIGITS = 5
+SOCIAL = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
+BANK = re.compile(r"[A-Za-z]{2}[0-9]{2}")
 SECRET = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9+/=_-]{16,})")
-STREET = re.compile(r"\b[0-9]{1,5}[A-Za-z]?(?:\x20[A-Z][a-z]+){1,3}\x20[A-Za-z]+\Z")
+STREET = re.compile(r"\b[0-9]+[A-Za-z]?(?:\x20[A-Z][a-z]+){1,3}\x20[A-Za-z]+\Z")
+#: Behind a street's cue: a house number; or a name, of which the Spanish form has the number behind it.
+HOUSE = re.compile(r"\x20[0-9]+[A-Za-z]?\b")
+NAME = re.compile(r"(?:\x20(?:de|du|des|del|la|las|le|les|los|el))*\x20(?:[ld]')?[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-\x20][^\W\d_a-zß-öø-ÿ][^\W\d_]+)*")
+NAME_HOUSE = re.compile(r",?\x20(?:n[.º°]?\x20?)?[0-9]+[A-Za-z]?\b")
+HOUSE_BEFORE = re.compile(r"\b[0-9]+[A-Za-z]?(?:\x20(?:bis|ter))?,?\x20\Z")
 URL_TAIL = re.compile(r"[^\s\"'<>|]+")
 
 Span = tuple[str, int, int]
@@ -105,6 +114,56 @@ def _order(s: Span) -> tuple[int, int, int]:
     return s[1], KINDS.index(s[0]), s[2]
 
 
+def account_end(number: str) -> int:
+    """How much of the groups behind a cue is the number; 0 if it has too few digits for one.
+
+    A social security number ends after its nine digits. Groups that begin like
+    an IBAN end with the first of them whose check digits are right (mod 97),
+    if there is one; other numbers keep all groups.
+    """
+    if m := SOCIAL.match(number):
+        return m.end()
+    if BANK.match(number):
+        for gap in re.finditer(r"[ -]|\Z", number):
+            own = re.sub(r"[ -]", "", number[: gap.start()])
+            if len(own) > 34:
+                break
+            if len(own) >= 15 and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
+                return gap.start()
+    return len(number) if sum(c in DIGITS for c in number) >= ACCOUNT_DIGITS else 0
+
+
+def address(text: str, at: int) -> tuple[int, int] | None:
+    """The street address around the cue that ends at a place: number, names and cue; cue and number behind it, the cue
+    being the end of a name or a word after one; number, cue and name; or cue, name and number."""
+    # Before the cue's end stand the cue, one to three names and the number, each parted by one space.
+    low = at
+    for _ in range(5):
+        low = text.rfind(" ", 0, low)
+        if low < 0:
+            break
+    if m := STREET.search(text, low + 1, at):
+        return m.start(), at
+    start = at
+    while start > 0 and (text[start - 1].isalpha() or text[start - 1] == "-"):
+        start -= 1
+    if (m := HOUSE.match(text, at)) and text[start].isupper():
+        # A cue alone takes the name before it along.
+        if text[start:at].lower() in STREET_CUES and start > 1 and text[start - 1] == " ":
+            first = start - 1
+            while first > 0 and (text[first - 1].isalpha() or text[first - 1] == "-"):
+                first -= 1
+            if first < start - 1 and text[first].isupper():
+                start = first
+        return start, m.end()
+    if name := NAME.match(text, at):
+        if m := HOUSE_BEFORE.search(text, max(0, start - 16), start):
+            return m.start(), name.end()
+        if m := NAME_HOUSE.match(text, name.end()):
+            return start, m.end()
+    return None
+
+
 def added_spans(text: str, anchors: dict[str, list[int]], base: list[Span]) -> list[Span]:
     """URLs, accounts, secrets and street addresses around their anchors, where they do not overlap a base span of theirs."""
     out: list[Span] = []
@@ -131,19 +190,15 @@ def added_spans(text: str, anchors: dict[str, list[int]], base: list[Span]) -> l
         k = bisect_left(starts, b) - 1
         return k < 0 or ends[k] <= a
 
-    for kind, cue, pattern in (("account", "account", ACCOUNT), ("secret", "secret", SECRET)):
-        for at in anchors.get(cue, []):
-            if (m := pattern.match(text, at)) and free_of_base(m.start(1), m.end(1)):
-                out.append((kind, *m.span(1)))
+    for at in anchors.get("account", []):
+        if (m := ACCOUNT.match(text, at)) and (end := account_end(m[1])) and free_of_base(m.start(1), m.start(1) + end):
+            out.append(("account", m.start(1), m.start(1) + end))
+    for at in anchors.get("secret", []):
+        if (m := SECRET.match(text, at)) and free_of_base(*m.span(1)):
+            out.append(("secret", *m.span(1)))
     for at in anchors.get("street", []):
-        # Before the cue's end stand the cue, one to three names and the number, each parted by one space.
-        low = at
-        for _ in range(5):
-            low = text.rfind(" ", 0, low)
-            if low < 0:
-                break
-        if not text[at : at + 1].isalpha() and (m := STREET.search(text, low + 1, at)):
-            out.append(("address", m.start(), at))
+        if not text[at : at + 1].isalpha() and (found := address(text, at)):
+            out.append(("address", *found))
     free: dict[str, int] = {}
     kept = []
     for s in sorted(out, key=_order):

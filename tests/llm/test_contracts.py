@@ -171,6 +171,34 @@ def test_personal_cues_everywhere(before):
     assert kinds["address"] == "7 Elm Street" and kinds["url"] == "averylongschemename-indeed+x://host/a"
 
 
+@pytest.mark.parametrize(
+    "text, kind, want",
+    [
+        ("account 12345 and then 7 items", "account", "12345"),
+        ("account 12 items", "account", None),
+        ("SSN: 123-45-6789 12 boxes", "account", "123-45-6789"),
+        ("IBAN DE89 3704 0044 0532 0130 00 12 pieces", "account", "DE89 3704 0044 0532 0130 00"),
+        ("Kontonummer: 1234567 bei der Bank", "account", "1234567"),
+        ("cuenta número 00491500 hoy", "account", "00491500"),
+        ("compte : FR1 23456", "account", "FR1 23456"),
+        ("mot de passe: hunter2hunter2hunter2", "secret", "hunter2hunter2hunter2"),
+        ("Contraseña = 'abcdefgh12345678'", "secret", "abcdefgh12345678"),
+        ("wohnt Hauptstraße 5b, dort", "address", "Hauptstraße 5b"),
+        ("am Berliner Platz 3 und", "address", "Berliner Platz 3"),
+        ("au 5 rue de la Paix à Paris", "address", "5 rue de la Paix"),
+        ("12 bis, avenue Victor Hugo.", "address", "12 bis, avenue Victor Hugo"),
+        ("en Calle Mayor 12, piso", "address", "Calle Mayor 12"),
+        ("calle de la Luna, 7", "address", "calle de la Luna, 7"),
+        ("la rue est longue", "address", None),
+        ("ein langer Weg ohne Ende", "address", None),
+        ("Broad street", "address", None),
+    ],
+)
+def test_personal_boundaries(text, kind, want):
+    found = [text[a:b] for k, a, b in personal.personal_spans(text, AUTOMATON)[1] if k == kind]
+    assert found == ([want] if want else [])
+
+
 def test_personal_counts(spark):
     docs = spark.createDataFrame([(1, "a@b.co token: abcdef0123456789abcd"), (2, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in personal.personal_digest(docs).collect()}
