@@ -86,7 +86,8 @@ def reduce_with(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], in
     n = vec.df.count() if n is None else n
     if n == 0:
         return vec.base.sparkSession.createDataFrame([(init,)], f"value {kind}")
-    state = vec
+    # Blocks of one would never shrink.
+    state, block = vec, max(2, block)
     while True:
         state = Vec(blocks_folded(state, op, kind, block), ["v"])
         n = -(-n // block)

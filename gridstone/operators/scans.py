@@ -81,7 +81,8 @@ def scan_with(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], kind
     then starts from the total before it.
     """
     n = vec.df.count() if n is None else n
-    col = vec.cols[0]
+    # Blocks of one would never shrink.
+    block, col = max(2, block), vec.cols[0]
     rows = vec.df.select(div(F.col(IDX), block).alias("blk"), IDX, F.col(col).cast(kind).alias("v"))
     if n > block:
         totals = scan_with(Vec(blocks_folded(vec, op, kind, block), ["v"]), op, kind, block, -(-n // block))
