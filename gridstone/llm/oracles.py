@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from gridstone.llm.quality import MAX_HOST_RATE, REPEAT_SHARE
-from gridstone.llm.url_filter import LOWER, TRACKING, UPPER
+from gridstone.llm.quality import DISTRUST, MAX_HOST_RATE, REPEAT_SHARE
+from gridstone.llm.url_filter import JUNK_SYMBOLS, LOWER, SYMBOL_SHARE, TRACKING, UPPER
 
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def op4(rules: list[tuple[str, str, str]], spam_hosts: str) -> str:
+def op4(rules: list[tuple[str, str, str]]) -> str:
     listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
     return rf"""
-WITH p AS (SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+WITH p AS (SELECT page_id, url, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
   list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}'))) AS params FROM p),
 c AS (SELECT *, CASE WHEN position('://' IN url) > 0 THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html)?/*$', '')
   || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS own FROM q),
-listed AS (SELECT DISTINCT own FROM c WHERE regexp_matches(host, '{spam_hosts}')),
+listed AS (SELECT DISTINCT own FROM c WHERE {SYMBOL_SHARE} * (length(html) - length(translate(html, '{JUNK_SYMBOLS}', ''))) > length(html)),
 rules(h, s, v) AS (VALUES {listed}),
 fit AS (SELECT page_id, url, arg_max(h || s, length(h || s) * 4096 + length(h)) AS rule, arg_max(v, length(h || s) * 4096 + length(h)) AS v
   FROM (SELECT DISTINCT page_id, url, host, path FROM c) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY ALL)
@@ -30,18 +30,21 @@ w AS (SELECT *, list_filter(string_split_regex(t, '{BLANK}+'), lambda x: x <> ''
   list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{BLANK}+', '', 'g') <> '') AS lines FROM d),
 k AS (SELECT r, unnest(range(1, len(words) - 1)) AS pos, words FROM w),
 g AS (SELECT r, pos, count(*) OVER (PARTITION BY r, words[pos], words[pos + 1], words[pos + 2]) AS c FROM k),
-h AS (SELECT r, count(DISTINCT pos + o) AS n FROM g, range(3) u(o) WHERE c > 1 GROUP BY r),
+r AS (SELECT r, count(DISTINCT pos + o) AS n FROM g, range(3) u(o) WHERE c > 1 GROUP BY r),
 f AS (SELECT w.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{BLANK}+', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(h.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN h ON h.r = w.r),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-s AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM b GROUP BY source),
-m AS (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM s),
-p AS (SELECT m, CASE WHEN v > 1e-9 THEN least(greatest(m * (1 - m) / v - 1, 1e0), 1000e0) ELSE 1e0 END AS weight FROM m),
-j AS (SELECT source, m, (bad + m * weight) / (n + weight) AS rate FROM s, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {MAX_HOST_RATE}
-  AND n_repeat_words <= (CASE WHEN rate > m AND m < 1 THEN {REPEAT_SHARE} * (1 - rate) / (1 - m) ELSE {REPEAT_SHARE} END) * n_words AS kept
-FROM b JOIN j ON b.source IS NOT DISTINCT FROM j.source"""
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON r.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines FROM f),
+s AS (SELECT source, count(*) AS n, unnest([count(*) FILTER (base_failed), count(*) FILTER (symbols), count(*) FILTER (lines)]) AS bad, unnest(['base', 'symbols', 'lines']) AS rule FROM b GROUP BY source),
+m AS (SELECT rule, sum(n::DOUBLE) AS n, count(*) AS hosts, sum(n::DOUBLE * n) AS squares, sum(bad::DOUBLE) AS bad, sum(bad::DOUBLE * bad / n) AS bads FROM s GROUP BY rule),
+v AS (SELECT rule, bad / n AS m, CASE WHEN n > hosts AND hosts > 1 THEN ((bads - bad * (bad / n)) / (hosts - 1) - (bad - bads) / (n - hosts)) * (hosts - 1) / (n - squares / n) ELSE 0e0 END AS v FROM m),
+p AS (SELECT rule, m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1e0), 1000e0) AS weight FROM v),
+j AS (SELECT source, rule, m, (bad + m * weight) / (n + weight) AS rate FROM s JOIN p USING (rule)),
+h AS (SELECT source, max(m) FILTER (rule = 'base') AS m, max(rate) FILTER (rule = 'base') AS rate, max(rate) FILTER (rule = 'symbols') AS symbols, max(rate) FILTER (rule = 'lines') AS lines FROM j GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND h.rate <= {MAX_HOST_RATE}
+  AND n_repeat_words <= (CASE WHEN h.rate > m AND m < 1 THEN {REPEAT_SHARE} * (1 - h.rate) / (1 - m) ELSE {REPEAT_SHARE} END) * n_words
+  AND NOT (b.symbols AND h.symbols > {DISTRUST}) AND NOT (b.lines AND h.lines > {DISTRUST}) AS kept
+FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source"""
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

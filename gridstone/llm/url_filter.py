@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridstone.llm.tables import prepare
 
-#: Eight odd 31-bit multipliers; each picks one bit of its 32-bit lane.
-SALTS = tuple((0x2545F491 * k) & 0x7FFFFFFF | 1 for k in range(3, 19, 2))
+#: Eight odd 31-bit multipliers, powers of one so that their bits don't follow each other; each picks one bit of its 32-bit lane.
+SALTS = tuple(pow(0x2545F491, k, 1 << 31) | 1 for k in range(1, 9))
 #: A block has 256 bits; at 16 bits a key about one probe in a thousand passes by chance.
 KEYS_PER_BLOCK = 16
 #: The filter never outgrows 32 MB, which suits 16 million keys; up to three times as many, more probes pass (a few in a
@@ -23,6 +23,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that do not change what a page shows (fixed values).
 TRACKING = "^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
+#: A page is junk if these symbols, which markup hardly uses, make up over one in SYMBOL_SHARE of its characters.
+JUNK_SYMBOLS, SYMBOL_SHARE = "*$%", 50
+
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
 
@@ -57,6 +60,17 @@ def canonical_url(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, whole)
 
 
+def junk_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """A list for ``judge``: key, the distinct canonical URLs of pages whose content is mostly symbols.
+
+    What a page holds decides, not how its address looks. Pages with a null
+    content or without a canonical URL list nothing.
+    """
+    body = F.col(html)
+    symbols = F.length(body) - F.length(F.translate(body, JUNK_SYMBOLS, ""))
+    return pages.filter(F.lit(SYMBOL_SHARE) * symbols > F.length(body)).select(canonical_url(F.col(url)).alias("key")).filter("key is not null").distinct()
+
+
 class BlockedBloom:
     """Blocks of eight 32-bit lanes; a key sets one bit in each lane of one block."""
 

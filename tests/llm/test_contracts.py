@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 import pytest
-from gridstone.llm import bitsliced, components, decontaminate, personal, quality, sharding, simhash, url_filter
+from gridstone.llm import bitsliced, components, decontaminate, personal, quality, queries, sharding, simhash, url_filter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -116,6 +116,38 @@ def test_quality_by_host(spark):
     assert all(r.kept == r.n for (h, _), r in passed.items() if h in ("good", "plain"))
 
 
+def test_hosts_decide_on_the_fixture(spark):
+    """Host verdicts change the query's result: documents of symbols go, and none that is labelled good."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    got = queries.op8_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id", "left").filter("not base_failed").groupBy("kept", "quality").count().collect()
+    n = {(r.kept, r.quality): r["count"] for r in got}
+    assert n.get((False, 0), 0) >= 20 and (False, 1) not in n and n[True, 1] >= 300 and (True, 0) not in n
+
+
+def test_soft_rules_by_host(spark):
+    """The same document of symbols goes where its host has many, and stays where it is the only one; nulls and odd hosts are no error."""
+    fine, junk = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}###" for k in range(60))
+    again = "\n".join(["a b"] * 4 + [" ".join(f"w{k}" for k in range(70))] + ["c d"])
+    rows = [(f"{h}{k}", h, t if k < n else fine) for h, n, t in (("bad", 30, junk), ("rare", 1, junk), ("lines", 30, again), (None, 0, junk)) for k in range(200)]
+    docs = spark.createDataFrame(rows + [(None, None, None), ("e", "", "")], "doc_id string, source string, text string")
+    got = {(r.source, r.n_symbols > 0, r.n_dup_lines > 0): r for r in quality.quality(docs, keep=("doc_id", "source")).filter("not base_failed").groupBy("source", "n_symbols", "n_dup_lines").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert {k: (r.n, r.kept) for k, r in got.items()} == {
+        ("bad", True, False): (30, 0), ("bad", False, False): (170, 170), ("rare", True, False): (1, 1), ("rare", False, False): (199, 199),
+        ("lines", False, True): (30, 0), ("lines", False, False): (170, 170), (None, False, False): (200, 200),
+    }
+    plain = quality.quality(docs, soft={}).filter("kept = base_failed")
+    assert plain.count() == 0
+
+
+def test_shrunken_rates(spark):
+    """Hosts that differ by chance alone share the mean; a lone row tells less than many."""
+    rng = random.Random(5)
+    rows = [(f"h{h}", rng.random() < 0.1) for h in range(40) for _ in range(50)]
+    got = quality.host_verdicts(spark.createDataFrame(rows, "h string, f boolean"), "h", "f").collect()
+    rates, raw = [r.rate for r in got], [r.n_failed / r.n for r in got]
+    assert max(rates) - min(rates) < 0.3 * (max(raw) - min(raw))
+
+
 def test_decontaminate(spark, docs, rows):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [(900, "A b c"), (901, "one"), (902, ""), (903, None), (None, "lost")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -268,6 +300,25 @@ def test_urls(spark, monkeypatch, blocks):
     assert url_filter.judge(pages, [], listed.filter("false")).filter("verdict = 'block'").count() == 0
 
 
+def test_junk_urls(spark):
+    """Junk content lists an address; other spellings of it are blocked, and near misses are not."""
+    pages = spark.createDataFrame(
+        [(0, "http://a.net/p.html", "$$$ %%% ***"), (1, "https://www.a.net/p/?ref=x#top", "fine"), (2, "http://a.net/pp", "fine"), (3, "http://a.net/p?page=2", "fine"), (4, "nothing", "***"), (5, None, "***"), (6, "http://b.net/", None), (7, "http://c.net/", ""), (8, "http://a.com/fr/p", "%%%"), (9, "http://a.com/de/p", "x")],
+        "page_id int, url string, html string",
+    )
+    listed = url_filter.junk_urls(pages)
+    assert sorted(r.key for r in listed.collect()) == ["a.com/fr/p", "a.net/p"]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, RULES, listed).collect()}
+    assert {k for k, (_, v) in got.items() if v == "block"} == {0, 1, 9} and got[8] == ("com/fr/", "allow")
+    assert url_filter.junk_urls(pages.filter("false")).count() == 0
+
+
+def test_list_decides_on_the_fixture(spark):
+    got = queries.op4_url_filter(spark, "/root/testdata/sf0.01").filter("rule is null").groupBy("verdict").count().collect()
+    n = {r.verdict: r["count"] for r in got}
+    assert n["block"] >= 10 and n["allow"] > 5 * n["block"]
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     import numpy as np
