@@ -78,37 +78,41 @@ def scan_with(vec: Vec, op: Callable[[np.ndarray, np.ndarray], np.ndarray], kind
     op gets two arrays of the same length and gives their elementwise
     combination. The totals of blocks are a vector again and scanned the same
     way, so they never meet in one task unless they are one block; each block
-    then starts from the total before it.
+    then starts from the total before it, which travels as a row ahead of it:
+    through one exchange by block, which Spark neither splits nor reads by parts
+    as it may those of a join.
     """
     n = vec.df.count() if n is None else n
     # Blocks of one would never shrink.
     block, col = max(2, block), vec.cols[0]
-    rows = vec.df.select(div(F.col(IDX), block).alias("blk"), IDX, F.col(col).cast(kind).alias("v"))
+    rows = vec.df.select(div(F.col(IDX), block).alias("blk"), F.lit(True).alias("own"), IDX, F.col(col).cast(kind).alias("v"))
     if n > block:
         totals = scan_with(Vec(blocks_folded(vec, op, kind, block), ["v"]), op, kind, block, -(-n // block))
-        offsets = totals.df.select((F.col(IDX) + 1).alias("blk"), F.col("v").alias("before"))
-        rows = rows.join(offsets, "blk", "left")
-    else:
-        rows = rows.withColumn("before", F.lit(None).cast(kind))
+        rows = rows.union(totals.df.select(F.col(IDX) + 1, F.lit(False), (F.col(IDX) + 1) * block - 1, "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, None
         for batch in batches:
-            blk, v, before = batch.column("blk").to_numpy(), batch.column("v").to_numpy(zero_copy_only=False), batch.column("before")
+            blk, inner, v = batch.column("blk").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(blk)) + 1).tolist(), len(blk)]
             parts = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
                 if blk[a] != at:
-                    held = before.slice(a, 1).to_numpy(zero_copy_only=False).astype(v.dtype) if before[a].is_valid else None
+                    at, held = blk[a], None
+                if not inner[a]:
+                    held = v[a : a + 1] if batch.column("v")[a].is_valid else None
+                    a += 1
+                if a == b:
+                    continue
                 own = scanned(v[a:b], op)
                 if held is not None:
                     own = np.asarray(op(np.repeat(held, b - a), own))
-                at, held = blk[a], own[-1:]
+                held = own[-1:]
                 parts.append(own)
             if parts:
-                yield pa.record_batch([batch.column(IDX), pa.array(np.concatenate(parts), batch.schema.field("v").type)], [IDX, "v"])
+                yield pa.record_batch([batch.column(IDX).filter(batch.column("own")), pa.array(np.concatenate(parts), batch.schema.field("v").type)], [IDX, "v"])
 
-    dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX).select("blk", IDX, "v", "before")
+    dealt = rows.repartition("blk").sortWithinPartitions("blk", IDX).select("blk", "own", IDX, "v")
     return Vec(dealt.mapInArrow(run, f"{IDX} bigint, v {kind}").select(IDX, F.col("v").alias(col)))

@@ -186,3 +186,18 @@ def test_for_each_segment(spark):
     assert values(segments.for_each_segment(vec, lambda v, start: np.sort(v) + 100 * start)) == [3.0, 5.0, 201.0, 202.0, 209.0, 507.0]
     with pytest.raises(Exception, match="elements for"):
         segments.for_each_segment(vec, lambda v, start: v[:1]).df.collect()
+
+
+def test_scan_keeps_blocks_whole(spark):
+    """Blocks stay whole where Spark would turn a join with their totals into a broadcast and read its exchange by parts."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        vec = Vec.of(spark, [k % 3 for k in range(60)])
+        vec = Vec(vec.df.repartition(4, "idx"))
+        got = values(scans.scan_with(vec, lambda a, b: np.where(b != 0, b, a), "bigint", 23))
+        assert got == [k % 3 or 2 * (k > 0) for k in range(60)]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
