@@ -13,6 +13,8 @@ from gridstone.operators.vector import IDX, Vec, div
 
 #: Side of the result panels of the blocked product, how deep its blocks are, and cells of the inner index that one layer may have.
 PANEL_SIDE, PANEL_DEPTH, LAYER_DEPTH = 512, 512, 1 << 17
+#: Rows that a block of a slim matrix has at most, and blocks that a shorter one is cut into.
+SLIM_ROWS, SLIM_BLOCKS = 64, 256
 
 
 def _numbers(df: DataFrame, n: int, name: str) -> DataFrame:
@@ -69,11 +71,17 @@ class Mat:
         """
         if n_cols is None:
             n_cols = (b.agg(F.max("col")).first()[0] or 0) + 1
-        pairs = self.df.join(b.select(F.col(IDX).alias("j"), "col", "x"), "j")
-        found = pairs.groupBy("i", "col").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        # Blocks of rows of b, so that cells of neighbouring columns meet in one task and are added up before they are dealt by row.
+        side = max(1, min(SLIM_ROWS, self.shape[1] // SLIM_BLOCKS))
+        own = b.filter(F.col(IDX).isNotNull()).groupBy(IDX).agg(F.collect_list(F.struct("col", "x")).alias("cells"))
+        blocks = own.groupBy(div(F.col(IDX), side).alias("blk")).agg(F.map_from_entries(F.collect_list(F.struct(IDX, "cells"))).alias("rows"))
+        # Shuffled, as Spark takes tables that were made by explode to be as small as what they were made from, and would broadcast them.
+        met = self.df.withColumn("blk", div(F.col("j"), side)).join(blocks.hint("merge"), "blk")
+        pairs = met.select("i", "v", F.explode(F.try_element_at("rows", F.col("j"))).alias("c"))
+        found = pairs.groupBy("i", F.col("c.col").alias("col")).agg(F.sum(F.col("v") * F.col("c.x")).alias("v"))
         # One array a row, so that zeros are filled by row and not by cell; a row with all its cells is taken as it is.
         whole = found.groupBy("i").agg(F.collect_list(F.struct("col", "v")).alias("own"))
-        rows = _numbers(self.df, self.shape[0], "i").join(whole, "i", "left")
+        rows = _numbers(self.df, self.shape[0], "i").join(whole.hint("merge"), "i", "left")
         zero = F.lit(0).cast(found.schema["v"].dataType)
         known = F.map_from_entries(F.coalesce("own", F.array().cast(whole.schema["own"].dataType)))
         every = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint")), lambda c: F.struct(c.alias("col"), F.coalesce(F.try_element_at(known, c), zero).alias("v")))

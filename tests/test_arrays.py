@@ -205,3 +205,18 @@ def test_matrix_market(spark, tmp_path):
 def test_matrix_market_errors(spark, tmp_path, text):
     with pytest.raises(ValueError):
         matrix_market.read(spark, write(tmp_path, text))
+
+
+def test_spmm_never_broadcasts_what_explode_made(spark):
+    """The slim matrix has many more rows than the table it comes from, by whose size Spark would broadcast it; rows and cells of it may be missing."""
+    n = 3000
+    slim = spark.range(n).filter("id % 7 != 3").selectExpr("id as idx", "explode(sequence(0L, 4L)) as col").selectExpr("idx", "col", "idx * 10 + col as x").filter("x % 11 != 5")
+    got = generators.band(spark, n, 2, 1).spmm(slim, 5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    b = np.array([[j * 10 + c if j % 7 != 3 and (j * 10 + c) % 11 != 5 else 0 for c in range(5)] for j in range(n)])
+    want = sum(np.pad(b, ((1, 2), (0, 0)))[k : k + n] for k in range(4))
+    cells = got.collect()
+    out = np.full((n, 5), -1.0)
+    for r in cells:
+        out[r.i, r.col] = r.v
+    assert len(cells) == 5 * n and (out == want).all()
