@@ -220,3 +220,24 @@ def test_spmm_never_broadcasts_what_explode_made(spark):
     for r in cells:
         out[r.i, r.col] = r.v
     assert len(cells) == 5 * n and (out == want).all()
+
+
+@pytest.mark.parametrize("shape", [(3000000, 40000), (70001, 90001), (1, 1000003), (1, 3), (37, 53)])
+def test_random_cells_are_inside_and_distinct(spark, shape):
+    """At sizes where walking back into the matrix took many steps, and in the narrowest; numbers come back from cells alone."""
+    density = min(1.0, 2e5 / (shape[0] * shape[1]))
+    n = int(density * shape[0] * shape[1])
+    cells = generators.random_cells(spark, shape, density, 5)
+    rows = [np.array(c) for c in zip(*generators.with_numbers(cells, shape, 5).select("n", "i", "j", "v", "number").collect(), strict=True)]
+    assert sorted(rows[0]) == list(range(n)) and (rows[0] == rows[4]).all()
+    assert len(np.unique(rows[1] * shape[1] + rows[2])) == n
+    assert rows[1].min() >= 0 and rows[1].max() < shape[0] and rows[2].min() >= 0 and rows[2].max() < shape[1]
+    assert rows[3].min() >= 0 and rows[3].max() < 1
+    if n > 1000:
+        assert abs((rows[1] * shape[1] + rows[2]).mean() / (shape[0] * shape[1]) - 0.5) < 0.01
+
+
+def test_random_sparse_takes_the_same_steps_for_each_cell(spark):
+    """No walk in a lambda function, which Spark interprets, 64 steps for every cell."""
+    plan = generators.random_sparse(spark, (1200000, 60000), 1e-6, 5).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan and "lambda" not in plan
