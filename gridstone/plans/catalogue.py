@@ -971,21 +971,24 @@ def _(spark, d):
     return doubles(Mat(band.df.withColumn("v", F.col("v").cast("int")), band.shape).spmm(b, 8))
 
 
-def _random(spark, d) -> Mat:
+def _random_shape(spark, d) -> tuple[int, int]:
     """As many rows and columns as there are parts and suppliers."""
-    return generators.random_sparse(spark, (size_of(spark, d, "part"), size_of(spark, d, "supplier")), 0.02, 5)
+    return size_of(spark, d, "part"), size_of(spark, d, "supplier")
 
 
 @register("gen_random_sparse")
 def _(spark, d):
-    return _random(spark, d).df
+    return generators.random_sparse(spark, _random_shape(spark, d), 0.02, 5).df
 
 
 @register("gen_random_sparse_law", "SELECT CAST(floor(0.02e0 * (p * s)) AS BIGINT) AS n, CAST(floor(0.02e0 * (p * s)) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS outside FROM (SELECT (SELECT count(*) FROM part) AS p, (SELECT count(*) FROM supplier) AS s)")
 def _(spark, d):
-    own = _random(spark, d)
-    outside = ~(F.col("i").between(0, own.shape[0] - 1) & F.col("j").between(0, own.shape[1] - 1) & (F.col("v") >= 0) & (F.col("v") < 1))
-    return own.df.agg(F.count("*").alias("n"), F.count_distinct("i", "j").alias("cells"), F.count_if(outside).alias("outside"))
+    shape = _random_shape(spark, d)
+    cells = generators.random_cells(spark, shape, 0.02, 5)
+    outside = ~(F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1) & (F.col("v") >= 0) & (F.col("v") < 1))
+    # Each row has another n. Cells that give back their n are thus distinct, and need not be brought together to be counted.
+    found = generators.with_numbers(cells, shape, 5)
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("number") == F.col("n")).alias("cells"), F.count_if(outside).alias("outside"))
 
 
 # Application kernels
